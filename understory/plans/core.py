@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from understory.operators import chunks, features, lines, orphans
+from understory.operators import chunks, features, lines, orphans, spikes
 from understory.session import table
 
 
@@ -25,6 +25,14 @@ def p2_results(spark, d):
     return r.withColumn("total", F.round("total", 2)).drop("chunks")
 
 
+def p4_found(spark, d):
+    return spikes.flag_readings(table(spark, d, "data_eco_cohorts")).select("cohort_id", "field")
+
+
+def p4_flags(spark, d):
+    return spikes.flag_readings(table(spark, d, "data_eco_cohorts"))
+
+
 def p6_found(spark, d):
     return lines.rejected(table(spark, d, "cohort_lines"))
 
@@ -46,4 +54,4 @@ def p7_report(spark, d):
     return orphans.orphan_report(*_orphans(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_features, p1_cells, p2_found, p2_results, p6_found, p6_loaded, p7_found, p7_report)}
+QUERIES = {f.__name__: f for f in (p1_features, p1_cells, p2_found, p2_results, p4_found, p4_flags, p6_found, p6_loaded, p7_found, p7_report)}
