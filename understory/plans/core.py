@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from understory.operators import chunks, features, lines, orphans, spikes
+from understory.operators import chunks, features, impute, lines, orphans, spikes
 from understory.session import table
 
 
@@ -25,6 +25,18 @@ def p2_results(spark, d):
     return r.withColumn("total", F.round("total", 2)).drop("chunks")
 
 
+def _filled(spark, d):
+    return impute.fill(*(table(spark, d, t) for t in ("data_eco_cohorts", "eco_ecocode_map", "data_all_species", "data_species_eco_map")))
+
+
+def p3_found(spark, d):
+    return impute.absent_fields(_filled(spark, d))
+
+
+def p3_filled(spark, d):
+    return _filled(spark, d)
+
+
 def p4_found(spark, d):
     return spikes.flag_readings(table(spark, d, "data_eco_cohorts")).select("cohort_id", "field")
 
@@ -54,4 +66,4 @@ def p7_report(spark, d):
     return orphans.orphan_report(*_orphans(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_features, p1_cells, p2_found, p2_results, p4_found, p4_flags, p6_found, p6_loaded, p7_found, p7_report)}
+QUERIES = {f.__name__: f for f in (p1_features, p1_cells, p2_found, p2_results, p3_found, p3_filled, p4_found, p4_flags, p6_found, p6_loaded, p7_found, p7_report)}
