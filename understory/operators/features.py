@@ -6,6 +6,10 @@ latest day. Cells merge by sum, sum and max, so states of single days or partiti
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +19,8 @@ from understory.session import bounded_rows
 
 #: Event types come from a reference list; a longer list is an error, as every type becomes three columns.
 MAX_TYPES = 2_000
+#: Entities expanded at once.
+SLICE = 1_024
 
 
 def finite(c: str) -> Column:
@@ -61,27 +67,45 @@ def cells(events: DataFrame, types: list[str]) -> DataFrame:
     return merge_cells(coded.select("entity", "type_ix", "kind", F.lit(1).cast("long").alias("n"), "total", F.col("day").alias("latest")))
 
 
+def _dense(types: list[str]):
+    """Scatter sparse vectors into one column per type and measure; batches stay small, as they are wide."""
+    names = [f"{m}_{t.replace('.', '_')}" for t in types for m in ("n", "total", "days")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                b = whole.slice(at, SLICE)
+                vectors = b.column("v")
+                cell, m = vectors.flatten(), b.num_rows
+                row = np.repeat(np.arange(m), vectors.value_lengths().fill_null(0).to_numpy())
+                ix = cell.field("type_ix").to_numpy()
+                n, total, days = np.zeros((len(types), m), np.int32), np.zeros((len(types), m)), np.zeros((len(types), m), np.int32)
+                unseen = np.ones((len(types), m), bool)
+                n[ix, row] = cell.field("n").to_numpy()
+                total[ix, row] = cell.field("total").to_numpy()
+                when = cell.field("days")
+                days[ix, row] = when.fill_null(0).to_numpy()
+                unseen[ix, row] = np.asarray(when.is_null())
+                cols = [c for i in range(len(types)) for c in (pa.array(n[i]), pa.array(total[i]), pa.array(days[i], mask=unseen[i]))]
+                yield pa.RecordBatch.from_arrays([b.column("plt_cn"), *cols, b.column("other")], ["plt_cn", *names, "other"])
+
+    schema = ", ".join(["plt_cn long", *(f"`{x}` {'double' if x[0] == 't' else 'int'}" for x in names), "other array<struct<kind:string,n:int,total:double,days:int>>"])
+    return run, schema
+
+
 def expand(merged: DataFrame, types: list[str], as_of) -> DataFrame:
     """One row per entity: n_<type>, total_<type>, days_<type> for every listed type, and ``other``.
 
     ``other`` holds the cells of kinds that aren't listed, so that no row is lost. Counts and totals of a
     type the entity never had are 0, its days are null. A sparse vector has at most one cell per kind.
     """
-    day = F.lit(as_of).cast("date")
-    cell = F.struct(F.col("n"), F.coalesce("total", F.lit(0.0)).alias("total"), F.datediff(day, "latest").alias("days"))
-    other = F.struct(F.col("kind"), F.col("n"), F.coalesce("total", F.lit(0.0)).alias("total"), F.datediff(day, "latest").alias("days"))
-    vectors = merged.groupBy("entity").agg(
-        F.map_from_entries(F.collect_list(F.when(F.col("type_ix") >= 0, F.struct("type_ix", cell)))).alias("v"),
-        F.sort_array(F.collect_list(F.when(F.col("type_ix") < 0, other))).alias("other"),
+    days = F.datediff(F.lit(as_of).cast("date"), "latest").alias("days")
+    measures = [F.col("n").cast("int").alias("n"), F.coalesce("total", F.lit(0.0)).alias("total"), days]
+    vectors = merged.groupBy(F.col("entity").cast("long").alias("plt_cn")).agg(
+        F.collect_list(F.when(F.col("type_ix") >= 0, F.struct("type_ix", *measures))).alias("v"),
+        F.sort_array(F.collect_list(F.when(F.col("type_ix") < 0, F.struct("kind", *measures)))).alias("other"),
     )
-    # the cells in dense order, once per row; the columns below only index into it
-    dense = vectors.select("entity", "other", F.transform(F.sequence(F.lit(0), F.lit(len(types) - 1)), lambda i: F.try_element_at(F.col("v"), i)).alias("d")) if types else vectors
-    out = [F.col("entity").alias("plt_cn")]
-    for i, t in enumerate(types):
-        c = F.get(F.col("d"), F.lit(i))
-        name = t.replace(".", "_")
-        out += [F.coalesce(c["n"], F.lit(0)).alias(f"n_{name}"), F.coalesce(c["total"], F.lit(0.0)).alias(f"total_{name}"), c["days"].alias(f"days_{name}")]
-    return dense.select(*out, "other")
+    return vectors.mapInArrow(*_dense(types))
 
 
 def newest_day(cohorts: DataFrame):
