@@ -1,8 +1,8 @@
 """Delivered lines that fail to parse, with the reason, apart from the typed rows of all others.
 
 Blocks of lines go through a columnar parser at once. A block that fails in any way is cut in half and both
-halves are tried again, until single bad lines are left; these are read character by character by a strict
-parser that names the reason. A line passes the block path only if it is certainly valid.
+halves are tried again, until the bad lines are isolated in a few neighbours; these are read character by
+character by a strict parser that names the reason. A line passes the block path only if it is certainly valid.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.csv as pacsv
@@ -24,6 +25,8 @@ FIELDS = (
 )
 WHOLE = ("statecd", "unitcd", "countycd", "plot", "age_calc", "tree_count")
 BLOCK = 512
+#: A failing block of this size isn't cut again: its lines are read strictly.
+LEAF = 16
 SCHEMA = "line_id long, reason string, " + ", ".join(
     f"{f} {'long' if f == 'plt_cn' else 'date' if f == 'measdate' else 'double' if f == 'agb' else 'int' if f in WHOLE else 'string'}" for f in FIELDS
 )
@@ -90,15 +93,19 @@ def diagnose(line: str | None) -> tuple[str | None, dict]:
     return None, typed | {"plt_cn": int(row["plt_cn"]), "measdate": day, "agb": float(agb) if agb else None}
 
 
+def sound(lines: pa.Array) -> np.ndarray:
+    """Lines whose quoting and number of fields are certainly right."""
+    return np.asarray(pc.fill_null(pc.match_substring_regex(lines, STRUCTURE), False))
+
+
 def parse_block(lines: pa.Array) -> pa.Table | None:
-    """The typed columns of a block in which every line is certainly valid, else None."""
-    if lines.null_count or not pc.all(pc.match_substring_regex(lines, STRUCTURE)).as_py():
-        return None
-    text = "\n".join(lines.to_pylist()) + "\n"
+    """The typed columns of a block of sound lines in which every value is certainly valid, else None."""
+    joined = pc.binary_join(pa.LargeListArray.from_arrays(pa.array([0, len(lines)], pa.int64()), lines), "\n")
+    text = joined[0].as_buffer().to_pybytes() + b"\n"
     try:
         t = pacsv.read_csv(
-            io.BytesIO(text.encode()),
-            read_options=pacsv.ReadOptions(column_names=list(FIELDS), use_threads=False, block_size=max(1024, 2 * len(text.encode()))),
+            io.BytesIO(text),
+            read_options=pacsv.ReadOptions(column_names=list(FIELDS), use_threads=False, block_size=max(1024, 2 * len(text))),
             parse_options=pacsv.ParseOptions(newlines_in_values=True, ignore_empty_lines=False),
             convert_options=pacsv.ConvertOptions(column_types=dict.fromkeys(FIELDS, pa.string()), strings_can_be_null=False, check_utf8=True),
         )
@@ -123,22 +130,23 @@ def parse_block(lines: pa.Array) -> pa.Table | None:
 
 
 def parse_lines(ids: pa.Array, lines: pa.Array) -> Iterator[pa.Table]:
-    """Tables of (line_id, reason, fields): good blocks as they are, bad lines one by one."""
-    bad: list[tuple] = []
+    """Tables of (line_id, reason, fields): good blocks as they are, the lines of small failing blocks one by one."""
+    strict: list[tuple] = []
+    fit = sound(lines)
     todo = [(at, min(at + BLOCK, len(lines))) for at in range(0, len(lines), BLOCK)][::-1]
     while todo:
         lo, hi = todo.pop()
-        t = parse_block(lines.slice(lo, hi - lo))
+        t = parse_block(lines.slice(lo, hi - lo)) if fit[lo:hi].all() else None
         if t is not None:
             yield t.add_column(0, "reason", pa.nulls(hi - lo, pa.string())).add_column(0, "line_id", ids.slice(lo, hi - lo))
-        elif hi - lo == 1:
-            bad.append((ids[lo].as_py(), *diagnose(lines[lo].as_py())))
+        elif hi - lo <= LEAF:
+            strict += zip(ids.slice(lo, hi - lo).to_pylist(), map(diagnose, lines.slice(lo, hi - lo).to_pylist()), strict=True)
         else:
             mid = (lo + hi) // 2
             todo += [(mid, hi), (lo, mid)]
-    if bad:
-        cols = {"line_id": pa.array([b[0] for b in bad], pa.int64()), "reason": pa.array([b[1] for b in bad], pa.string())}
-        yield pa.table(cols | {f: pa.array([b[2].get(f) for b in bad], _KINDS[f]) for f in FIELDS})
+    if strict:
+        cols = {"line_id": pa.array([i for i, _ in strict], pa.int64()), "reason": pa.array([d[0] for _, d in strict], pa.string())}
+        yield pa.table(cols | {f: pa.array([d[1].get(f) for _, d in strict], _KINDS[f]) for f in FIELDS})
 
 
 def parse(deliveries: DataFrame) -> DataFrame:
