@@ -2,7 +2,7 @@
 
 Every cohort is a row of mixed encoded cells: one block of indicator cells per categorical field (scaled by
 1/sqrt(share), centred) and one standardised cell per numeric field. Cells of the record's plot (its known
-eco, most frequent species and mean log age), visit and crew (mean log age) stand beside its own. A record's factor is the ridge solution
+eco and mean log age), visit and crew (mean log age) stand beside its own. A record's factor is the ridge solution
 over its observed cells, the cell factors are the ridge solution over all records (with the uncertainty of their factors, so
 that a factor only one cell speaks for isn't trusted); the two alternate. The
 factors of the cells are a small matrix (cells x rank); all sums over records are aggregated in Spark.
@@ -34,7 +34,7 @@ RANK, ROUNDS, SEED = 8, 5, 7
 RIDGE = 1.0
 PLOT = ("statecd", "unitcd", "countycd", "plot")
 #: Categorical blocks and numeric cells of a record; plot_* are those of its plot.
-BLOCKS = ("eco", "species", "symbol", "wood", "plot_eco", "plot_species")
+BLOCKS = ("eco", "species", "symbol", "wood", "plot_eco")
 NUMBERS = ("age", "agb", "trees", "plot_age", "visit_age", "crew_age")
 #: Weight of a numeric cell beside the blocks, whose cells are many.
 NUMBER_WEIGHT = 2.0
@@ -72,66 +72,64 @@ class Lists:
         self.of_eco[~self.of_eco.any(1)] = True
 
     def sizes(self) -> list[int]:
-        n = {"eco": self.eco, "species": self.species, "symbol": self.symbol, "wood": self.wood, "plot_eco": self.eco, "plot_species": self.species}
+        n = {"eco": self.eco, "species": self.species, "symbol": self.symbol, "wood": self.wood, "plot_eco": self.eco}
         return [len(n[b]) + 1 for b in BLOCKS]
 
 
-def _code(t: pa.Table, name: str, values: list[str]) -> np.ndarray:
-    """Place in ``values``; len(values) if unlisted; -1 if null."""
-    c = t[name].combine_chunks()
-    at = pc.fill_null(pc.index_in(c, value_set=pa.array(values, pa.string())), len(values)).to_numpy(zero_copy_only=False).astype(np.int16)
-    at[np.asarray(c.is_null())] = -1
-    return at
+def _dictionary(spark, values: list[str], key: str, code: str) -> DataFrame:
+    """A list (at most MAX_LIST values, checked) as a table of codes."""
+    return F.broadcast(spark.createDataFrame(list(enumerate(values)), f"{code} int, {key} string"))
 
 
-def records(cohorts: DataFrame) -> DataFrame:
-    """One row per cohort with absent values as null, whether they were, and the cells of its plot."""
+def encode(cohorts: DataFrame, lists: Lists) -> DataFrame:
+    """The records as codes and floats, once per cohort, with the cells of their plot, visit and crew.
+
+    Everything is encoded before the first shuffle. Statistics of plots, visits and crews are summed where
+    the rows are read (repeated deliveries count as often as they came) and joined to each other while they
+    are small; the records meet them in one join on the visit. Written once, read by every round.
+    """
     codes = recurring_codes(cohorts, {"age_calc": "age", "eco": "text", "species_symbol_map": "text"})
-    rows = (
-        cohorts.filter("cohort_id is not null")
-        .select(
-            F.col("cohort_id").cast("long").alias("cohort_id"), *PLOT, "plt_cn", "crew_id",
-            *(F.when(~is_absent(f, codes[f]), F.col(f)).alias(f) for f in ("age_calc", "eco", "species_symbol_map")),
-            "species_symbol", F.upper(F.substring("sftwd_hrdwd", 1, 1)).alias("wood"),
-            F.when((F.col("agb") > 0) & (F.col("agb") < float("inf")), F.log("agb")).alias("agb"), F.when(F.col("tree_count") > 0, F.log("tree_count")).alias("trees"),
-        )
-        .dropDuplicates(["cohort_id"])
+    spark = cohorts.sparkSession
+    base = cohorts.select(
+        F.col("cohort_id").cast("long").alias("cohort_id"), F.xxhash64("plt_cn", *PLOT, "crew_id").alias("visit"),
+        F.xxhash64(*PLOT).alias("place"), "crew_id", "plt_cn",
+        *(F.when(~is_absent(f, codes[f]), F.col(f)).alias(f) for f in ("age_calc", "eco", "species_symbol_map")),
+        "species_symbol", F.upper(F.substring("sftwd_hrdwd", 1, 1)).alias("w"),
+        F.when((F.col("agb") > 0) & (F.col("agb") < float("inf")), F.log("agb")).cast("float").alias("agb"),
+        F.when(F.col("tree_count") > 0, F.log("tree_count")).cast("float").alias("trees"),
+    ).withColumn("age", F.when(F.col("age_calc").between(1, 1500), F.log("age_calc")).cast("float"))
+    mean = [F.sum("age").alias("s"), F.count("age").alias("k")]
+    visits = base.groupBy("visit", "place", "crew_id").agg(*mean)
+    again = [F.sum("s").alias("s"), F.sum("k").alias("k")]
+    of_crew = visits.filter("crew_id is not null").groupBy("crew_id").agg(*again).select("crew_id", (F.col("s") / F.col("k")).alias("crew_age"))
+    of_place = visits.groupBy("place").agg(*again).select("place", (F.col("s") / F.col("k")).alias("plot_age"))
+    in_eco = base.filter("eco is not null").groupBy("place", "eco").agg(F.count("*").alias("n")).groupBy("place").agg(F.max(F.struct("n", "eco"))["eco"].alias("plot_of"))
+    in_eco = in_eco.join(_dictionary(spark, lists.eco, "plot_of", "plot_eco"), "plot_of", "left").select("place", F.coalesce("plot_eco", F.lit(len(lists.eco))).alias("plot_eco"))
+    known = (
+        visits.join(of_place, "place", "left").join(in_eco, "place", "left").join(of_crew, "crew_id", "left")
+        .groupBy("visit").agg(F.max("plot_eco").alias("plot_eco"), F.avg("plot_age").alias("plot_age"), F.avg("crew_age").alias("crew_age"), (F.sum("s") / F.sum("k")).alias("visit_age"))
     )
-    age = F.when(F.col("age_calc").between(1, 1500), F.log("age_calc"))
-    # one small row per (plot, eco, species), then the heaviest of each per plot: no task sees a whole plot
-    small = rows.groupBy(*PLOT, "eco", "species_symbol_map").agg(F.count("*").alias("n"), F.sum(age).alias("s"), F.count(age).alias("k"))
-    by_eco = small.groupBy(*PLOT, "eco").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("k").alias("k"))
-    best_eco = by_eco.groupBy(*PLOT).agg(F.max(F.when(F.col("eco").isNotNull(), F.struct("n", "eco")))["eco"].alias("plot_eco"), (F.sum("s") / F.sum("k")).alias("plot_age"))
-    by_species = small.groupBy(*PLOT, "species_symbol_map").agg(F.sum("n").alias("n"))
-    best_species = by_species.groupBy(*PLOT).agg(F.max(F.when(F.col("species_symbol_map").isNotNull(), F.struct("n", "species_symbol_map")))["species_symbol_map"].alias("plot_species"))
-    plots = best_eco.join(best_species, list(PLOT))
-    known = rows.join(plots, list(PLOT), "left").drop(*PLOT)
-    for key, name in (("plt_cn", "visit_age"), ("crew_id", "crew_age")):
-        known = known.join(rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.avg(age).alias(name)), key, "left")
-    return known
-
-
-def encode(rows: DataFrame, lists: Lists) -> DataFrame:
-    """The records as small integers and floats; written once, read by every round."""
-    names = {"eco": ("eco", lists.eco), "species": ("species_symbol_map", lists.species), "symbol": ("species_symbol", lists.symbol), "wood": ("wood", lists.wood), "plot_eco": ("plot_eco", lists.eco), "plot_species": ("plot_species", lists.species)}
-    schema = "cohort_id long, age_calc int, raw_eco string, raw_species string, " + ", ".join(f"{b} short" for b in BLOCKS) + ", " + ", ".join(f"{x} float" for x in NUMBERS)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            t = pa.Table.from_batches([b])
-            cols = {x: pa.array(_code(t, *names[x])) for x in BLOCKS}
-            # only unlisted values need their spelling
-            for raw, f, x, n in (("raw_eco", "eco", "eco", len(lists.eco)), ("raw_species", "species_symbol_map", "species", len(lists.species))):
-                cols[raw] = pc.if_else(pc.equal(cols[x], n), t[f].combine_chunks(), pa.scalar(None, pa.string()))
-            cols |= {"cohort_id": t["cohort_id"], "age_calc": t["age_calc"]}
-            cols |= {x: pc.cast(t[x], pa.float32()) for x in NUMBERS}
-            order = ["cohort_id", "age_calc", "raw_eco", "raw_species", *BLOCKS, *NUMBERS]
-            yield from pa.table({k: cols[k] for k in order}).combine_chunks().to_batches()
-
-    fed = rows.select(
-        "cohort_id", F.col("age_calc").cast("int").alias("age_calc"), *(n for n, _ in list(names.values())), F.when(F.col("age_calc").between(1, 1500), F.log("age_calc")).alias("age"), *NUMBERS[1:],
+    coded = base.filter("cohort_id is not null")
+    for key, code, values in (("eco", "eco_at", lists.eco), ("species_symbol_map", "species_at", lists.species), ("species_symbol", "symbol_at", lists.symbol)):
+        coded = coded.join(_dictionary(spark, values, key, code), key, "left")
+
+    def code(key: str, at: str, size: int):
+        return F.when(F.col(key).isNull(), -1).otherwise(F.coalesce(at, F.lit(size))).cast("short")
+
+    rows = coded.select(
+        "cohort_id", "visit", F.col("age_calc").cast("int").alias("age_calc"),
+        F.when(F.col("eco_at").isNull(), F.col("eco")).alias("raw_eco"), F.when(F.col("species_at").isNull(), F.col("species_symbol_map")).alias("raw_species"),
+        code("eco", "eco_at", len(lists.eco)).alias("eco"), code("species_symbol_map", "species_at", len(lists.species)).alias("species"),
+        code("species_symbol", "symbol_at", len(lists.symbol)).alias("symbol"),
+        F.when(F.col("w").isNull(), -1).when(F.col("w") == "H", 0).when(F.col("w") == "S", 1).otherwise(2).cast("short").alias("wood"), "age", "agb", "trees",
+    ).dropDuplicates(["cohort_id"])
+    return cut(
+        rows.join(known, "visit", "left").select(
+            "cohort_id", "age_calc", "raw_eco", "raw_species", "eco", "species", "symbol", "wood",
+            F.coalesce("plot_eco", F.lit(-1)).cast("short").alias("plot_eco"), "age", "agb", "trees",
+            *(F.col(x).cast("float").alias(x) for x in NUMBERS[3:]),
+        )
     )
-    return cut(fed.mapInArrow(run, schema))
 
 
 class Model:
@@ -303,7 +301,7 @@ def decode(t: pa.Table, model: Model, lists: Lists) -> pa.Table:
 def fill(cohorts: DataFrame, ecos: DataFrame, species: DataFrame, species_eco: DataFrame) -> DataFrame:
     """One row per cohort: the three fields filled, with a mark on every filled and every absent value."""
     lists = Lists(ecos, species, species_eco)
-    coded = encode(records(cohorts), lists)
+    coded = encode(cohorts, lists)
     model = fit(coded, lists)
     if model is None:
         return cohorts.sparkSession.createDataFrame([], OUT)
