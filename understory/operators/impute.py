@@ -40,6 +40,8 @@ NUMBERS = ("age", "agb", "trees", "plot_age", "visit_age", "crew_age")
 NUMBER_WEIGHT = 2.0
 MAX_LIST = 5_000
 MIN_SHARE = 1e-4
+#: Bits of a code, the stand-in for a null number, and steps of a log agb while records are shuffled.
+BITS, NONE, LOG_STEPS = 15, -(1 << 31), 10_000
 OUT = (
     "cohort_id long, age_calc int, eco string, species_symbol_map string, age_calc_filled boolean, eco_filled boolean, "
     "species_symbol_map_filled boolean, age_calc_absent boolean, eco_absent boolean, species_symbol_map_absent boolean"
@@ -55,6 +57,8 @@ class Lists:
         pairs = bounded_rows(species_eco.select("eco", "species_symbol", "species_symbol_map").na.drop().distinct(), 20 * MAX_LIST, "the species map")
         self.symbol = sorted({r[1] for r in pairs})
         self.wood = ["H", "S"]
+        if max(map(len, (self.eco, self.species, self.symbol))) > (1 << BITS) - 3:
+            raise ValueError("a reference list is too long for its code")
         e, s, y = ({v: i for i, v in enumerate(x)} for x in (self.eco, self.species, self.symbol))
         self.of_pair: dict[tuple[int, int], list[int]] = {}
         self.of_eco = np.zeros((len(self.eco) + 1, len(self.species)), bool)
@@ -95,8 +99,7 @@ def encode(cohorts: DataFrame, lists: Lists) -> DataFrame:
         F.xxhash64(*PLOT).alias("place"), "crew_id", "plt_cn",
         *(F.when(~is_absent(f, codes[f]), F.col(f)).alias(f) for f in ("age_calc", "eco", "species_symbol_map")),
         "species_symbol", F.upper(F.substring("sftwd_hrdwd", 1, 1)).alias("w"),
-        F.when((F.col("agb") > 0) & (F.col("agb") < float("inf")), F.log("agb")).cast("float").alias("agb"),
-        F.when(F.col("tree_count") > 0, F.log("tree_count")).cast("float").alias("trees"),
+        "agb", "tree_count",
     ).withColumn("age", F.when(F.col("age_calc").between(1, 1500), F.log("age_calc")).cast("float"))
     mean = [F.sum("age").alias("s"), F.count("age").alias("k")]
     visits = base.groupBy("visit", "place", "crew_id").agg(*mean)
@@ -114,22 +117,34 @@ def encode(cohorts: DataFrame, lists: Lists) -> DataFrame:
         coded = coded.join(_dictionary(spark, values, key, code), key, "left")
 
     def code(key: str, at: str, size: int):
-        return F.when(F.col(key).isNull(), -1).otherwise(F.coalesce(at, F.lit(size))).cast("short")
+        """0 for null, then the place in the list, then one for every unlisted value."""
+        return F.when(F.col(key).isNull(), 0).otherwise(F.coalesce(at, F.lit(size)) + 1).cast("long")
 
+    wood = F.when(F.col("w").isNull(), 0).when(F.col("w") == "H", 1).when(F.col("w") == "S", 2).otherwise(3).cast("long")
+    blocks = [code("eco", "eco_at", len(lists.eco)), code("species_symbol_map", "species_at", len(lists.species)), code("species_symbol", "symbol_at", len(lists.symbol)), wood]
+    # two numbers hold all cells while the rows travel: four codes of BITS bits; age and log agb in 32 bits each
+    log_agb = F.when((F.col("agb") > 0) & (F.col("agb") < float("inf")), F.round(F.log("agb") * LOG_STEPS))
     rows = coded.select(
-        "cohort_id", "visit", F.col("age_calc").cast("int").alias("age_calc"),
+        "cohort_id", "visit",
+        sum(F.shiftleft(c, BITS * i) for i, c in enumerate(blocks)).alias("codes"),
+        (F.shiftleft(F.coalesce("age_calc", F.lit(NONE)).cast("long"), 32) + (F.coalesce(log_agb, F.lit(NONE)).cast("long") - NONE)).alias("numbers"),
+        F.col("tree_count").cast("int").alias("tree_count"),
         F.when(F.col("eco_at").isNull(), F.col("eco")).alias("raw_eco"), F.when(F.col("species_at").isNull(), F.col("species_symbol_map")).alias("raw_species"),
-        code("eco", "eco_at", len(lists.eco)).alias("eco"), code("species_symbol_map", "species_at", len(lists.species)).alias("species"),
-        code("species_symbol", "symbol_at", len(lists.symbol)).alias("symbol"),
-        F.when(F.col("w").isNull(), -1).when(F.col("w") == "H", 0).when(F.col("w") == "S", 1).otherwise(2).cast("short").alias("wood"), "age", "agb", "trees",
     ).dropDuplicates(["cohort_id"])
-    return cut(
-        rows.join(known, "visit", "left").select(
-            "cohort_id", "age_calc", "raw_eco", "raw_species", "eco", "species", "symbol", "wood",
-            F.coalesce("plot_eco", F.lit(-1)).cast("short").alias("plot_eco"), "age", "agb", "trees",
-            *(F.col(x).cast("float").alias(x) for x in NUMBERS[3:]),
-        )
+
+    def unpacked(i: int):
+        return (F.shiftright("codes", BITS * i).bitwiseAND(F.lit((1 << BITS) - 1)) - 1).cast("short")
+
+    age = F.shiftright("numbers", 32).cast("int")
+    agb = F.col("numbers").bitwiseAND(F.lit((1 << 32) - 1)) + NONE
+    out = rows.join(known, "visit", "left").select(
+        "cohort_id", F.when(age != NONE, age).alias("age_calc"), "raw_eco", "raw_species", *(unpacked(i).alias(x) for i, x in enumerate(BLOCKS[:4])),
+        F.coalesce("plot_eco", F.lit(-1)).cast("short").alias("plot_eco"),
+        F.when(age.between(1, 1500), F.log(age)).cast("float").alias("age"), F.when(agb != NONE, agb / LOG_STEPS).cast("float").alias("agb"),
+        F.when(F.col("tree_count") > 0, F.log("tree_count")).cast("float").alias("trees"),
+        *(F.col(x).cast("float").alias(x) for x in NUMBERS[3:]),
     )
+    return cut(out)
 
 
 class Model:
