@@ -126,5 +126,5 @@ def feature_cells(cohorts: DataFrame, species: DataFrame) -> DataFrame:
     return (
         cells(cohort_events(cohorts), types).join(F.broadcast(names), "type_ix", "left")
         .select(F.col("entity").alias("plt_cn"), F.coalesce("listed", "kind").alias("species_symbol_map"), "n",
-                F.round(F.coalesce("total", F.lit(0.0)), 4).alias("total"), F.datediff(day, "latest").alias("days"))
+                F.coalesce("total", F.lit(0.0)).alias("total"), F.datediff(day, "latest").alias("days"))
     )

@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
-from understory.operators import chunks, features, impute, lines, orphans, spikes
+from pyspark.sql import functions as F
+
+from understory.operators import absent, chunks, features, impute, lines, orphans, spikes
 from understory.session import table
 
 
+def significant(column: str):
+    """Nine significant digits: sums of doubles depend on their order beyond that."""
+    return F.format_string("%.8e", column).cast("double")
+
+
 def p1_features(spark, d):
     return features.feature_table(table(spark, d, "data_eco_cohorts"), table(spark, d, "data_all_species"))
 
 
 def p1_cells(spark, d):
-    return features.feature_cells(table(spark, d, "data_eco_cohorts"), table(spark, d, "data_all_species"))
+    cells = features.feature_cells(table(spark, d, "data_eco_cohorts"), table(spark, d, "data_all_species"))
+    return cells.withColumn("total", significant("total"))
 
 
 def p2_found(spark, d):
@@ -19,10 +27,8 @@ def p2_found(spark, d):
 
 
 def p2_results(spark, d):
-    from pyspark.sql import functions as F
-
     r = chunks.per_key_results(table(spark, d, "data_eco_cohorts"), order=["loaded_at", "cohort_id"])
-    return r.withColumn("total", F.round("total", 2)).drop("chunks")
+    return r.withColumn("total", significant("total")).drop("chunks")
 
 
 def _filled(spark, d):
@@ -67,3 +73,80 @@ def p7_report(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (p1_features, p1_cells, p2_found, p2_results, p3_found, p3_filled, p4_found, p4_flags, p6_found, p6_loaded, p7_found, p7_report)}
+
+# ---------------------------------------------------------------- the same in SQL, over whole tables
+
+_WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_TEXT = ", ".join("'" + c.replace("'", "''") + "'" for c in absent.TEXT_CODES)
+_AGE = ", ".join(f"'{c}'" for c in absent.AGE_CODES)
+
+
+def _norm(c: str) -> str:
+    return f"lower(trim(CAST({c} AS VARCHAR), {_WHITE}))"
+
+
+def _codes(field: str, listed: str) -> str:
+    return f"""SELECT {_norm(field)} AS code FROM data_eco_cohorts WHERE {_norm(field)} IN ({listed}) GROUP BY 1
+  HAVING min(crew_id) < max(crew_id) AND count(*) >= {absent.MIN_SHARE} * (SELECT count(*) FROM data_eco_cohorts)"""
+
+
+def _absent(field: str) -> str:
+    return f"({field} IS NULL OR {_norm(field)} = '' OR {_norm(field)} IN (SELECT code FROM codes_{field}))"
+
+
+_CODES = ",\n".join(f"codes_{f} AS ({_codes(f, x)})" for f, x in (("species_symbol_map", _TEXT), ("eco", _TEXT), ("age_calc", _AGE)))
+_DAY = r"""CASE WHEN regexp_full_match(trim(measdate), '(\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{8})([ T]\d{2}:\d{2}(:\d{2}(\.\d+)?)?)?')
+  THEN CAST(try_strptime(substr(regexp_replace(substr(trim(measdate), 1, 10), '[-/]', '', 'g'), 1, 8), '%Y%m%d') AS DATE) END"""
+_FINITE = "CASE WHEN NOT isnan(agb) AND abs(agb) < CAST('infinity' AS DOUBLE) THEN agb END"
+_KEYED = f"""keyed AS (SELECT 'eco' AS field, eco AS key_value, agb, crew_id, loaded_at, cohort_id FROM data_eco_cohorts WHERE NOT {_absent("eco")}
+  UNION ALL SELECT 'species_symbol_map', species_symbol_map, agb, crew_id, loaded_at, cohort_id FROM data_eco_cohorts WHERE NOT {_absent("species_symbol_map")})"""
+_ONCE = "SELECT DISTINCT cohort_id, crew_id, plt_cn, eco, species_symbol_map, measdate, age_calc, agb FROM data_eco_cohorts"
+
+
+def _flags(field: str, reading: str, possible: str) -> str:
+    """Flags of one field: impossible, far from the crew's median on a log scale, or in a run of equal readings."""
+    f = field
+    return f"""r_{f} AS (SELECT cohort_id, crew_id, x, {possible} AS ok, round(log2(CASE WHEN {possible} AND x > 0 THEN x END) * 256) AS bin FROM ({reading}) t),
+m_{f} AS (SELECT *, quantile_cont(bin, 0.5) OVER (PARTITION BY crew_id) AS mid FROM r_{f}),
+d_{f} AS (SELECT *, quantile_cont(abs(bin - mid), 0.5) OVER (PARTITION BY crew_id) AS mad FROM m_{f}),
+n_{f} AS (SELECT *, CASE WHEN x IS NOT DISTINCT FROM lag(x) OVER (PARTITION BY crew_id ORDER BY cohort_id) THEN 0 ELSE 1 END AS fresh FROM d_{f}),
+g_{f} AS (SELECT *, sum(fresh) OVER (PARTITION BY crew_id ORDER BY cohort_id) AS run FROM n_{f}),
+l_{f} AS (SELECT *, count(*) OVER (PARTITION BY crew_id, run) AS length FROM g_{f}),
+f_{f} AS (SELECT cohort_id, '{f}' AS field FROM l_{f} WHERE NOT ok OR length >= 6 OR x = 0 OR (x > 0 AND abs(log2(CASE WHEN ok AND x > 0 THEN x END) - mid / 256) > 5 * greatest(1.4826 * mad, 1) / 256))"""
+
+
+_F = r"""(?:[^",]*|"(?:[^"]|"")*")"""
+_LINE = rf"^({_F}),{_F},{_F},{_F},{_F},{_F},({_F}),{_F},{_F},{_F},{_F},({_F}),{_F},{_F},{_F}$"
+
+
+def _field(i: int) -> str:
+    v = f"regexp_extract(line, '{_LINE}', {i})"
+    return f"CASE WHEN {v} LIKE '\"%' THEN replace(substr({v}, 2, length({v}) - 2), '\"\"', '\"') ELSE {v} END"
+
+
+_ORPHANS = f"""refs AS (SELECT 'data_eco_cohorts' AS table_name, 'species_symbol_map' AS field, cohort_id AS row_id, species_symbol_map AS ref, CAST(loaded_at AS DATE) AS day FROM data_eco_cohorts WHERE NOT {_absent("species_symbol_map")}
+  UNION ALL SELECT 'output_communities', 'species_symbol', record_id, species_symbol, CAST(written_at AS DATE) FROM output_communities WHERE species_symbol IS NOT NULL
+  UNION ALL SELECT 'output_communities', 'ecocode', record_id, CAST(ecocode AS VARCHAR), CAST(written_at AS DATE) FROM output_communities WHERE ecocode IS NOT NULL),
+listed AS (SELECT 's' AS list, species_symbol_map AS ref, listed_on, delisted_on FROM data_all_species UNION ALL SELECT 'e', CAST(ecocode AS VARCHAR), listed_on, delisted_on FROM eco_ecocode_map),
+orphans AS (SELECT * FROM refs r WHERE NOT EXISTS (SELECT 1 FROM listed l WHERE l.ref = r.ref AND l.list = CASE WHEN r.field = 'ecocode' THEN 'e' ELSE 's' END
+  AND l.listed_on <= coalesce(r.day, DATE '9999-12-31') AND (l.delisted_on IS NULL OR coalesce(r.day, DATE '9999-12-31') < l.delisted_on)))"""
+
+ORACLES = {
+    "p1_cells": f"""WITH {_CODES}, once AS ({_ONCE}), e AS (SELECT plt_cn, CASE WHEN NOT {_absent("species_symbol_map")} THEN species_symbol_map END AS species_symbol_map, {_FINITE} AS t, {_DAY} AS day FROM once)
+SELECT plt_cn, species_symbol_map, count(*) AS n, CAST(printf('%.8e', CAST(coalesce(sum(t), 0) AS DOUBLE)) AS DOUBLE) AS total, date_diff('day', max(day), (SELECT max(CAST(loaded_at AS DATE)) FROM data_eco_cohorts)) AS days FROM e GROUP BY ALL""",
+    "p2_found": f"WITH {_CODES}, {_KEYED} SELECT field, key_value FROM keyed GROUP BY ALL HAVING count(*) >= 0.05 * (SELECT count(*) FROM data_eco_cohorts)",
+    "p2_results": f"""WITH {_CODES}, {_KEYED}, o AS (SELECT *, {_FINITE} AS x, lag(crew_id) OVER w AS before, row_number() OVER w AS no FROM keyed WINDOW w AS (PARTITION BY field, key_value ORDER BY loaded_at, cohort_id))
+SELECT field, key_value, count(*) AS n_rows, count(x) AS n_values, CAST(printf('%.8e', sum(x)) AS DOUBLE) AS total, min(x) AS lowest, max(x) AS highest, count(*) FILTER (no > 1 AND before IS DISTINCT FROM crew_id) AS turns FROM o GROUP BY ALL""",
+    "p3_found": f"WITH {_CODES} " + " UNION ALL ".join(f"SELECT DISTINCT cohort_id, '{f}' AS field FROM data_eco_cohorts WHERE {_absent(f)}" for f in ("age_calc", "eco", "species_symbol_map")),
+    "p4_found": f"""WITH {_CODES}, once AS ({_ONCE}),
+{_flags("age_calc", f"SELECT cohort_id, crew_id, CAST(age_calc AS DOUBLE) AS x FROM once WHERE NOT {_absent('age_calc')}", "(x >= 1 AND x <= 1500)")},
+{_flags("agb", "SELECT cohort_id, crew_id, agb AS x FROM once WHERE agb IS NOT NULL", "(x >= 0 AND x < CAST('infinity' AS DOUBLE) AND NOT isnan(x))")}
+SELECT * FROM f_age_calc UNION ALL SELECT * FROM f_agb""",
+    "p6_found": rf"""WITH a AS (SELECT line_id, line, regexp_replace(line, '"(?:[^"]|"")*"', 'q', 'g') AS bare FROM cohort_lines),
+b AS (SELECT *, CASE WHEN line IS NULL THEN 'column_count' WHEN NOT regexp_full_match(line, '{_F}(?:,{_F})*') THEN 'quoting' WHEN length(bare) - length(replace(bare, ',', '')) <> 14 THEN 'column_count' END AS reason FROM a),
+c AS (SELECT *, {_field(1)} AS k, {_field(2)} AS m, {_field(3)} AS g FROM b)
+SELECT DISTINCT line_id, coalesce(reason, 'invalid_value') AS reason FROM c WHERE reason IS NOT NULL OR NOT regexp_full_match(k, '[0-9]{{1,15}}')
+  OR NOT regexp_full_match(m, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') OR try_strptime(m, '%Y-%m-%d') IS NULL OR NOT (g = '' OR (regexp_full_match(g, '([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?') AND coalesce(TRY_CAST(g AS DOUBLE) < CAST('infinity' AS DOUBLE), false)))""",
+    "p7_found": f"WITH {_CODES}, {_ORPHANS} SELECT DISTINCT table_name, field, row_id FROM orphans",
+    "p7_report": f"WITH {_CODES}, {_ORPHANS} SELECT table_name, field, strftime(coalesce(day, DATE '9999-12-31'), '%Y-%m') AS period, count(DISTINCT ref) AS orphan_keys, count(*) AS orphan_rows FROM orphans GROUP BY ALL",
+}
