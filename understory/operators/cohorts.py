@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from understory.functions.dates import parse_day
-from understory.schemas import PLOT_KEY
+from understory.schemas import COHORTS, PLOT_KEY
+from understory.session import cut
 
 #: Biomass of a cohort above this is no measurement.
 MAX_AGB = 1e6
@@ -31,7 +32,7 @@ def undisturbed(df: DataFrame) -> DataFrame:
 
 def valid_cohorts(cohorts: DataFrame, ecos: DataFrame, species: DataFrame) -> DataFrame:
     """Cohorts fit for the model, once each: whole plot key, readable day, listed eco and species, usable age and agb."""
-    rows = cohorts.drop("loaded_at").distinct()
+    rows = cohorts.select(*(c for c in COHORTS.names if c != "loaded_at")).distinct()
     rows = rows.withColumn("measdate", parse_day("measdate")).filter(
         F.col("measdate").isNotNull() & F.col("age_calc").between(1, 998) & (F.col("agb") >= 0) & (F.col("agb") < MAX_AGB)
     ).dropna(subset=["plt_cn", *PLOT_KEY])
@@ -81,8 +82,6 @@ def dense_ids(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     """
     distinct = df.select(*keys).distinct()
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    from understory.session import cut
-
     parts = cut(distinct.repartitionByRange(n, *keys).sortWithinPartitions(*keys)).withColumn("_pid", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
     counts = parts.groupBy("_pid").agg(F.count("*").alias("_n"))
     before = counts.withColumn("_off", F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
@@ -114,11 +113,15 @@ def site_sim_years(df: DataFrame) -> DataFrame:
 
 
 def splots(cohorts: DataFrame) -> DataFrame:
-    """The normalised measurements: sums per measurement, species and age with their ids and years."""
-    sums = with_start(group_sum(cohorts)).withColumn("sim_year", sim_year()).withColumn("year_deficit", year_deficit())
+    """The normalised measurements: sums per measurement, species and age with their ids and years.
+
+    The sums are written once; all dictionaries are read from them, not from the delivered rows.
+    """
+    sums = cut(group_sum(cohorts))
+    years = with_start(sums).withColumn("sim_year", sim_year()).withColumn("year_deficit", year_deficit())
     return (
-        sums.join(dense_ids(cohorts, [*PLOT_KEY, "eco"], "plot_id"), [*PLOT_KEY, "eco"])
-        .join(list_ids(cohorts, "eco", "eco_id"), "eco")
-        .join(list_ids(cohorts, "species_symbol_map", "species_id"), "species_symbol_map")
-        .join(eco_species_ids(cohorts), ["eco", "species_symbol_map"])
+        years.join(dense_ids(sums, [*PLOT_KEY, "eco"], "plot_id"), [*PLOT_KEY, "eco"])
+        .join(list_ids(sums, "eco", "eco_id"), "eco")
+        .join(list_ids(sums, "species_symbol_map", "species_id"), "species_symbol_map")
+        .join(eco_species_ids(sums), ["eco", "species_symbol_map"])
     )

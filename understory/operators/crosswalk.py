@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from understory.functions.dates import parse_day
 from understory.operators.cohorts import dense_ids, list_ids
 from understory.schemas import PLOT_KEY
+from understory.session import cut
 
 
 def pixel_pairs(pixels: DataFrame) -> DataFrame:
@@ -60,7 +61,7 @@ def crosswalk(full: DataFrame) -> DataFrame:
 def effective_splots(resolved: DataFrame) -> DataFrame:
     """Normalised measurements per pixel ecoregion with effective ids."""
     keys = ["plt_cn", *PLOT_KEY, "raster_ecocode", "raster_eco", "effective_eco", "effective_ecocode", "effective_species", "measdate", "age_calc"]
-    sums = resolved.groupBy(*keys).agg(F.count("*").alias("count"), F.sum("agb").alias("agb_sum"))
+    sums = cut(resolved.groupBy(*keys).agg(F.count("*").alias("count"), F.sum("agb").alias("agb_sum")))
     first = F.min("measdate").over(Window.partitionBy(*PLOT_KEY))
     return (
         sums.withColumn("start_measdate", first)

@@ -10,7 +10,7 @@ from understory.session import table
 
 def significant(column: str):
     """Nine significant digits: sums of doubles depend on their order beyond that."""
-    return F.format_string("%.8e", column).cast("double")
+    return F.format_string("%.8e", column).try_cast("double")
 
 
 def p1_features(spark, d):

@@ -74,9 +74,9 @@ def catch_all_symbols(spark, d):
 
 # ---------------------------------------------------------------- sums, first measurements, years
 
-@query(sql("SELECT * REPLACE (round(agb_sum, 6) AS agb_sum) FROM sums", ["sums"]))
+@query(sql("SELECT * REPLACE (round(agb_sum, 8) AS agb_sum) FROM sums", ["sums"]))
 def plots_group_sum(spark, d):
-    return rounded(C.group_sum(fx.coh(spark, d)), "agb_sum")
+    return rounded(C.group_sum(fx.coh(spark, d)), "agb_sum", digits=8)
 
 
 _STARTS = sql(f"SELECT DISTINCT {PLOT}, plt_cn, measdate, start_measdate FROM coh JOIN starts USING ({PLOT})", ["coh", "starts"])
@@ -110,9 +110,9 @@ def spinup_cohorts(spark, d):
     return C.spinup_cohorts(fx.splots(spark, d)).select("plot_id", "eco", "species_symbol_map", "year_deficit")
 
 
-@query(sql("SELECT plot_id, eco, species_symbol_map, age_calc, round(agb_sum, 6) AS agb_sum FROM splots WHERE sim_year = 0", ["splots"]))
+@query(sql("SELECT plot_id, eco, species_symbol_map, age_calc, round(agb_sum, 8) AS agb_sum FROM splots WHERE sim_year = 0", ["splots"]))
 def initial_cohorts(spark, d):
-    return rounded(C.initial_cohorts(fx.splots(spark, d)).select("plot_id", "eco", "species_symbol_map", "age_calc", "agb_sum"), "agb_sum")
+    return rounded(C.initial_cohorts(fx.splots(spark, d)).select("plot_id", "eco", "species_symbol_map", "age_calc", "agb_sum"), "agb_sum", digits=8)
 
 
 # ---------------------------------------------------------------- ids and lists
@@ -148,9 +148,9 @@ def site_sim_years(spark, d):
     return C.site_sim_years(C.with_start(fx.coh(spark, d)).withColumn("sim_year", C.sim_year())).withColumn("sim_years", years)
 
 
-@query(sql("SELECT * REPLACE (round(agb_sum, 6) AS agb_sum) FROM splots", ["splots"]))
+@query(sql("SELECT * REPLACE (round(agb_sum, 8) AS agb_sum) FROM splots", ["splots"]))
 def splots(spark, d):
-    return rounded(fx.splots(spark, d), "agb_sum")
+    return rounded(fx.splots(spark, d), "agb_sum", digits=8)
 
 
 @query(sql("SELECT max(age_calc) AS max_age, max(plot_id) AS n_plots, max(species_id) AS n_species, max(eco_id) AS n_ecos, min(sim_year) AS first_year, max(sim_year) AS last_year FROM splots", ["splots"]))
@@ -186,23 +186,23 @@ def _top(spark, d) -> int:
     return fx.coh(spark, d).agg(F.max("age_calc")).first()[0] or 1
 
 
-@query(sql(f"SELECT {KEY_SQL}, age_calc AS age, round(sum(agb_sum), 6) AS mass FROM splots GROUP BY ALL", ["splots"]))
+@query(sql(f"SELECT {KEY_SQL}, age_calc AS age, round(sum(agb_sum), 8) AS mass FROM splots GROUP BY ALL", ["splots"]))
 def age_hist(spark, d):
-    return rounded(A.histogram(fx.splots(spark, d), KEYS), "mass")
+    return rounded(A.histogram(fx.splots(spark, d), KEYS), "mass", digits=8)
 
 
 _REF = {"m": "SELECT s.*, n FROM splots s, top"} | _cdf_ctes("r", "m", KEY_SQL, "age_calc", "agb_sum", "n")
 
 
-@query(sql(f"SELECT {KEY_SQL}, age, round(mass, 6) AS mass FROM rs", ["splots", "top"], _REF))
+@query(sql(f"SELECT {KEY_SQL}, age, round(mass, 8) AS mass FROM rs", ["splots", "top"], _REF))
 def smooth_ages(spark, d):
-    return rounded(A.smooth(A.histogram(fx.splots(spark, d), KEYS), KEYS, _W, _top(spark, d)), "mass")
+    return rounded(A.smooth(A.histogram(fx.splots(spark, d), KEYS), KEYS, _W, _top(spark, d)), "mass", digits=8)
 
 
-@query(sql(f"SELECT {KEY_SQL}, bin, round(mass, 6) AS mass FROM rb", ["splots", "top"], _REF))
+@query(sql(f"SELECT {KEY_SQL}, bin, round(mass, 8) AS mass FROM rb", ["splots", "top"], _REF))
 def bin_ages(spark, d):
     dist = A.smooth(A.histogram(fx.splots(spark, d), KEYS), KEYS, _W, _top(spark, d))
-    return rounded(A.binned(dist, KEYS, LOSS.bins), "mass")
+    return rounded(A.binned(dist, KEYS, LOSS.bins), "mass", digits=8)
 
 
 @query(sql(f"SELECT {KEY_SQL}, bin, round(cdf, 6) AS cdf FROM rc SEMI JOIN rb USING ({KEY_SQL}, bin)", ["splots", "top"], _REF))
@@ -228,9 +228,9 @@ def _wide(df: DataFrame, column: str, prefix: str) -> DataFrame:
     return df.select(*(c for c in df.columns if c != column), *(F.round(F.get(column, F.lit(i)), 6).alias(f"{prefix}{i + 1}") for i in range(LOSS.bins.count)))
 
 
-@query(sql(f"SELECT {KEY_SQL}, round(any_value(agb), 6) AS agb, {_CDF_COLS} FROM ref GROUP BY {KEY_SQL}", ["splots", "top"], _SPDF))
+@query(sql(f"SELECT {KEY_SQL}, round(any_value(agb), 8) AS agb, {_CDF_COLS} FROM ref GROUP BY {KEY_SQL}", ["splots", "top"], _SPDF))
 def spdf(spark, d):
-    return rounded(_wide(_spdf(spark, d), "cdf", "c"), "agb")
+    return rounded(_wide(_spdf(spark, d), "cdf", "c"), "agb", digits=8)
 
 
 _WIDTHS = "CASE bin " + " ".join(f"WHEN {i + 1} THEN {w}" for i, w in enumerate(LOSS.bins.widths)) + " ELSE 0 END"
@@ -320,14 +320,14 @@ _EFF = {
 }
 
 
-@query(sql("SELECT * REPLACE (round(agb_sum, 6) AS agb_sum) FROM es", ["eff"], _EFF))
+@query(sql("SELECT * REPLACE (round(agb_sum, 8) AS agb_sum) FROM es", ["eff"], _EFF))
 def splots_effective(spark, d):
-    return rounded(_effective(spark, d), "agb_sum")
+    return rounded(_effective(spark, d), "agb_sum", digits=8)
 
 
-@query(sql("SELECT px.mapcode, px.plt_cn, px.ecocode, effective_eco, effective_species, age_calc, round(agb_sum, 6) AS agb_sum FROM px LEFT JOIN eff ON px.plt_cn = eff.plt_cn AND px.ecocode = eff.raster_ecocode", ["px", "eff"]))
+@query(sql("SELECT px.mapcode, px.plt_cn, px.ecocode, effective_eco, effective_species, age_calc, round(agb_sum, 8) AS agb_sum FROM px LEFT JOIN eff ON px.plt_cn = eff.plt_cn AND px.ecocode = eff.raster_ecocode", ["px", "eff"]))
 def pixel_cohorts(spark, d):
-    return rounded(X.pixel_cohorts(fx.pixels(spark, d), _effective(spark, d)), "agb_sum")
+    return rounded(X.pixel_cohorts(fx.pixels(spark, d), _effective(spark, d)), "agb_sum", digits=8)
 
 
 @query(sql("SELECT * FROM missed", ["px", "eff"], _EFF))
