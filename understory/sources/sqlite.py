@@ -1,8 +1,8 @@
 """SQLite tables as a data source: split by rowid, equality and list filters pushed into the query.
 
-Register once per session with ``spark.dataSource.register(SQLiteSource)``, then
-``spark.read.format("sqlite").schema(...).option("path", file).option("table", name).load()``. The file must
-be readable by every executor.
+``read_sqlite`` registers the source and switches filter pushdown for Python sources on; after that
+``spark.read.format("sqlite")`` and ``df.write.format("sqlite")`` with the options path and table work too.
+The file must be readable by every executor.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 import sqlite3
 from collections.abc import Iterator, Sequence
 
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, WriterCommitMessage
 from pyspark.sql.types import StructType
 
@@ -38,6 +39,12 @@ class SQLiteSource(DataSource):
         return _Writer(self.options, schema, overwrite)
 
 
+def read_sqlite(spark: SparkSession, path: str, table: str, partitions: int = 8) -> DataFrame:
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(SQLiteSource)
+    return spark.read.format("sqlite").option("path", path).option("table", table).option("partitions", partitions).load()
+
+
 class _Range(InputPartition):
     def __init__(self, lo: int, hi: int) -> None:
         self.lo, self.hi = lo, hi
