@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from understory.operators.absent import is_absent, recurring_codes
-from understory.session import bounded_rows, cut
+from understory.session import bounded_rows, cut_table
 
 RANK, ROUNDS, SEED = 8, 5, 7
 #: Ridge of the record factors: the noise variance of a cell, beside a prior variance of 1 of a factor.
@@ -144,7 +144,7 @@ def encode(cohorts: DataFrame, lists: Lists) -> DataFrame:
         F.when(F.col("tree_count") > 0, F.log("tree_count")).cast("float").alias("trees"),
         *(F.col(x).cast("float").alias(x) for x in NUMBERS[3:]),
     )
-    return cut(out)
+    return cut_table(out)
 
 
 class Model:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +26,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_table(df: DataFrame) -> DataFrame:
+    """Like ``cut``, as a columnar table in the same folder: cheaper to read many times, in no fixed order."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/understory-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def bounded_rows(df: DataFrame, limit: int, what: str) -> list:
     """Rows of a table whose size must be bounded; more than ``limit`` rows is an error, never a cut."""
     rows = df.limit(limit + 1).collect()
