@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from understory.operators.chunks import number_rows
+from understory.session import cut_table
 
 CAPACITIES = (2048,)
 OUT = "doc_id long, piece int, piece_start long, n_tokens int, bin_id long, bin_offset int, bin_capacity int"
@@ -113,8 +114,9 @@ def pieces(sizes: DataFrame, capacity: int) -> DataFrame:
 
 def pack(sizes: DataFrame, capacities: Sequence[int] = CAPACITIES) -> DataFrame:
     """One row per piece of every item of ``sizes`` (doc_id, n_tokens) with its container."""
-    numbered = number_rows(pieces(sizes.select("doc_id", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens")), max(capacities)), ["size"], order=["doc_id", "piece"])
-    counts = {r["size"]: r["n"] for r in numbered.groupBy("size").agg(F.count("*").alias("n")).collect()}  # at most capacity + 1 rows
+    rows = cut_table(pieces(sizes.select("doc_id", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens")), max(capacities)))
+    counts = {r["size"]: r["n"] for r in rows.groupBy("size").agg(F.count("*").alias("n")).collect()}  # at most capacity + 1 rows
+    numbered = number_rows(rows, ["size"], order=["doc_id", "piece"])
     plan = make_plan(counts, capacities)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
