@@ -90,7 +90,8 @@ def encode(cohorts: DataFrame, lists: Lists) -> DataFrame:
 
     Everything is encoded before the first shuffle. Statistics of plots, visits and crews are summed where
     the rows are read (repeated deliveries count as often as they came) and joined to each other while they
-    are small; the records meet them in one join on the visit. Written once, read by every round.
+    are small; the records meet them in one join on the visit. Written once, in packed columnar blocks, and
+    read by every round.
     """
     codes = recurring_codes(cohorts, {"age_calc": "age", "eco": "text", "species_symbol_map": "text"})
     spark = cohorts.sparkSession
@@ -144,7 +145,16 @@ def encode(cohorts: DataFrame, lists: Lists) -> DataFrame:
         F.when(F.col("tree_count") > 0, F.log("tree_count")).cast("float").alias("trees"),
         *(F.col(x).cast("float").alias(x) for x in NUMBERS[3:]),
     )
-    return cut_table(out)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, b.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                    w.write_batch(b)
+                yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block"])
+
+    return cut_table(out.mapInArrow(pack, "block binary"))
 
 
 class Model:
@@ -224,9 +234,16 @@ class Model:
         return self.share[g] + np.sqrt(self.share[g]) * (u @ v.T)
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The records of packed rows: a row holds a whole columnar batch, so that a round costs the engine a few rows."""
+    for b in batches:
+        for x in b.column(0):
+            yield pa.ipc.open_stream(x.as_buffer()).read_all().combine_chunks()
+
+
 def _arrays(t: pa.Table, model: Model | None) -> tuple[np.ndarray, np.ndarray]:
     codes = np.stack([t[b].to_numpy() for b in BLOCKS], 1).astype(np.int64)
-    numbers = np.stack([t[x].to_numpy(zero_copy_only=False) for x in NUMBERS], 1).astype(float)
+    numbers = np.stack([t[x].to_numpy() for x in NUMBERS], 1).astype(float)
     return codes, NUMBER_WEIGHT * (numbers - model.mean) / model.std if model else numbers
 
 
@@ -235,10 +252,10 @@ def _summed(coded: DataFrame, of) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
-        for b in batches:
-            x = of(pa.Table.from_batches([b])) if b.num_rows else 0
+        for t in _blocks(batches):
+            x = of(t)
             total = x if total is None else total + x
-        if total is not None and not np.isscalar(total):
+        if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], ["j", "x"])
 
     got = coded.mapInArrow(run, "j int, x double").groupBy("j").agg(F.sum("x").alias("x")).collect()  # cells x rank values
@@ -322,9 +339,8 @@ def fill(cohorts: DataFrame, ecos: DataFrame, species: DataFrame, species_eco: D
         return cohorts.sparkSession.createDataFrame([], OUT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                yield from decode(pa.Table.from_batches([b]), model, lists).combine_chunks().to_batches()
+        for t in _blocks(batches):
+            yield from decode(t, model, lists).combine_chunks().to_batches()
 
     return coded.mapInArrow(run, OUT)
 
