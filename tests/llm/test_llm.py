@@ -270,6 +270,20 @@ def test_shared_spans_match_brute_force(spark, seed):
     assert found(spark, texts) == want and len(want) > 20
 
 
+@pytest.mark.parametrize("few", [1, 4, 16])
+def test_cores_of_many_classes(spark, monkeypatch, few):
+    """A passage of which every document holds another part; compared by characters or, beyond ``few``, by hashes."""
+    monkeypatch.setattr(spans, "FEW", few)
+    rng = random.Random(few)
+    passage, texts = noise(rng, 420), []
+    for i in range(60):
+        n = rng.randrange(150, 380)
+        lo = rng.randrange(420 - n)
+        texts.append((i, noise(rng, rng.randrange(0, 90)) + passage[lo : lo + n] + noise(rng, rng.randrange(0, 90))))
+    texts += [(100 + i, texts[40][1]) for i in range(3)] + [(200, texts[41][1] + "!" + texts[41][1])]
+    assert found(spark, texts) == plain_spans(texts)
+
+
 def test_shared_spans_of_runs_and_periods(spark):
     rng = random.Random(9)
     texts = [
@@ -287,6 +301,7 @@ def test_shared_spans_edge_cases(spark):
     assert found(spark, texts) == plain_spans(texts)
     again = [(1, copy), (1, copy)]  # one document delivered twice shares nothing with itself
     assert found(spark, again) == set()
+    assert len(found(spark, [(1, copy + long[:900]), (1, copy), (2, long[:1200]), (3, copy)])) >= 3  # two texts of one doc_id don't fail
     assert found(spark, []) == set() and found(spark, [(None, copy), (1, copy)]) == set()
     amounts = {r.doc_id: (r.n_chars, r.shared_chars, r.shared_share) for r in spans.shared_amounts(with_clashes(docs(spark, texts))).collect()}
     assert amounts[1] == (0, 0, None) and amounts[6] == (500, 500, 1.0) and amounts[9] == (199, 0, 0.0) and len(amounts) == 10

@@ -13,13 +13,16 @@ its surroundings, at the same place, in both texts. These high-level symbols rev
 * boundaries whose surroundings occur in one document only are dropped;
 * if all characters that any stretch around the boundary could hold (its reach) occur in two documents,
   every stretch around it is shared;
-* otherwise the stretches of SPAN characters around the boundary are compared one by one by 128-bit hashes.
+* otherwise the occurrences of the boundary are compared: where they fall into a few classes of equal reach, one
+  of each class by its characters; where there are many, all stretches of SPAN characters around the boundary
+  one by one by 128-bit hashes.
 
-Nothing is compared in pairs: all groups are reduced by their lowest and highest doc_id, before the shuffle,
-so that a passage which a third of all documents hold costs no more than its occurrences.
+All groups are reduced by their lowest and highest doc_id, before the shuffle, so that a passage which a third
+of all documents hold costs no more than its occurrences.
 
 Defined cases: null texts and texts of fewer than SPAN characters share nothing; rows without doc_id are
-left out; two rows of the same doc_id aren't two documents; characters are Unicode code points.
+left out; two rows of the same doc_id aren't two documents (if their texts differ, the spans of both come out
+united); characters are Unicode code points.
 """
 
 from __future__ import annotations
@@ -35,6 +38,8 @@ from pyspark.sql import functions as F
 SPAN = 200
 #: The rounds: what is named and how long a name may get.
 ROUNDS = (("runs", 4), ("pairs", 6), ("pairs", 8), ("pairs", 10), ("pairs", 12), ("pairs", 14))
+#: Classes of a core that are compared directly, character by character; more are compared by hashes.
+FEW = 16
 #: Characters of a batch that are worked on together.
 SLICE_CHARS = 1_000_000
 _U = np.uint64
@@ -194,6 +199,8 @@ def stretches(wanted: DataFrame, span: int = SPAN) -> DataFrame:
                 for i, places in enumerate(at):
                     pos = np.array([p["pos"] for p in places]) + starts[i]
                     asked = np.array([p["asked"] for p in places], np.int64)
+                    inside = (pos + CONTEXT <= ends[i]) & (ends[i] - starts[i] >= span)
+                    pos, asked = pos[inside], asked[inside]
                     lo, hi = np.maximum(starts[i], pos + CONTEXT - span), np.minimum(ends[i] - span, pos - CONTEXT) + 1
                     np.add.at(mark, (asked, lo), 1)
                     np.add.at(mark, (asked, hi), -1)
@@ -209,25 +216,107 @@ def stretches(wanted: DataFrame, span: int = SPAN) -> DataFrame:
     return wanted.mapInArrow(run, "hash1 long, hash2 long, doc_id long, start int, asked boolean")
 
 
+def surroundings(wanted: DataFrame, span: int = SPAN) -> DataFrame:
+    """(core, full1, full2, lo, hi, before, after): the texts on both sides of given boundaries, as far as they reach.
+
+    ``wanted``: (doc_id, text, at array<struct<core,full1,full2,lo,hi,pos>>).
+    """
+    reach, names = span - CONTEXT, ("core", "full1", "full2", "lo", "hi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.column(2)
+            cell, owner = at.flatten(), np.repeat(np.arange(b.num_rows), at.value_lengths().to_numpy())
+            texts, pos = b.column(1).to_pylist(), cell.field("pos").to_pylist()
+            before = [texts[i][max(0, p - reach) : p] for i, p in zip(owner.tolist(), pos, strict=True)]
+            after = [texts[i][p : p + reach] for i, p in zip(owner.tolist(), pos, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(cell.field(x) for x in names), pa.array(before, pa.string()), pa.array(after, pa.string())], [*names, "before", "after"])
+
+    return wanted.mapInArrow(run, "core long, full1 long, full2 long, lo long, hi long, before string, after string")
+
+
+def _matrix(texts: list[str], width: int, backwards: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of short texts, one per row, and their lengths."""
+    n = np.array([len(t) for t in texts], np.int64)
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    row = np.repeat(np.arange(len(texts)), n)
+    column = np.arange(len(codes)) - (np.cumsum(n) - n)[row]
+    out = np.zeros((len(texts), width), np.uint32)
+    out[row, n[row] - 1 - column if backwards else column] = codes
+    return out, n
+
+
+def compare_classes(groups: DataFrame, span: int = SPAN) -> DataFrame:
+    """(core, full1, full2, a, z): what each lone occurrence shares with the other classes of its core, by characters.
+
+    ``groups``: (core, of array<struct<full1,full2,lo,hi,before,after>>), of at most FEW classes each.
+    """
+    width = span - CONTEXT
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            of = b.column(1)
+            k, cell = of.value_lengths().to_numpy().astype(np.int64), of.flatten()
+            lo, hi = cell.field("lo").to_numpy(), cell.field("hi").to_numpy()
+            left, ln = _matrix(cell.field("before").to_pylist(), width, True)
+            right, rn = _matrix(cell.field("after").to_pylist(), width, False)
+            group = np.repeat(np.arange(len(k)), k)
+            # the other classes of its core for every class, FEW - 1 at most
+            i = np.repeat(np.arange(len(group)), k[group])
+            j = (np.cumsum(k) - k)[group[i]] + np.arange(len(i)) - (np.cumsum(k[group]) - k[group])[i]
+            ok = (i != j) & (lo[i] == hi[i]) & ((lo[j] != lo[i]) | (hi[j] != lo[i]))
+            i, j = i[ok], j[ok]
+            found = []
+            for at in range(0, len(i), 16_384):
+                x, y = i[at : at + 16_384], j[at : at + 16_384]
+                ends = []
+                for m, n in ((left, ln), (right, rn)):
+                    differ = np.concatenate([m[x] != m[y], np.ones((len(x), 1), bool)], 1).argmax(1)
+                    ends.append(np.minimum(np.minimum(differ, n[x]), n[y]))
+                good = ends[0] + ends[1] >= span
+                found.append(np.stack([x[good], -ends[0][good], ends[1][good]]))
+            r = np.unique(np.concatenate(found, 1), axis=1) if found else np.empty((3, 0), np.int64)
+            at = pa.array(r[0])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(pa.array(group[r[0]])), cell.field("full1").take(at), cell.field("full2").take(at), pa.array(r[1].astype(np.int32)), pa.array(r[2].astype(np.int32))],
+                ["core", "full1", "full2", "a", "z"],
+            )
+
+    return groups.mapInArrow(run, "core long, full1 long, full2 long, a int, z int")
+
+
 def shared_spans(documents: DataFrame, span: int = SPAN) -> DataFrame:
     """(doc_id, span_start, span_end): the longest unbroken stretches of characters shared with another document."""
     found = anchors(documents, span).persist(StorageLevel.DISK_ONLY)
     alike = ["core", "full1", "full2"]
     classes = found.groupBy(*alike).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-    cores = classes.groupBy("core").agg(F.min("lo").alias("_lo"), F.max("hi").alias("_hi"), F.max((F.col("lo") == F.col("hi")).cast("int")).alias("open"))
-    shared = cores.filter("_lo < _hi").select("core", "open")
-    status = classes.join(shared, "core").select(*alike, "lo", "hi", (F.col("lo") < F.col("hi")).alias("whole"), (F.col("open") == 1).alias("compare"))
-    marked = found.join(status, alike).select("doc_id", "pos", "n", "lo", "hi", "whole", "compare").persist(StorageLevel.DISK_ONLY)
+    cores = classes.groupBy("core").agg(
+        F.min("lo").alias("_lo"), F.max("hi").alias("_hi"), F.max((F.col("lo") == F.col("hi")).cast("int")).alias("open"), F.count("*").alias("kinds")
+    )
+    shared = cores.filter("_lo < _hi").select("core", (F.col("open") == 1).alias("compare"), (F.col("kinds") <= FEW).alias("few"))
+    status = classes.join(shared, "core").select(*alike, "lo", "hi", (F.col("lo") < F.col("hi")).alias("whole"), "compare", "few")
+    marked = found.join(status, alike).select(*alike, "doc_id", "pos", "n", "lo", "hi", "whole", "compare", "few").persist(StorageLevel.DISK_ONLY)
+    texts = documents.filter(F.char_length("text") >= span).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     certain = marked.filter("whole").select("doc_id", F.greatest(F.lit(0), F.col("pos") + (CONTEXT - span)).alias("a"), F.least(F.col("n"), F.col("pos") + (span - CONTEXT)).alias("z"))
-    # stretches to look at: all of an occurrence that is alone with its reach, and those of two witnesses of a class
-    asked = marked.filter("compare and (not whole or doc_id = lo or doc_id = hi)")
+
+    # cores of few classes: one occurrence of each class stands for it, and its characters are compared
+    one = marked.filter("compare and few").groupBy(*alike, "lo", "hi").agg(F.min(F.struct("doc_id", "pos")).alias("r"))
+    places = one.groupBy("r.doc_id").agg(F.collect_list(F.struct(*alike, "lo", "hi", F.col("r.pos").alias("pos"))).alias("at"))
+    around = surroundings(places.join(texts, "doc_id").select("doc_id", "text", "at"), span)
+    groups = around.groupBy("core").agg(F.collect_list(F.struct("full1", "full2", "lo", "hi", "before", "after")).alias("of"))
+    lone = marked.filter("compare and few and not whole").select(*alike, "doc_id", "pos")
+    by_class = lone.join(compare_classes(groups, span), alike).select("doc_id", (F.col("pos") + F.col("a")).alias("a"), (F.col("pos") + F.col("z")).alias("z"))
+
+    # cores of many classes: all stretches of an occurrence that is alone with its reach, and those of two witnesses of a class
+    asked = marked.filter("compare and not few and (not whole or doc_id = lo or doc_id = hi)")
     places = asked.groupBy("doc_id").agg(F.collect_list(F.struct("pos", (~F.col("whole")).cast("int").alias("asked"))).alias("at"))
-    texts = documents.filter(F.char_length("text") >= span).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     looked = stretches(places.join(texts, "doc_id").select("doc_id", "text", "at"), span).persist(StorageLevel.DISK_ONLY)
     same = looked.groupBy("hash1", "hash2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("hash1", "hash2")
-    compared = looked.filter("asked").join(same, ["hash1", "hash2"]).select("doc_id", F.col("start").alias("a"), (F.col("start") + span).alias("z"))
-    return join_spans(certain.unionByName(compared))
+    by_stretch = looked.filter("asked").join(same, ["hash1", "hash2"]).select("doc_id", F.col("start").alias("a"), (F.col("start") + span).alias("z"))
+    return join_spans(certain.unionByName(by_class).unionByName(by_stretch))
 
 
 def join_spans(parts: DataFrame) -> DataFrame:
