@@ -31,10 +31,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from understory.session import cut_table
+
 SPAN = 200
 #: The rounds: what is named and how long a name may get.
 ROUNDS = (("runs", 4), ("pairs", 6), ("pairs", 8), ("pairs", 10), ("pairs", 12), ("pairs", 14))
@@ -219,7 +220,7 @@ def stretches(wanted: DataFrame, span: int = SPAN) -> DataFrame:
 def surroundings(wanted: DataFrame, span: int = SPAN) -> DataFrame:
     """(core, full1, full2, lo, hi, before, after): the texts on both sides of given boundaries, as far as they reach.
 
-    ``wanted``: (doc_id, text, at array<struct<core,full1,full2,lo,hi,pos>>).
+    ``wanted``: (doc_id, text, at array<struct<core,full1,full2,lo,hi,pos>>). A class comes once per document.
     """
     reach, names = span - CONTEXT, ("core", "full1", "full2", "lo", "hi")
 
@@ -227,6 +228,8 @@ def surroundings(wanted: DataFrame, span: int = SPAN) -> DataFrame:
         for b in batches:
             at = b.column(2)
             cell, owner = at.flatten(), np.repeat(np.arange(b.num_rows), at.value_lengths().to_numpy())
+            _, once = np.unique(np.stack([owner, *(cell.field(x).to_numpy() for x in names[:3])]), axis=1, return_index=True)
+            cell, owner = cell.take(pa.array(once)), owner[once]
             texts, pos = b.column(1).to_pylist(), cell.field("pos").to_pylist()
             before = [texts[i][max(0, p - reach) : p] for i, p in zip(owner.tolist(), pos, strict=True)]
             after = [texts[i][p : p + reach] for i, p in zip(owner.tolist(), pos, strict=True)]
@@ -289,7 +292,7 @@ def compare_classes(groups: DataFrame, span: int = SPAN) -> DataFrame:
 
 def shared_spans(documents: DataFrame, span: int = SPAN) -> DataFrame:
     """(doc_id, span_start, span_end): the longest unbroken stretches of characters shared with another document."""
-    found = anchors(documents, span).persist(StorageLevel.DISK_ONLY)
+    found = cut_table(anchors(documents, span))
     alike = ["core", "full1", "full2"]
     classes = found.groupBy(*alike).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
     cores = classes.groupBy("core").agg(
@@ -297,23 +300,23 @@ def shared_spans(documents: DataFrame, span: int = SPAN) -> DataFrame:
     )
     shared = cores.filter("_lo < _hi").select("core", (F.col("open") == 1).alias("compare"), (F.col("kinds") <= FEW).alias("few"))
     status = classes.join(shared, "core").select(*alike, "lo", "hi", (F.col("lo") < F.col("hi")).alias("whole"), "compare", "few")
-    marked = found.join(status, alike).select(*alike, "doc_id", "pos", "n", "lo", "hi", "whole", "compare", "few").persist(StorageLevel.DISK_ONLY)
-    texts = documents.filter(F.char_length("text") >= span).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-
+    marked = cut_table(found.join(status, alike).select(*alike, "doc_id", "pos", "n", "lo", "hi", "whole", "compare", "few"))
     certain = marked.filter("whole").select("doc_id", F.greatest(F.lit(0), F.col("pos") + (CONTEXT - span)).alias("a"), F.least(F.col("n"), F.col("pos") + (span - CONTEXT)).alias("z"))
 
-    # cores of few classes: one occurrence of each class stands for it, and its characters are compared
-    one = marked.filter("compare and few").groupBy(*alike, "lo", "hi").agg(F.min(F.struct("doc_id", "pos")).alias("r"))
-    places = one.groupBy("r.doc_id").agg(F.collect_list(F.struct(*alike, "lo", "hi", F.col("r.pos").alias("pos"))).alias("at"))
-    around = surroundings(places.join(texts, "doc_id").select("doc_id", "text", "at"), span)
+    # the texts of all documents with a boundary to compare, joined once. Cores of few classes: the first document of
+    # a class stands for it. Cores of many: every occurrence that is alone with its reach, and two witnesses of a class
+    as_class = F.when(F.expr("few and doc_id = lo"), F.struct(*alike, "lo", "hi", "pos"))
+    as_place = F.when(F.expr("not few and (not whole or doc_id = lo or doc_id = hi)"), F.struct("pos", (~F.col("whole")).cast("int").alias("asked")))
+    places = marked.filter("compare").groupBy("doc_id").agg(F.collect_list(as_class).alias("classes"), F.collect_list(as_place).alias("places"))
+    long_enough = documents.filter(F.char_length("text") >= span).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    near = cut_table(places.filter("size(classes) + size(places) > 0").join(long_enough, "doc_id"))
+
+    around = surroundings(near.select("doc_id", "text", "classes"), span)
     groups = around.groupBy("core").agg(F.collect_list(F.struct("full1", "full2", "lo", "hi", "before", "after")).alias("of"))
     lone = marked.filter("compare and few and not whole").select(*alike, "doc_id", "pos")
     by_class = lone.join(compare_classes(groups, span), alike).select("doc_id", (F.col("pos") + F.col("a")).alias("a"), (F.col("pos") + F.col("z")).alias("z"))
 
-    # cores of many classes: all stretches of an occurrence that is alone with its reach, and those of two witnesses of a class
-    asked = marked.filter("compare and not few and (not whole or doc_id = lo or doc_id = hi)")
-    places = asked.groupBy("doc_id").agg(F.collect_list(F.struct("pos", (~F.col("whole")).cast("int").alias("asked"))).alias("at"))
-    looked = stretches(places.join(texts, "doc_id").select("doc_id", "text", "at"), span).persist(StorageLevel.DISK_ONLY)
+    looked = cut_table(stretches(near.filter("size(places) > 0").select("doc_id", "text", "places"), span))
     same = looked.groupBy("hash1", "hash2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("hash1", "hash2")
     by_stretch = looked.filter("asked").join(same, ["hash1", "hash2"]).select("doc_id", F.col("start").alias("a"), (F.col("start") + span).alias("z"))
     return join_spans(certain.unionByName(by_class).unionByName(by_stretch))
