@@ -164,7 +164,11 @@ def _slices(ids: list, texts: list, extra: list | None = None) -> Iterator[tuple
 
 
 def anchors(documents: DataFrame, span: int = SPAN) -> DataFrame:
-    """(core, full1, full2, doc_id, pos): the kept boundaries with the hashes of their surroundings and reach."""
+    """(core, full, doc_id, pos, right): the kept boundaries with the hashes of their surroundings and reach.
+
+    Within a core, which is itself a hash of what all its members hold, 64 bits tell the reaches apart; ``right``
+    is how far the reach goes to the right.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -174,15 +178,15 @@ def anchors(documents: DataFrame, span: int = SPAN) -> DataFrame:
                 begin, end = starts[text[at]], np.append(starts[1:], len(codes))[text[at]]
                 lo, hi = np.maximum(begin, at + CONTEXT - span), np.minimum(end, at - CONTEXT + span)
                 shape = mix((at - lo).astype(_U) << _U(32) | (hi - at).astype(_U))
-                full = [(hashes.of(lo, hi, k) ^ shape).view(np.int64) for k in (0, 1)]
+                full = (hashes.of(lo, hi, 1) ^ shape).view(np.int64)
                 doc = np.array(ids, np.int64)[text[at]]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(core.view(np.int64)), pa.array(full[0]), pa.array(full[1]), pa.array(doc), pa.array((at - begin).astype(np.int32)), pa.array((end - begin).astype(np.int32))],
-                    ["core", "full1", "full2", "doc_id", "pos", "n"],
+                    [pa.array(core.view(np.int64)), pa.array(full), pa.array(doc), pa.array((at - begin).astype(np.int32)), pa.array((hi - at).astype(np.int32))],
+                    ["core", "full", "doc_id", "pos", "right"],
                 )
 
     long_enough = documents.filter(F.col("doc_id").isNotNull() & (F.char_length("text") >= span)).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return long_enough.mapInArrow(run, "core long, full1 long, full2 long, doc_id long, pos int, n int")
+    return long_enough.mapInArrow(run, "core long, full long, doc_id long, pos int, right int")
 
 
 def stretches(wanted: DataFrame, span: int = SPAN) -> DataFrame:
@@ -218,24 +222,24 @@ def stretches(wanted: DataFrame, span: int = SPAN) -> DataFrame:
 
 
 def surroundings(wanted: DataFrame, span: int = SPAN) -> DataFrame:
-    """(core, full1, full2, lo, hi, before, after): the texts on both sides of given boundaries, as far as they reach.
+    """(core, full, lo, hi, before, after): the texts on both sides of given boundaries, as far as they reach.
 
-    ``wanted``: (doc_id, text, at array<struct<core,full1,full2,lo,hi,pos>>). A class comes once per document.
+    ``wanted``: (doc_id, text, at array<struct<core,full,lo,hi,pos>>). A class comes once per document.
     """
-    reach, names = span - CONTEXT, ("core", "full1", "full2", "lo", "hi")
+    reach, names = span - CONTEXT, ("core", "full", "lo", "hi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = b.column(2)
             cell, owner = at.flatten(), np.repeat(np.arange(b.num_rows), at.value_lengths().to_numpy())
-            _, once = np.unique(np.stack([owner, *(cell.field(x).to_numpy() for x in names[:3])]), axis=1, return_index=True)
+            _, once = np.unique(np.stack([owner, *(cell.field(x).to_numpy() for x in names[:2])]), axis=1, return_index=True)
             cell, owner = cell.take(pa.array(once)), owner[once]
             texts, pos = b.column(1).to_pylist(), cell.field("pos").to_pylist()
             before = [texts[i][max(0, p - reach) : p] for i, p in zip(owner.tolist(), pos, strict=True)]
             after = [texts[i][p : p + reach] for i, p in zip(owner.tolist(), pos, strict=True)]
             yield pa.RecordBatch.from_arrays([*(cell.field(x) for x in names), pa.array(before, pa.string()), pa.array(after, pa.string())], [*names, "before", "after"])
 
-    return wanted.mapInArrow(run, "core long, full1 long, full2 long, lo long, hi long, before string, after string")
+    return wanted.mapInArrow(run, "core long, full long, lo long, hi long, before string, after string")
 
 
 def _matrix(texts: list[str], width: int, backwards: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -250,9 +254,9 @@ def _matrix(texts: list[str], width: int, backwards: bool) -> tuple[np.ndarray,
 
 
 def compare_classes(groups: DataFrame, span: int = SPAN) -> DataFrame:
-    """(core, full1, full2, a, z): what each lone occurrence shares with the other classes of its core, by characters.
+    """(core, full, a, z): what each lone occurrence shares with the other classes of its core, by characters.
 
-    ``groups``: (core, of array<struct<full1,full2,lo,hi,before,after>>), of at most FEW classes each.
+    ``groups``: (core, of array<struct<full,lo,hi,before,after>>), of at most FEW classes each.
     """
     width = span - CONTEXT
 
@@ -283,25 +287,25 @@ def compare_classes(groups: DataFrame, span: int = SPAN) -> DataFrame:
             r = np.unique(np.concatenate(found, 1), axis=1) if found else np.empty((3, 0), np.int64)
             at = pa.array(r[0])
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(group[r[0]])), cell.field("full1").take(at), cell.field("full2").take(at), pa.array(r[1].astype(np.int32)), pa.array(r[2].astype(np.int32))],
-                ["core", "full1", "full2", "a", "z"],
+                [b.column(0).take(pa.array(group[r[0]])), cell.field("full").take(at), pa.array(r[1].astype(np.int32)), pa.array(r[2].astype(np.int32))],
+                ["core", "full", "a", "z"],
             )
 
-    return groups.mapInArrow(run, "core long, full1 long, full2 long, a int, z int")
+    return groups.mapInArrow(run, "core long, full long, a int, z int")
 
 
 def shared_spans(documents: DataFrame, span: int = SPAN) -> DataFrame:
     """(doc_id, span_start, span_end): the longest unbroken stretches of characters shared with another document."""
     found = cut_table(anchors(documents, span))
-    alike = ["core", "full1", "full2"]
+    alike = ["core", "full"]
     classes = found.groupBy(*alike).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
     cores = classes.groupBy("core").agg(
         F.min("lo").alias("_lo"), F.max("hi").alias("_hi"), F.max((F.col("lo") == F.col("hi")).cast("int")).alias("open"), F.count("*").alias("kinds")
     )
     shared = cores.filter("_lo < _hi").select("core", (F.col("open") == 1).alias("compare"), (F.col("kinds") <= FEW).alias("few"))
     status = classes.join(shared, "core").select(*alike, "lo", "hi", (F.col("lo") < F.col("hi")).alias("whole"), "compare", "few")
-    marked = cut_table(found.join(status, alike).select(*alike, "doc_id", "pos", "n", "lo", "hi", "whole", "compare", "few"))
-    certain = marked.filter("whole").select("doc_id", F.greatest(F.lit(0), F.col("pos") + (CONTEXT - span)).alias("a"), F.least(F.col("n"), F.col("pos") + (span - CONTEXT)).alias("z"))
+    marked = cut_table(found.join(status, alike).select(*alike, "doc_id", "pos", "right", "lo", "hi", "whole", "compare", "few"))
+    certain = marked.filter("whole").select("doc_id", F.greatest(F.lit(0), F.col("pos") + (CONTEXT - span)).alias("a"), (F.col("pos") + F.col("right")).alias("z"))
 
     # the texts of all documents with a boundary to compare, joined once. Cores of few classes: the first document of
     # a class stands for it. Cores of many: every occurrence that is alone with its reach, and two witnesses of a class
@@ -312,7 +316,7 @@ def shared_spans(documents: DataFrame, span: int = SPAN) -> DataFrame:
     near = cut_table(places.filter("size(classes) + size(places) > 0").join(long_enough, "doc_id"))
 
     around = surroundings(near.select("doc_id", "text", "classes"), span)
-    groups = around.groupBy("core").agg(F.collect_list(F.struct("full1", "full2", "lo", "hi", "before", "after")).alias("of"))
+    groups = around.groupBy("core").agg(F.collect_list(F.struct("full", "lo", "hi", "before", "after")).alias("of"))
     lone = marked.filter("compare and few and not whole").select(*alike, "doc_id", "pos")
     by_class = lone.join(compare_classes(groups, span), alike).select("doc_id", (F.col("pos") + F.col("a")).alias("a"), (F.col("pos") + F.col("z")).alias("z"))
 
