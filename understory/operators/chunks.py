@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from understory.operators.absent import is_absent, recurring_codes
-from understory.session import cut
+from understory.session import cut, width
 
 CHUNK_ROWS = 65_536
 
@@ -28,8 +28,7 @@ def number_rows(rows: DataFrame, keys: list[str], order: list[str] | None = None
     checkpoint folder. Null keys form a key of their own. An empty table gives an empty result.
     """
     if order:
-        n = partitions or max(rows.sparkSession.sparkContext.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-        rows = cut(rows.repartitionByRange(n, *order).sortWithinPartitions(*order))
+        rows = cut(rows.repartitionByRange(partitions or width(rows), *order).sortWithinPartitions(*order))
     tagged = rows.withColumn("_pid", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
     counts = tagged.groupBy(*keys, "_pid").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from understory.operators.absent import is_absent, recurring_codes
-from understory.session import cut
+from understory.session import cut, width
 
 FIELDS = ("age_calc", "agb")
 #: Possible readings, both bounds included.
@@ -60,8 +60,7 @@ def ordered_readings(cohorts: DataFrame) -> DataFrame:
         F.coalesce(F.col("crew_id").cast("long"), F.lit(NO_SOURCE)).alias("crew"), F.col("cohort_id").cast("long").alias("cohort_id"),
         F.when(~is_absent("age_calc", codes), F.col("age_calc")).cast("double").alias("age_calc"), F.col("agb").cast("double").alias("agb"),
     )
-    n = max(cohorts.sparkSession.sparkContext.defaultParallelism, int(cohorts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    once = rows.repartitionByRange(n, "crew", "cohort_id").dropDuplicates(["crew", "cohort_id"])
+    once = rows.repartitionByRange(width(rows), "crew", "cohort_id").dropDuplicates(["crew", "cohort_id"])
     return cut(once.sortWithinPartitions("crew", "cohort_id"))
 
 

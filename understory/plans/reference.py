@@ -16,7 +16,7 @@ from understory.operators.params import Params, eco_bmax, eco_params
 from understory.operators.search import Schedule, calibrate, score_candidates
 from understory.operators.simulate import gathered, parameter_table, run
 from understory.plans import fixture as fx
-from understory.plans.fixture import PLOT, SEED, sql, step_ctes
+from understory.plans.fixture import PLOT, SEED, World, sql, step_ctes
 from understory.schemas import PLOT_KEY
 from understory.session import table
 
@@ -182,33 +182,34 @@ def _cdf_ctes(name: str, source: str, keys: str, age: str, mass: str, top: str |
     }
 
 
-def _top(spark, d) -> int:
-    return fx.coh(spark, d).agg(F.max("age_calc")).first()[0] or 1
-
-
 @query(sql(f"SELECT {KEY_SQL}, age_calc AS age, round(sum(agb_sum), 8) AS mass FROM splots GROUP BY ALL", ["splots"]))
 def age_hist(spark, d):
     return rounded(A.histogram(fx.splots(spark, d), KEYS), "mass", digits=8)
 
 
+def _smoothed(spark, d) -> DataFrame:
+    world = World(spark, d)
+    return A.smooth(A.histogram(world.splots, KEYS), KEYS, _W, world.top())
+
+
 _REF = {"m": "SELECT s.*, n FROM splots s, top"} | _cdf_ctes("r", "m", KEY_SQL, "age_calc", "agb_sum", "n")
 
 
 @query(sql(f"SELECT {KEY_SQL}, age, round(mass, 8) AS mass FROM rs", ["splots", "top"], _REF))
 def smooth_ages(spark, d):
-    return rounded(A.smooth(A.histogram(fx.splots(spark, d), KEYS), KEYS, _W, _top(spark, d)), "mass", digits=8)
+    return rounded(_smoothed(spark, d), "mass", digits=8)
 
 
 @query(sql(f"SELECT {KEY_SQL}, bin, round(mass, 8) AS mass FROM rb", ["splots", "top"], _REF))
 def bin_ages(spark, d):
-    dist = A.smooth(A.histogram(fx.splots(spark, d), KEYS), KEYS, _W, _top(spark, d))
+    dist = _smoothed(spark, d)
     return rounded(A.binned(dist, KEYS, LOSS.bins), "mass", digits=8)
 
 
 @query(sql(f"SELECT {KEY_SQL}, bin, round(cdf, 6) AS cdf FROM rc SEMI JOIN rb USING ({KEY_SQL}, bin)", ["splots", "top"], _REF))
 def age_cdf(spark, d):
     """Undisturbed or not: the distribution of every measured species over its occupied bins."""
-    dist = A.smooth(A.histogram(fx.splots(spark, d), KEYS), KEYS, _W, _top(spark, d))
+    dist = _smoothed(spark, d)
     return rounded(A.cdf_rows(A.binned(dist, KEYS, LOSS.bins), KEYS), "cdf")
 
 
@@ -220,8 +221,8 @@ _SPDF = _REF | {
 }
 
 
-def _spdf(spark, d) -> DataFrame:
-    return A.reference_distributions(fx.splots(spark, d), LOSS, _top(spark, d))
+def _spdf(world: World) -> DataFrame:
+    return A.reference_distributions(world.splots, LOSS, world.top())
 
 
 def _wide(df: DataFrame, column: str, prefix: str) -> DataFrame:
@@ -230,7 +231,7 @@ def _wide(df: DataFrame, column: str, prefix: str) -> DataFrame:
 
 @query(sql(f"SELECT {KEY_SQL}, round(any_value(agb), 8) AS agb, {_CDF_COLS} FROM ref GROUP BY {KEY_SQL}", ["splots", "top"], _SPDF))
 def spdf(spark, d):
-    return rounded(_wide(_spdf(spark, d), "cdf", "c"), "agb", digits=8)
+    return rounded(_wide(_spdf(World(spark, d)), "cdf", "c"), "agb", digits=8)
 
 
 _WIDTHS = "CASE bin " + " ".join(f"WHEN {i + 1} THEN {w}" for i, w in enumerate(LOSS.bins.widths)) + " ELSE 0 END"
@@ -244,7 +245,7 @@ _FIRST = _SPDF | {
 @query(sql(f"SELECT g.eco, g.species_symbol_map, a, b, round(sum({_WIDTHS.replace("CASE bin", "CASE p.bin")} * abs(p.cdf - q.cdf)), 6) AS w1 FROM g JOIN f p ON g.eco = p.eco AND g.species_symbol_map = p.species_symbol_map AND g.a = p.plot_id JOIN f q ON g.eco = q.eco AND g.species_symbol_map = q.species_symbol_map AND g.b = q.plot_id AND p.bin = q.bin GROUP BY ALL", ["splots", "top"], _FIRST))
 def w1_loss(spark, d):
     """Distance between the first and the last plot of every species of an ecoregion in year 0."""
-    f = _spdf(spark, d).filter("sim_year = 0")
+    f = _spdf(World(spark, d)).filter("sim_year = 0")
     ends = f.groupBy("eco", "species_symbol_map").agg(F.min_by(F.struct("plot_id", "cdf"), "plot_id").alias("x"), F.max_by(F.struct("plot_id", "cdf"), "plot_id").alias("y"))
     flat = ends.select("eco", "species_symbol_map", F.col("x.plot_id").alias("a"), F.col("y.plot_id").alias("b"), F.col("x.cdf").alias("p"), F.col("y.cdf").alias("q"))
     return rounded(flat.withColumn("w1", A.w1("p", "q", LOSS.bins)).drop("p", "q"), "w1")
@@ -263,7 +264,7 @@ _E, _LAM = LOSS.eps, LOSS.lam
 FROM (SELECT plot_id, eco, species_symbol_map, w, coalesce(a, 0) AS a, coalesce(b, 0) AS b FROM pq) t""", ["splots", "top"], _TWO))
 def w1_loss_nullable(spark, d):
     """Distance between the first and the next measurement of a plot; species may be missing on either side."""
-    s = _spdf(spark, d)
+    s = _spdf(World(spark, d))
     keys = ["plot_id", "eco", "species_symbol_map"]
     p = s.filter("sim_year = 0").select(*keys, F.col("cdf").alias("p"))
     following = s.filter("sim_year > 0")
@@ -349,10 +350,6 @@ def param_remap(spark, d):
 
 # ---------------------------------------------------------------- parameters, one year, loss
 
-def _params(spark, d) -> DataFrame:
-    return eco_params(fx.eco_species(spark, d), fx.eco_shade(spark, d))
-
-
 @query(sql("SELECT eco, max(b_max) AS b_max_eco FROM eco_species GROUP BY eco", ["eco_species"]))
 def eco_bmax_query(spark, d):
     return eco_bmax(fx.eco_species(spark, d))
@@ -360,20 +357,22 @@ def eco_bmax_query(spark, d):
 
 @query(sql("SELECT * REPLACE (round(r1, 6) AS r1, round(r2, 6) AS r2, round(r3, 6) AS r3, round(r4, 6) AS r4, round(r5, 6) AS r5) FROM pe", ["pe"]))
 def eco_params_query(spark, d):
-    return rounded(_params(spark, d), "r1", "r2", "r3", "r4", "r5")
+    return rounded(eco_params(fx.eco_species(spark, d), fx.eco_shade(spark, d)), "r1", "r2", "r3", "r4", "r5")
 
 
 @query(sql("SELECT site, species, round(greatest(2, anpp_max * greatest(1, exp(-1.6 * b / b_max_eco))), 6) AS bio FROM (SELECT *, sum(bio) OVER (PARTITION BY site) AS b FROM c0 JOIN pe USING (eco, species)) t", ["c0", "pe"]))
 def initial_biomass(spark, d):
-    x = fx.sites(spark, d).join(_params(spark, d), ["eco", "species"]).withColumn("b", F.sum("bio").over(Window.partitionBy("site")))
+    world = World(spark, d)
+    x = world.sites().join(world.params(), ["eco", "species"]).withColumn("b", F.sum("bio").over(Window.partitionBy("site")))
     return rounded(x.select("site", "species", succession.initial_biomass(F.col("anpp_max"), F.col("b"), F.col("b_max_eco")).alias("bio")), "bio")
 
 
 _ONE = ["c0", "pe"]
 
 
-def _steps(spark, d) -> DataFrame:
-    return succession.stepped(fx.sites(spark, d), _params(spark, d), 0, SEED)
+def _steps(spark, d, sem: succession.Semantics = succession.Semantics()) -> DataFrame:
+    world = World(spark, d)
+    return succession.stepped(world.sites(sem), world.params(), 0, SEED)
 
 
 @query(sql("SELECT site, eco, seq, species, new_age AS age, round(new_bio, 4) AS bio FROM st0 WHERE new_bio > 1e-8", _ONE, step_ctes(0)))
@@ -389,7 +388,7 @@ def site_shade(spark, d):
 @query(sql("SELECT site, eco, seq, species, age, round(bio, 4) AS bio FROM new0", _ONE, fx.MEASURED | step_ctes(0)))
 def reproduction_step(spark, d):
     """Seedlings of sites that start with their measured ages."""
-    steps = succession.stepped(fx.sites(spark, d, MEASURED_AGES), _params(spark, d), 0, SEED)
+    steps = _steps(spark, d, MEASURED_AGES)
     return rounded(succession.seedlings(steps, succession.site_totals(steps), 0, SEED), "bio", digits=4)
 
 
@@ -405,7 +404,8 @@ def simulate_3y(spark, d):
 
 
 def _simulated(spark, d, years, keep=None, sem=succession.Semantics()) -> DataFrame:
-    return run(gathered(fx.sites(spark, d, sem)), [parameter_table(_params(spark, d))], years, SEED, sem, keep).drop("candidate")
+    world = World(spark, d)
+    return run(gathered(world.sites(sem)), [parameter_table(world.params())], years, SEED, sem, keep).drop("candidate")
 
 
 @query(sql(_THREE_YEARS, _ONE, fx.MEASURED | _THREE))
@@ -436,8 +436,8 @@ def raster_mapcodes(spark, d):
     return sinks.raster_mapcodes(px, X.pixel_cohorts(px, _effective(spark, d)).filter("effective_species is not null"))
 
 
-def _ref(spark, d) -> DataFrame:
-    return _spdf(spark, d).select(F.lit(0).alias("candidate"), F.col("plot_id").alias("site"), F.col("sim_year").alias("year"), F.col("species_symbol_map").alias("species"), "agb", "cdf")
+def _ref(world: World) -> DataFrame:
+    return _spdf(world).select(F.lit(0).alias("candidate"), F.col("plot_id").alias("site"), F.col("sim_year").alias("year"), F.col("species_symbol_map").alias("species"), "agb", "cdf")
 
 
 _SIM_SQL = step_ctes(0) | {
@@ -456,8 +456,9 @@ _LOSS_SQL = _SIM_SQL | _SPDF | {
 
 
 def _species_loss(spark, d) -> DataFrame:
-    sim = run(gathered(fx.sites(spark, d)), [parameter_table(_params(spark, d))], [0], SEED).withColumnRenamed("mapcode", "site")
-    return L.species_loss(L.simulated_distributions(sim, LOSS), _ref(spark, d).filter("year = 0"), LOSS)
+    world = World(spark, d)
+    sim = run(gathered(world.sites()), [parameter_table(world.params())], [0], SEED).withColumnRenamed("mapcode", "site")
+    return L.species_loss(L.simulated_distributions(sim, LOSS), _ref(world).filter("year = 0"), LOSS)
 
 
 @query(sql("SELECT site, species, round(w_loss, 4) AS w_loss, round(agb_loss, 4) AS agb_loss FROM sl", [*_ONE, "top"], _LOSS_SQL))
@@ -478,13 +479,14 @@ def run_loss(spark, d):
 @query()
 def spinup_state(spark, d):
     """Sites brought from their earliest establishment to year -1."""
-    s = C.spinup_cohorts(fx.splots(spark, d)).select(
+    world = World(spark, d)
+    s = C.spinup_cohorts(world.splots).select(
         F.col("plot_id").alias("site"), "eco", F.col("age_calc").cast("long").alias("seq"), F.col("species_symbol_map").alias("species"), F.lit(1).alias("age"), F.lit(0.0).alias("bio"), "year_deficit",
     )
     ends = s.agg(F.min("year_deficit"), F.max("year_deficit")).first()
     if ends[0] is None:
         return spark.createDataFrame([], "year int, mapcode long, eco string, species string, seq long, age int, biomass double")
-    return rounded(run(gathered(s, ["year_deficit"]), [parameter_table(_params(spark, d))], [], SEED, spin=(ends[0] + 1, ends[1] + 1)).drop("candidate"), "biomass", digits=4)
+    return rounded(run(gathered(s, ["year_deficit"]), [parameter_table(world.params())], [], SEED, spin=(ends[0] + 1, ends[1] + 1)).drop("candidate"), "biomass", digits=4)
 
 
 @query()
@@ -493,14 +495,16 @@ def mutate_batch_loss(spark, d):
     import numpy as np
 
     rng = np.random.default_rng(SEED)
-    first = Params.draw(fx.eco_species(spark, d), SEED)
+    world = World(spark, d)
+    first = Params.draw(world.eco_species(), SEED)
     batch = [first, *(first.mutate(rng) for _ in range(4))]
-    return rounded(score_candidates(batch, gathered(fx.sites(spark, d)), _ref(spark, d).drop("candidate").filter("year <= 5"), range(6), LOSS, SEED), "loss", digits=4)
+    return rounded(score_candidates(batch, gathered(world.sites()), _ref(world).drop("candidate").filter("year <= 5"), range(6), LOSS, SEED), "loss", digits=4)
 
 
 @query()
 def sa_trace(spark, d):
     """Three batches of annealing: trial, loss, acceptance, temperature."""
-    first = Params.draw(fx.eco_species(spark, d), SEED)
-    _, _, trace = calibrate(first, gathered(fx.sites(spark, d)), _ref(spark, d).drop("candidate").filter("year <= 2"), range(3), LOSS, Schedule(max_iter=6, initial_t=1e3), batch=2, seed=SEED)
+    world = World(spark, d)
+    first = Params.draw(world.eco_species(), SEED)
+    _, _, trace = calibrate(first, gathered(world.sites()), _ref(world).drop("candidate").filter("year <= 2"), range(3), LOSS, Schedule(max_iter=6, initial_t=1e3), batch=2, seed=SEED)
     return spark.createDataFrame([tuple(t.values()) for t in trace], "trial int, loss double, accepted boolean, t double, current double, best double")

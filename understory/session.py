@@ -35,6 +35,15 @@ def cut_table(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def width(df: DataFrame, part_bytes: int = 128 << 20) -> int:
+    """How many partitions a range partitioning of ``df`` should have: one per core and shuffle partition, more if the
+    estimated size asks for it (at most 64 times as many, since estimates behind joins are wild)."""
+    spark = df.sparkSession
+    least = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(least, min(-(-size // part_bytes), 64 * least))
+
+
 def bounded_rows(df: DataFrame, limit: int, what: str) -> list:
     """Rows of a table whose size must be bounded; more than ``limit`` rows is an error, never a cut."""
     rows = df.limit(limit + 1).collect()
