@@ -41,9 +41,12 @@ def _rows(table: Table, eco: np.ndarray, species: np.ndarray) -> np.ndarray:
     return np.array([table.row.get(k, -1) for k in zip(eco.tolist(), species.tolist(), strict=True)], np.int64)
 
 
-def _batch(s: Sites, candidate: int, year: int) -> pa.RecordBatch:
+def _batch(s: Sites, candidate: int, year: int, at: np.ndarray | None = None) -> pa.RecordBatch:
+    """The cohorts of all sites, or of those marked in ``at``."""
     eco, species = np.array(s.table.eco, object), np.array(s.table.species, object)
     order = np.lexsort((s.key, s.site))
+    if at is not None:
+        order = order[at[s.site[order]]]
     p = s.p[order]
     return pa.RecordBatch.from_arrays(
         [pa.array(np.full(len(p), candidate, np.int32)), pa.array(np.full(len(p), year, np.int32)), pa.array(s.ids[s.site[order]]), pa.array(eco[p], pa.string()), pa.array(species[p], pa.string()), pa.array(s.key[order]), pa.array(s.age[order].astype(np.int32)), pa.array(s.bio[order])],
@@ -51,14 +54,31 @@ def _batch(s: Sites, candidate: int, year: int) -> pa.RecordBatch:
     )
 
 
+def with_years(sites: DataFrame, compared: DataFrame) -> DataFrame:
+    """``gathered`` sites with the array of their years in ``compared`` (site, year); a site without any is dropped."""
+    return sites.join(compared.groupBy("site").agg(F.sort_array(F.collect_set("year")).alias("years")), "site")
+
+
+def _due(b: pa.RecordBatch) -> dict[int, np.ndarray]:
+    """Which sites of a batch each year is wanted of."""
+    lists = b.column("years")
+    site, year = np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()
+    due = {int(y): np.zeros(b.num_rows, bool) for y in np.unique(year)}
+    for y, at in due.items():
+        at[site[year == y]] = True
+    return due
+
+
 def run(sites: DataFrame, tables: Sequence[Table], years: Sequence[int], seed: int, sem: Semantics = Semantics(), keep: Sequence[int] | None = None, spin: tuple[int, int] | None = None) -> DataFrame:
     """Simulate ``gathered`` sites through ``years``, once per parameter table (candidate).
 
     Rows of every year, or of those in ``keep``, are sent on year by year. Cohorts without parameters are
-    dropped. With ``spin`` = (first, last) the array holds spin-up cohorts with ``year_deficit`` instead of
+    dropped. Sites ``with_years`` send their own years only, and a batch ends with the last of them; the states
+    of those years are the same. With ``spin`` = (first, last) the array holds spin-up cohorts with ``year_deficit`` instead of
     initial ones, and the state at the end of the spin-up comes out as year -1.
     """
     wanted = set(years if keep is None else keep)
+    own = "years" in sites.columns
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -69,6 +89,7 @@ def run(sites: DataFrame, tables: Sequence[Table], years: Sequence[int], seed: i
             site = np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy())
             eco, species = np.array(b.column("eco").to_pylist(), object)[site], np.array(cell.field("species").to_pylist(), object)
             age, bio, seq = (cell.field(n).to_numpy() for n in ("age", "bio", "seq"))
+            due = {y: at for y, at in _due(b).items() if y in wanted} if own else dict.fromkeys(wanted)
             for c, table in enumerate(tables):
                 p = _rows(table, eco, species)
                 ok = p >= 0
@@ -79,9 +100,11 @@ def run(sites: DataFrame, tables: Sequence[Table], years: Sequence[int], seed: i
                 else:
                     s = Sites(ids, table, site[ok], p[ok], age[ok], bio[ok], seq[ok], seed, sem)
                 for y in years:
+                    if own and y > max(due, default=-1):
+                        break
                     s.step(y)
-                    if y in wanted:
-                        yield _batch(s, c, y)
+                    if y in due:
+                        yield _batch(s, c, y, due[y])
 
-    cols = ["site", "eco", "cohorts"]
+    cols = ["site", "eco", "cohorts", *["years"] * own]
     return sites.select(*cols).mapInArrow(work, OUT)

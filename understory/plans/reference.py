@@ -463,19 +463,46 @@ def _species_loss(spark, d) -> DataFrame:
 
 @query(sql("SELECT site, species, round(w_loss, 4) AS w_loss, round(agb_loss, 4) AS agb_loss FROM sl", [*_ONE, "top"], _LOSS_SQL))
 def species_loss(spark, d):
+    """Year 0 only, as its SQL states; ``species_loss_all_years`` has every measured year."""
     return rounded(_species_loss(spark, d).select("site", "species", "w_loss", "agb_loss"), "w_loss", "agb_loss", digits=4)
 
 
 @query(sql("SELECT site, round(w_loss, 4) AS w_loss, round(agb_loss, 4) AS agb_loss, round(site_agb_loss, 4) AS site_agb_loss FROM site_l", [*_ONE, "top"], _LOSS_SQL))
 def site_loss(spark, d):
+    """Year 0 only, as its SQL states; ``site_loss_all_years`` has every measured year."""
     return rounded(L.site_loss(_species_loss(spark, d)).drop("candidate", "year"), "w_loss", "agb_loss", "site_agb_loss", digits=4)
 
 
 @query(sql("SELECT round((sum(w_loss) + sum(agb_loss) + sum(site_agb_loss)) / count(*), 4) AS loss, count(*) AS num_sites FROM site_l", [*_ONE, "top"], _LOSS_SQL))
 def run_loss(spark, d):
+    """Year 0 only, as its SQL states; ``run_loss_all_years`` has every measured year."""
     return rounded(L.run_loss(L.site_loss(_species_loss(spark, d))).drop("candidate"), "loss", digits=4)
 
 
+def _species_loss_all_years(spark, d) -> DataFrame:
+    world = World(spark, d)
+    sim = run(world.measured_sites(), [parameter_table(world.params())], world.years(), SEED).withColumnRenamed("mapcode", "site")
+    return L.species_loss(L.simulated_distributions(sim, LOSS), _ref(world), LOSS)
+
+
+@query()
+def species_loss_all_years(spark, d):
+    """The loss of every species in every measured year of its site."""
+    return rounded(_species_loss_all_years(spark, d).select("site", "year", "species", "w_loss", "agb_loss"), "w_loss", "agb_loss", digits=4)
+
+
+@query()
+def site_loss_all_years(spark, d):
+    """The loss of every site in each of its measured years."""
+    return rounded(L.site_loss(_species_loss_all_years(spark, d)).drop("candidate"), "w_loss", "agb_loss", "site_agb_loss", digits=4)
+
+
+@query()
+def run_loss_all_years(spark, d):
+    """The mean loss over all measured site-years."""
+    return rounded(L.run_loss(L.site_loss(_species_loss_all_years(spark, d))).drop("candidate"), "loss", digits=4)
+
+
 @query()
 def spinup_state(spark, d):
     """Sites brought from their earliest establishment to year -1."""
