@@ -55,3 +55,9 @@ def test_site_and_run_loss_count_every_site_year(spark, data, measured):
     assert len(got) == len(sites) == site_years and all(close(x, y) for r in sites for x, y in zip(got[r[:2]], r[2:], strict=True))
     run = R.run_loss_all_years(spark, data).first()
     assert run.num_sites == site_years and close(run.loss, sum(w + a + s for *_, w, a, s in sites) / site_years)
+
+
+def test_batch_scores_every_site_year(spark, data, measured):
+    site_years = measured.sql("select count(*) from (select distinct plot_id, sim_year from splots)").fetchall()[0][0]
+    got = R.mutate_batch_loss(spark, data).collect()
+    assert sorted(r.candidate for r in got) == [0, 1, 2, 3, 4] and {r.num_sites for r in got} == {site_years}

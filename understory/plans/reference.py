@@ -518,14 +518,14 @@ def spinup_state(spark, d):
 
 @query()
 def mutate_batch_loss(spark, d):
-    """The losses of a parameter set and of four mutations of it, scored in one job on all sites."""
+    """The losses of a parameter set and of four mutations of it, scored in one job on all sites and measured years."""
     import numpy as np
 
     rng = np.random.default_rng(SEED)
     world = World(spark, d)
     first = Params.draw(world.eco_species(), SEED)
     batch = [first, *(first.mutate(rng) for _ in range(4))]
-    return rounded(score_candidates(batch, gathered(world.sites()), _ref(world).drop("candidate").filter("year <= 5"), range(6), LOSS, SEED), "loss", digits=4)
+    return rounded(score_candidates(batch, world.measured_sites(), _ref(world).drop("candidate"), world.years(), LOSS, SEED), "loss", digits=4)
 
 
 @query()
