@@ -61,3 +61,14 @@ def test_batch_scores_every_site_year(spark, data, measured):
     site_years = measured.sql("select count(*) from (select distinct plot_id, sim_year from splots)").fetchall()[0][0]
     got = R.mutate_batch_loss(spark, data).collect()
     assert sorted(r.candidate for r in got) == [0, 1, 2, 3, 4] and {r.num_sites for r in got} == {site_years}
+
+
+def test_trace_is_of_losses_over_every_measured_year(spark, data):
+    """The trials mutate parameters like the batch, so the first has the loss of a single candidate over all years."""
+    import numpy as np
+
+    world = R.World(spark, data)
+    first = R.Params.draw(world.eco_species(), R.SEED).mutate(np.random.default_rng(R.SEED))
+    want = R.score_candidates([first], R.gathered(world.sites()), R._ref(world).drop("candidate"), world.years(), R.LOSS, R.SEED).first()
+    trace = R.sa_trace(spark, data).collect()
+    assert [r.trial for r in trace] == [1, 2, 3, 4, 5, 6] and close(trace[0].loss, want.loss)

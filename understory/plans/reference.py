@@ -530,8 +530,8 @@ def mutate_batch_loss(spark, d):
 
 @query()
 def sa_trace(spark, d):
-    """Three batches of annealing: trial, loss, acceptance, temperature."""
+    """Three batches of annealing against all measured years: trial, loss, acceptance, temperature."""
     world = World(spark, d)
     first = Params.draw(world.eco_species(), SEED)
-    _, _, trace = calibrate(first, gathered(world.sites()), _ref(world).drop("candidate").filter("year <= 2"), range(3), LOSS, Schedule(max_iter=6, initial_t=1e3), batch=2, seed=SEED)
+    _, _, trace = calibrate(first, world.measured_sites(), _ref(world).drop("candidate"), world.years(), LOSS, Schedule(max_iter=6, initial_t=1e3), batch=2, seed=SEED)
     return spark.createDataFrame([tuple(t.values()) for t in trace], "trial int, loss double, accepted boolean, t double, current double, best double")
