@@ -21,13 +21,17 @@ SPUN = 500
 
 @dataclass
 class Table:
-    """Parameters per (eco, species) row and per eco, as arrays; ``row`` finds the row of a pair."""
+    """Parameters per (eco, species) row and per eco, as arrays; ``row`` finds the row of a pair.
+
+    ``spinup_mortality`` is that of a parameter set; None: that of the semantics.
+    """
 
     eco: list[str]
     species: list[str]
     local: np.ndarray
     values: dict[str, np.ndarray]
     row: dict[tuple[str, str], int]
+    spinup_mortality: float | None = None
 
     @classmethod
     def of(cls, rows: list[dict]) -> Table:
@@ -64,10 +68,11 @@ class Sites:
         """Succession, then reproduction."""
         v = {k: x[self.p] for k, x in self.table.values.items()}
         sem, site, bio = self.sem, self.site, self.bio
+        spin = sem.spinup_mortality if self.table.spinup_mortality is None else self.table.spinup_mortality
         age = self.age + 1
         comp = np.maximum(bio**0.95, 1.0)
         b_all, c_all = self._sum(bio)[site], self._sum(comp)[site]
-        f = np.exp(v["d"] * (age / v["longevity"] - 1)) + (sem.spinup_mortality if year <= 0 else 0.0)
+        f = np.exp(v["d"] * (age / v["longevity"] - 1)) + (spin if year <= 0 else 0.0)
         u = uniform_np(self.seed, self.ids[site], year, self.key, MORTALITY)
         m_age = np.where((age < v["longevity"]) & (u > v["prob_mort"]) & (f < 1), bio * f, bio)
         b_pot = np.maximum(v["b_max"] * sem.capacity_reduction - b_all - (bio if sem.own_biomass_counts_twice else 0.0), 1.0)

@@ -105,7 +105,7 @@ def search(first: object, neighbours: Callable[[object, int], Sequence], score:
 def score_candidates(candidates: Sequence[Params], sites: DataFrame, reference: DataFrame, years: Sequence[int], params: LossParams, seed: int, sem: Semantics = Semantics()) -> DataFrame:
     """(candidate, loss, num_sites) of a batch, in one job. ``reference``: (site, year, species, agb, cdf)."""
     spark = sites.sparkSession
-    tables = [parameter_table(eco_params(*c.tables(spark))) for c in candidates]
+    tables = [replace(parameter_table(eco_params(*c.tables(spark))), spinup_mortality=float(c.values["spinup_mortality"][0])) for c in candidates]
     out = run(sites, tables, range(max(years) + 1), seed, sem, keep=years).withColumnRenamed("mapcode", "site")
     ref = reference.withColumn("candidate", F.explode(F.array(*(F.lit(c) for c in range(len(candidates))))))
     return L.run_loss(L.site_loss(L.species_loss(L.simulated_distributions(out, params, sem), ref, params)))
