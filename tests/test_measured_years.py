@@ -72,3 +72,10 @@ def test_trace_is_of_losses_over_every_measured_year(spark, data):
     want = R.score_candidates([first], R.gathered(world.sites()), R._ref(world).drop("candidate"), world.years(), R.LOSS, R.SEED).first()
     trace = R.sa_trace(spark, data).collect()
     assert [r.trial for r in trace] == [1, 2, 3, 4, 5, 6] and close(trace[0].loss, want.loss)
+
+
+def test_every_measurement_is_compared_with_the_next(spark, data, measured):
+    want = measured.sql("""select plot_id, sim_year, next_year from (select plot_id, sim_year, lead(sim_year) over (partition by plot_id order by sim_year) as next_year
+      from (select distinct plot_id, sim_year from splots)) where next_year is not null""").fetchall()
+    got = {(r.plot_id, r.sim_year, r.next_year) for r in R.w1_loss_all_years(spark, data).select("plot_id", "sim_year", "next_year").distinct().collect()}
+    assert got == set(want) and any(y > 0 for _, y, _ in want)

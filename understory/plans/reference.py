@@ -244,7 +244,8 @@ _FIRST = _SPDF | {
 
 @query(sql(f"SELECT g.eco, g.species_symbol_map, a, b, round(sum({_WIDTHS.replace("CASE bin", "CASE p.bin")} * abs(p.cdf - q.cdf)), 6) AS w1 FROM g JOIN f p ON g.eco = p.eco AND g.species_symbol_map = p.species_symbol_map AND g.a = p.plot_id JOIN f q ON g.eco = q.eco AND g.species_symbol_map = q.species_symbol_map AND g.b = q.plot_id AND p.bin = q.bin GROUP BY ALL", ["splots", "top"], _FIRST))
 def w1_loss(spark, d):
-    """Distance between the first and the last plot of every species of an ecoregion in year 0."""
+    """Distance between the first and the last plot of every species of an ecoregion in year 0, as its SQL states;
+    ``w1_loss_all_years`` compares all measurements."""
     f = _spdf(World(spark, d)).filter("sim_year = 0")
     ends = f.groupBy("eco", "species_symbol_map").agg(F.min_by(F.struct("plot_id", "cdf"), "plot_id").alias("x"), F.max_by(F.struct("plot_id", "cdf"), "plot_id").alias("y"))
     flat = ends.select("eco", "species_symbol_map", F.col("x.plot_id").alias("a"), F.col("y.plot_id").alias("b"), F.col("x.cdf").alias("p"), F.col("y.cdf").alias("q"))
@@ -263,7 +264,8 @@ _E, _LAM = LOSS.eps, LOSS.lam
 @query(sql(f"""SELECT plot_id, eco, species_symbol_map, round(CASE WHEN a > {_E} AND b > {_E} THEN w ELSE 0 END + CASE WHEN a > {_E} OR b > {_E} THEN {_LAM} * abs(log10(CASE WHEN a > {_E} THEN a ELSE 0 END + {_E}) - log10(CASE WHEN b > {_E} THEN b ELSE 0 END + {_E})) ELSE 0 END, 6) AS loss
 FROM (SELECT plot_id, eco, species_symbol_map, w, coalesce(a, 0) AS a, coalesce(b, 0) AS b FROM pq) t""", ["splots", "top"], _TWO))
 def w1_loss_nullable(spark, d):
-    """Distance between the first and the next measurement of a plot; species may be missing on either side."""
+    """Distance between the first and the next measurement of a plot, as its SQL states; species may be missing on
+    either side. ``w1_loss_all_years`` compares all measurements."""
     s = _spdf(World(spark, d))
     keys = ["plot_id", "eco", "species_symbol_map"]
     p = s.filter("sim_year = 0").select(*keys, F.col("cdf").alias("p"))
@@ -273,6 +275,31 @@ def w1_loss_nullable(spark, d):
     return rounded(p.join(q, keys, "full_outer").select(*keys, A.bins_loss("p", "q", LOSS).alias("loss")), "loss")
 
 
+_EACH = _SPDF | {
+    "years": "SELECT *, lead(sim_year) OVER (PARTITION BY plot_id, eco ORDER BY sim_year) AS next_year FROM (SELECT DISTINCT plot_id, eco, sim_year FROM ref)",
+    "p": "SELECT plot_id, eco, sim_year, next_year, species_symbol_map, bin, cdf FROM ref JOIN years USING (plot_id, eco, sim_year) WHERE next_year IS NOT NULL",
+    "q": "SELECT r.plot_id, r.eco, y.sim_year, next_year, species_symbol_map, bin, cdf FROM ref r JOIN years y ON r.plot_id = y.plot_id AND r.eco = y.eco AND r.sim_year = y.next_year",
+    "pq": f"SELECT plot_id, eco, sim_year, next_year, species_symbol_map, sum({_WIDTHS} * abs(p.cdf - q.cdf)) AS w, coalesce(max(CASE WHEN bin = {LOSS.bins.count} THEN p.cdf END), 0) AS a, coalesce(max(CASE WHEN bin = {LOSS.bins.count} THEN q.cdf END), 0) AS b FROM p FULL JOIN q USING (plot_id, eco, sim_year, next_year, species_symbol_map, bin) GROUP BY ALL",
+}
+
+
+@query(sql(f"""SELECT plot_id, eco, sim_year, next_year, species_symbol_map, round(CASE WHEN a > {_E} AND b > {_E} THEN w ELSE 0 END + CASE WHEN a > {_E} OR b > {_E} THEN {_LAM} * abs(log10(CASE WHEN a > {_E} THEN a ELSE 0 END + {_E}) - log10(CASE WHEN b > {_E} THEN b ELSE 0 END + {_E})) ELSE 0 END, 6) AS loss
+FROM pq""", ["splots", "top"], _EACH))
+def w1_loss_all_years(spark, d):
+    """Distance between every measurement of a plot and the next one; species may be missing on either side."""
+    world = World(spark, d)
+    own = Window.partitionBy("plot_id", "eco").orderBy("sim_year")
+    years = world.splots.select("plot_id", "eco", "sim_year").distinct().select("*", F.lag("sim_year").over(own).alias("last_year"), F.lead("sim_year").over(own).alias("next_year"))
+    # a measurement is the earlier side of one pair and the later side of another
+    side = lambda a, b, p, q: F.struct(F.col(a).alias("sim_year"), F.col(b).alias("next_year"), p.alias("p"), q.alias("q"))
+    none = F.lit(None).cast("array<double>")
+    sides = F.explode(F.array(side("sim_year", "next_year", F.col("cdf"), none), side("last_year", "sim_year", none, F.col("cdf")))).alias("x")
+    x = _spdf(world).join(years, ["plot_id", "eco", "sim_year"]).select("plot_id", "eco", "species_symbol_map", sides).select("plot_id", "eco", "species_symbol_map", "x.*")
+    keys = ["plot_id", "eco", "sim_year", "next_year", "species_symbol_map"]
+    pairs = x.dropna(subset=["sim_year", "next_year"]).groupBy(*keys).agg(F.max("p").alias("p"), F.max("q").alias("q"))
+    return rounded(pairs.select(*keys, A.bins_loss("p", "q", LOSS).alias("loss")), "loss")
+
+
 # ---------------------------------------------------------------- pixels and crosswalk
 
 def _full(spark, d) -> DataFrame:
