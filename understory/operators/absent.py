@@ -27,11 +27,8 @@ def _norm(c: Column) -> Column:
     return F.lower(F.btrim(c.cast("string"), F.lit(WHITE)))
 
 
-def recurring_codes(df: DataFrame, fields: dict[str, str], source: str = "crew_id") -> dict[str, list]:
-    """The codes in use per field. ``fields`` maps a column to ``text`` or ``age``.
-
-    One scan, partial aggregation, and at most as many result rows as there are spellings above.
-    """
+def tally(df: DataFrame, fields: dict[str, str], source: str = "crew_id") -> DataFrame:
+    """(field, code, n, lo, hi): rows and lowest and highest source per spelling; merges by sum, min and max."""
     as_array = [
         F.struct(
             F.lit(f).alias("field"),
@@ -39,12 +36,15 @@ def recurring_codes(df: DataFrame, fields: dict[str, str], source: str = "crew_i
         )
         for f, kind in fields.items()
     ]
-    seen = (
+    return (
         df.select(F.col(source).alias("_src"), F.explode(F.array(*as_array)).alias("e"))
         .groupBy("e.field", "e.code")
         .agg(F.count("*").alias("n"), F.min("_src").alias("lo"), F.max("_src").alias("hi"))
-        .collect()
     )
+
+
+def codes_of(seen: list, fields: dict[str, str]) -> dict[str, list]:
+    """The codes in use by the rows of a tally."""
     total = {f: sum(r["n"] for r in seen if r["field"] == f) for f in fields}
     found: dict[str, list] = {f: [] for f in fields}
     for r in seen:
@@ -53,6 +53,14 @@ def recurring_codes(df: DataFrame, fields: dict[str, str], source: str = "crew_i
     return {f: sorted(v) for f, v in found.items()}
 
 
+def recurring_codes(df: DataFrame, fields: dict[str, str], source: str = "crew_id") -> dict[str, list]:
+    """The codes in use per field. ``fields`` maps a column to ``text`` or ``age``.
+
+    One scan, partial aggregation, and at most as many result rows as there are spellings above.
+    """
+    return codes_of(tally(df, fields, source).collect(), fields)
+
+
 def is_absent(column: str | Column, codes: list) -> Column:
     """True for null, blank and the given codes; never null."""
     c = F.col(column) if isinstance(column, str) else column
