@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -13,11 +15,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names in spark.checkpoint.dir; only where none is set (tests) make one."""
+    """Use the folder the cluster names in spark.checkpoint.dir; a folder of this machine only in local mode."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="understory-"))
+    if sc.getCheckpointDir() is not None:
+        return
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that every executor reaches")
+        named = tempfile.mkdtemp(prefix="understory-")
+    sc.setCheckpointDir(named)
+    atexit.register(_at_exit, spark)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -35,13 +43,37 @@ def cut_table(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_intermediates(spark: SparkSession) -> None:
+    """Remove what ``cut`` and ``cut_table`` wrote in this application. Call it when no result is read any more;
+    it is done at the end of the Python process as well."""
+    folder = spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        return
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(path):
+        for entry in fs.listStatus(path):
+            fs.delete(entry.getPath(), True)
+
+
+def _at_exit(spark: SparkSession) -> None:
+    with contextlib.suppress(Exception):  # the session may have been stopped before
+        drop_intermediates(spark)
+
+
+def _bytes(plan) -> int:
+    return int(str(plan.stats().sizeInBytes()))
+
+
 def width(df: DataFrame, part_bytes: int = 128 << 20) -> int:
     """How many partitions a range partitioning of ``df`` should have: one per core and shuffle partition, more if the
-    estimated size asks for it (at most 64 times as many, since estimates behind joins are wild)."""
+    size asks for it. Estimates behind joins and explodes are wild, so they count up to 8 times the size of what is read."""
     spark = df.sparkSession
     least = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(least, min(-(-size // part_bytes), 64 * least))
+    plan = df._jdf.queryExecution().optimizedPlan()
+    leaves = plan.collectLeaves()
+    read = sum(_bytes(leaves.apply(i)) for i in range(leaves.size()))
+    return max(least, -(-min(_bytes(plan), 8 * read) // part_bytes))
 
 
 def bounded_rows(df: DataFrame, limit: int, what: str) -> list:
