@@ -34,10 +34,16 @@ _KINDS = {f: pa.int64() if f == "plt_cn" else pa.date32() if f == "measdate" els
 _FIELD = r'(?:[^",\r\n]*|"(?:[^"]|"")*")'
 STRUCTURE = f"^{_FIELD}(?:,{_FIELD}){{{len(FIELDS) - 1}}}$"
 NUMBER = r"^(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
-KEY, DAY, INTEGER = r"^[0-9]{1,15}$", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$", r"^[+-]?[0-9]{1,9}$"
+KEY, DAY, INTEGER = r"^[0-9]{1,15}$", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$", r"^[+-]?[0-9]{1,10}$"
 _KEY, _DAY, _NUMBER, _INTEGER = (re.compile(x.replace("$", r"\Z")) for x in (KEY, DAY, NUMBER, INTEGER))
 
 
+def whole(text: str) -> int | None:
+    """A whole number of 32 bits, else None."""
+    n = int(text) if _INTEGER.match(text) else None
+    return n if n is not None and -(1 << 31) <= n < 1 << 31 else None
+
+
 def split_strict(line: str) -> list[str] | None:
     """The fields of a line; None if its quoting is broken. Line breaks outside quotes are ordinary characters."""
     fields, at, n = [], 0, len(line)
@@ -89,7 +95,7 @@ def diagnose(line: str | None) -> tuple[str | None, dict]:
     agb = row["agb"]
     if agb and not (_NUMBER.match(agb) and math.isfinite(float(agb))):
         return "invalid_value", {}
-    typed: dict = {f: (int(v) if _INTEGER.match(v) else None) if f in WHOLE else v for f, v in row.items()}
+    typed: dict = {f: whole(v) if f in WHOLE else v for f, v in row.items()}
     return None, typed | {"plt_cn": int(row["plt_cn"]), "measdate": day, "agb": float(agb) if agb else None}
 
 
@@ -123,7 +129,8 @@ def parse_block(lines: pa.Array) -> pa.Table | None:
         cols = {"plt_cn": pc.cast(t["plt_cn"], pa.int64()), "measdate": pc.cast(day, pa.date32()), "agb": value}
         for f in WHOLE:
             ok = pc.match_substring_regex(t[f], INTEGER)
-            cols[f] = pc.cast(pc.if_else(ok, pc.utf8_ltrim(t[f], "+"), pa.scalar(None, pa.string())), pa.int32())
+            n = pc.cast(pc.if_else(ok, pc.utf8_ltrim(t[f], "+"), pa.scalar(None, pa.string())), pa.int64())
+            cols[f] = pc.cast(pc.if_else(pc.and_(pc.greater_equal(n, -(1 << 31)), pc.less(n, 1 << 31)), n, pa.scalar(None, pa.int64())), pa.int32())
         return pa.table({f: cols.get(f, t[f]) for f in FIELDS})
     except pa.ArrowInvalid:
         return None
