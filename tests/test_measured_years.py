@@ -22,7 +22,7 @@ def measured(duck):
     for y in range(max(years) + 1):
         step = ", ".join(f"{n} as ({t})" for n, t in fx.step_ctes(y).items())
         con.sql(f"create temp table c{y + 1} as with {step} select * from c{y + 1}")
-        con.sql(f"insert into sim select site, {y}, species, age, seq, bio from c{y + 1} where site in (select plot_id from splots where sim_year = {y})")
+        con.sql(f"insert into sim select site, {y}, species, age, seq, bio from c{y + 1} where site in (select plot_id from splots where sim_year = {y} and agb_sum is not null)")
     ctes = {"per": f"select {KEYS}, age, arg_max(bio, seq) as mass from sim group by all", "agb": f"select {KEYS}, sum(bio) as agb from sim group by all"}
     ctes |= R._cdf_ctes("s", "per", KEYS, "age", "mass", None) | R._SPDF
     ctes |= {
@@ -49,7 +49,7 @@ def test_species_loss_of_every_measured_year(spark, data, measured):
 
 
 def test_site_and_run_loss_count_every_site_year(spark, data, measured):
-    site_years = measured.sql("select count(*) from (select distinct plot_id, sim_year from splots)").fetchall()[0][0]
+    site_years = measured.sql("select count(*) from (select distinct plot_id, sim_year from splots where agb_sum is not null)").fetchall()[0][0]
     sites = measured.sql("select site, year, sum(w_loss) as w, sum(agb_loss) as a, abs(sum(signed)) as s from loss group by all").fetchall()
     got = {(r.site, r.year): (r.w_loss, r.agb_loss, r.site_agb_loss) for r in R.site_loss_all_years(spark, data).collect()}
     assert len(got) == len(sites) == site_years and all(close(x, y) for r in sites for x, y in zip(got[r[:2]], r[2:], strict=True))
@@ -58,7 +58,7 @@ def test_site_and_run_loss_count_every_site_year(spark, data, measured):
 
 
 def test_batch_scores_every_site_year(spark, data, measured):
-    site_years = measured.sql("select count(*) from (select distinct plot_id, sim_year from splots)").fetchall()[0][0]
+    site_years = measured.sql("select count(*) from (select distinct plot_id, sim_year from splots where agb_sum is not null)").fetchall()[0][0]
     got = R.mutate_batch_loss(spark, data).collect()
     assert sorted(r.candidate for r in got) == [0, 1, 2, 3, 4] and {r.num_sites for r in got} == {site_years}
 
@@ -76,6 +76,6 @@ def test_trace_is_of_losses_over_every_measured_year(spark, data):
 
 def test_every_measurement_is_compared_with_the_next(spark, data, measured):
     want = measured.sql("""select plot_id, sim_year, next_year from (select plot_id, sim_year, lead(sim_year) over (partition by plot_id order by sim_year) as next_year
-      from (select distinct plot_id, sim_year from splots)) where next_year is not null""").fetchall()
+      from (select distinct plot_id, sim_year from splots where agb_sum is not null)) where next_year is not null""").fetchall()
     got = {(r.plot_id, r.sim_year, r.next_year) for r in R.w1_loss_all_years(spark, data).select("plot_id", "sim_year", "next_year").distinct().collect()}
     assert got == set(want) and any(y > 0 for _, y, _ in want)

@@ -14,7 +14,7 @@ from understory.functions.rng import ESTABLISHMENT, LIGHT, MORTALITY, P, uniform
 from understory.operators import cohorts as C
 from understory.operators import loss as L
 from understory.operators import search as S
-from understory.operators.kernel import NEW_KEY, Sites, Table
+from understory.operators.kernel import Sites, Table, added_key
 from understory.operators.params import LIGHT as LIGHT_TABLE
 from understory.operators.params import PRIORS, Params, eco_params
 from understory.operators.simulate import gathered, parameter_table, run
@@ -201,7 +201,7 @@ def plain_years(ids, cohorts, table, years, seed, sem):
                     if u(site, year, local, LIGHT) <= LIGHT_TABLE[shade][int(v["shade_tol"][p]) - 1] and u(site, year, local, ESTABLISHMENT) <= v["prob_estab"][p]:
                         bio = max(2.0, v["anpp_max"][p] * max(1.0, math.exp(-1.6 * b / v["b_max_eco"][p])))
                         b += bio
-                        live.append([p, 1, bio, NEW_KEY + (year + 1000) * 1000 + local])
+                        live.append([p, 1, bio, int(added_key(year, local))])
             out[site, year] = sorted((c[0], c[1], round(c[2], 6), c[3]) for c in live)
     return out
 

@@ -12,11 +12,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from understory.functions.dates import parse_day
+from understory.operators.absent import is_absent, recurring_codes
 from understory.schemas import COHORTS, PLOT_KEY
 from understory.session import cut
 
-#: Biomass of a cohort above this is no measurement.
-MAX_AGB = 1e6
+#: Possible ages, both included.
+AGES = (1, 1500)
 MEASUREMENT = ["plt_cn", *PLOT_KEY, "eco", "measdate", "species_symbol_map", "age_calc"]
 
 
@@ -31,15 +32,27 @@ def undisturbed(df: DataFrame) -> DataFrame:
 
 
 def valid_cohorts(cohorts: DataFrame, ecos: DataFrame, species: DataFrame) -> DataFrame:
-    """Cohorts fit for the model, once each: whole plot key, readable day, listed eco and species, usable age and agb."""
-    rows = cohorts.select(*(c for c in COHORTS.names if c != "loaded_at")).distinct()
-    rows = rows.withColumn("measdate", parse_day("measdate")).filter(
-        F.col("measdate").isNotNull() & F.col("age_calc").between(1, 998) & (F.col("agb") >= 0) & (F.col("agb") < MAX_AGB)
-    ).dropna(subset=["plt_cn", *PLOT_KEY])
+    """Cohorts fit for the model, once each: whole plot key, readable day, listed eco and species, possible age.
+
+    Ages that stand for "not recorded" are none. An impossible or missing agb becomes null and is skipped by sums;
+    its cohort still counts. Improbable readings stay: flagging them is another operator's task.
+    """
+    codes = recurring_codes(cohorts, {"age_calc": "age"})["age_calc"]
+    possible = F.when((F.col("agb") >= 0) & (F.col("agb") < float("inf")), F.col("agb"))
+    rows = (
+        cohorts.select(*(c for c in COHORTS.names if c != "loaded_at")).withColumn("measdate", parse_day("measdate"))
+        .filter(F.col("measdate").isNotNull() & F.col("age_calc").between(*AGES) & ~is_absent("age_calc", codes)).dropna(subset=["plt_cn", *PLOT_KEY])
+        .withColumn("agb", possible).distinct()
+    )
     # both lists are reference tables of a fixed, small size; without a hint the optimiser broadcasts them
     return rows.join(ecos.select("eco"), "eco", "left_semi").join(species.select("species_symbol_map"), "species_symbol_map", "left_semi")
 
 
+def with_biomass(df: DataFrame, agb: str = "agb_sum") -> DataFrame:
+    """Measurements that have a biomass at all."""
+    return df.filter(F.col(agb).isNotNull())
+
+
 def group_sum(df: DataFrame, keys: Sequence[str] = tuple(MEASUREMENT)) -> DataFrame:
     """Number of cohorts and summed agb per key; null keys form groups, null agb is skipped."""
     return df.groupBy(*keys).agg(F.count("*").alias("count"), F.sum("agb").alias("agb_sum"))
@@ -82,12 +95,12 @@ def dense_ids(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     """
     distinct = df.select(*keys).distinct()
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = cut(distinct.repartitionByRange(n, *keys).sortWithinPartitions(*keys)).withColumn("_pid", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
+    at = F.monotonically_increasing_id()  # the partition, and the place within it in the low 33 bits
+    parts = cut(distinct.repartitionByRange(n, *keys).sortWithinPartitions(*keys)).select(*keys, F.shiftright(at, 33).alias("_pid"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("_no"))
     counts = parts.groupBy("_pid").agg(F.count("*").alias("_n"))
-    before = counts.withColumn("_off", F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    local = F.row_number().over(Window.partitionBy("_pid").orderBy("_at"))
+    before = counts.select("_pid", F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
     # one row per partition is all that is broadcast
-    return parts.withColumn("_no", local).join(F.broadcast(before), "_pid").select(*keys, (F.col("_off") + F.col("_no")).cast("long").alias(name))
+    return parts.join(F.broadcast(before), "_pid").select(*keys, (F.col("_off") + F.col("_no") + 1).cast("long").alias(name))
 
 
 def list_ids(df: DataFrame, column: str, name: str) -> DataFrame:

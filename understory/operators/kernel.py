@@ -12,11 +12,16 @@ import numpy as np
 
 from understory.functions.rng import ESTABLISHMENT, LIGHT, MORTALITY, uniform_np
 from understory.operators.params import LIGHT as LIGHT_TABLE
-from understory.operators.succession import ACTIVE_AGE, NEW_KEY, SENESCENT, Semantics
+from understory.operators.succession import ACTIVE_AGE, FIRST, HALF, NEW_KEY, SENESCENT, SPREAD, Semantics
 
 _LIGHT = np.array(LIGHT_TABLE)
-#: Spin-up keys lie this far above those of reproduction; local ids of an ecoregion stay below it.
-SPUN = 500
+
+
+def added_key(year: int, local: np.ndarray) -> np.ndarray:
+    """Keys of the cohorts that reproduction adds in a year."""
+    if not -FIRST <= year < FIRST:
+        raise ValueError(f"year {year} has no key")
+    return NEW_KEY + (year + FIRST) * SPREAD + local
 
 
 @dataclass
@@ -38,6 +43,8 @@ class Table:
         rows = sorted(rows, key=lambda r: (r["eco"], r["species"]))
         names = ("d", "s", "longevity", "shade_tol", "maturity", "b_max", "anpp_max", "prob_mort", "prob_estab", "b_max_eco", "r1", "r2", "r3", "r4", "r5")
         values = {n: np.array([r[n] for r in rows], float) for n in names}
+        if any(not 0 < r["local_id"] < HALF for r in rows):
+            raise ValueError(f"local ids of an ecoregion must lie between 1 and {HALF - 1}")
         return cls([r["eco"] for r in rows], [r["species"] for r in rows], np.array([r["local_id"] for r in rows], np.int64), values, {(r["eco"], r["species"]): i for i, r in enumerate(rows)})
 
 
@@ -47,6 +54,8 @@ class Sites:
     def __init__(self, ids: np.ndarray, table: Table, site: np.ndarray, p: np.ndarray, age: np.ndarray, bio: np.ndarray, key: np.ndarray, seed: int, sem: Semantics) -> None:
         self.ids, self.table, self.seed, self.sem = ids, table, seed, sem
         self.site, self.p, self.age, self.bio, self.key = site, p, age.astype(np.int64), bio.astype(float), key.astype(np.int64)
+        if len(self.key) and self.key.max() >= NEW_KEY:
+            raise ValueError("initial cohorts are numbered beyond the keys of added ones")
         self.prev = np.zeros(len(ids))
         self.b = np.zeros(len(ids))
         self.agnpp = np.zeros(len(ids))
@@ -131,7 +140,7 @@ class Sites:
                 i = np.flatnonzero(nth == k)
                 bio[i] = self.new_biomass(v["anpp_max"][p[i]], self.b[site[i]], v["b_max_eco"][p[i]])
                 self.b += self._sum(bio[i], site[i])
-        self.add(site, p, np.ones(len(at), np.int64), bio, NEW_KEY + (year + 1000) * 1000 + local)
+        self.add(site, p, np.ones(len(at), np.int64), bio, added_key(year, local))
 
     def spin_up(self, site: np.ndarray, p: np.ndarray, year_deficit: np.ndarray, first: int, last: int) -> None:
         """Bring sites from the earliest establishment to year -1.
@@ -147,12 +156,12 @@ class Sites:
                 s, q = site[i], p[i]
                 _, keep = np.unique(np.stack([s, q], 1), axis=0, return_index=True)
                 s, q = s[np.sort(keep)], q[np.sort(keep)]
-                base = NEW_KEY + (t - 1 + 1000) * 1000
-                young = (self.key >= base) & (self.key < base + SPUN)  # those of last year's reproduction
-                taken = set(zip(self.site[young].tolist(), self.p[young].tolist(), strict=True))
-                fresh = np.array([(a, b) not in taken for a, b in zip(s.tolist(), q.tolist(), strict=True)], bool)
+                base = int(added_key(t - 1, np.int64(0)))
+                young = (self.key >= base) & (self.key < base + HALF)  # those of last year's reproduction
+                n = len(self.table.species)
+                fresh = ~np.isin(s * n + q, self.site[young] * n + self.p[young])
                 s, q = s[fresh], q[fresh]
                 bio = self.new_biomass(self.table.values["b_max"][q], self.b[s], self.table.values["b_max_eco"][q])
-                self.add(s, q, np.ones(len(s), np.int64), bio, NEW_KEY + (t + 1000) * 1000 + SPUN + self.table.local[q])
+                self.add(s, q, np.ones(len(s), np.int64), bio, added_key(t, HALF + self.table.local[q]))
             if t < last:
                 self.step(t)

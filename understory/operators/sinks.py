@@ -12,8 +12,9 @@ NODATA = -9999.0
 
 
 def write_records(records: DataFrame, path: str, max_rows: int = 5_000_000) -> None:
-    """Yearly records as Parquet by year; rows of a year are gathered so that files stay few and bounded."""
-    records.repartition("year", F.pmod(F.xxhash64("mapcode"), F.lit(16))).write.mode("overwrite").option("maxRecordsPerFile", max_rows).partitionBy("year").parquet(path)
+    """Yearly records as Parquet by year. Rebalancing splits large years and joins small ones by their true sizes, so
+    files stay few and no year is bound to a number of writers."""
+    records.hint("rebalance", "year").write.mode("overwrite").option("maxRecordsPerFile", max_rows).partitionBy("year").parquet(path)
 
 
 def write_table(df: DataFrame, path: str) -> None:

@@ -29,8 +29,9 @@ class Semantics:
 
 
 SENESCENT, ACTIVE_AGE = 1e-8, 5
-#: Keys of cohorts that reproduction adds: unique per site, year and species, above all initial ones.
-NEW_KEY = 1_000_000
+#: Keys of cohorts that are added later: NEW_KEY + (year + FIRST) * SPREAD + local id of the species, above all initial
+#: ones; those of the spin-up lie HALF above those of reproduction. The kernel checks that all parts fit.
+NEW_KEY, FIRST, SPREAD, HALF = 1_000_000_000, 5_000, 200_000, 100_000
 
 
 def stepped(cohorts: DataFrame, params: DataFrame, year: Column | int, seed: int, sem: Semantics = Semantics()) -> DataFrame:
@@ -97,7 +98,7 @@ def seedlings(steps: DataFrame, totals: DataFrame, year: Column | int, seed: int
     x = mature.join(totals.filter("live > 0").select("site", "b", "shade_class"), "site")
     light = uniform(seed, "site", y, "local_id", LIGHT) <= sufficient_light(F.col("shade_class"), F.col("shade_tol"))
     settles = uniform(seed, "site", y, "local_id", ESTABLISHMENT) <= F.col("prob_estab")
-    seq = (F.lit(NEW_KEY) + (y + 1000) * 1000 + F.col("local_id")).cast("long")
+    seq = F.lit(NEW_KEY).cast("long") + (y.cast("long") + FIRST) * SPREAD + F.col("local_id")
     return x.filter(light & settles).select("site", "eco", seq.alias("seq"), "species", F.lit(1).alias("age"), initial_biomass(F.col("anpp_max"), F.col("b"), F.col("b_max_eco"), sem).alias("bio"))
 
 

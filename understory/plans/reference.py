@@ -182,17 +182,17 @@ def _cdf_ctes(name: str, source: str, keys: str, age: str, mass: str, top: str |
     }
 
 
-@query(sql(f"SELECT {KEY_SQL}, age_calc AS age, round(sum(agb_sum), 8) AS mass FROM splots GROUP BY ALL", ["splots"]))
+@query(sql(f"SELECT {KEY_SQL}, age_calc AS age, round(sum(agb_sum), 8) AS mass FROM splots WHERE agb_sum IS NOT NULL GROUP BY ALL", ["splots"]))
 def age_hist(spark, d):
-    return rounded(A.histogram(fx.splots(spark, d), KEYS), "mass", digits=8)
+    return rounded(A.histogram(C.with_biomass(fx.splots(spark, d)), KEYS), "mass", digits=8)
 
 
 def _smoothed(spark, d) -> DataFrame:
     world = World(spark, d)
-    return A.smooth(A.histogram(world.splots, KEYS), KEYS, _W, world.top())
+    return A.smooth(A.histogram(C.with_biomass(world.splots), KEYS), KEYS, _W, world.top())
 
 
-_REF = {"m": "SELECT s.*, n FROM splots s, top"} | _cdf_ctes("r", "m", KEY_SQL, "age_calc", "agb_sum", "n")
+_REF = {"m": "SELECT s.*, n FROM splots s, top WHERE agb_sum IS NOT NULL"} | _cdf_ctes("r", "m", KEY_SQL, "age_calc", "agb_sum", "n")
 
 
 @query(sql(f"SELECT {KEY_SQL}, age, round(mass, 8) AS mass FROM rs", ["splots", "top"], _REF))
@@ -215,14 +215,14 @@ def age_cdf(spark, d):
 
 _CDF_COLS = ", ".join(f"round(max(CASE WHEN bin = {i + 1} THEN cdf END), 6) AS c{i + 1}" for i in range(LOSS.bins.count))
 _SPDF = _REF | {
-    "mass": f"SELECT {KEY_SQL}, sum(agb_sum) AS agb FROM splots GROUP BY ALL",
+    "mass": f"SELECT {KEY_SQL}, sum(agb_sum) AS agb FROM m GROUP BY ALL",
     "last": "SELECT plot_id, eco, sim_year, species_symbol_map, max(measdate) AS measdate FROM mass GROUP BY ALL",
     "ref": f"SELECT {KEY_SQL}, bin, cdf, agb FROM rc JOIN mass USING ({KEY_SQL}) SEMI JOIN last USING (plot_id, eco, sim_year, species_symbol_map, measdate)",
 }
 
 
 def _spdf(world: World) -> DataFrame:
-    return A.reference_distributions(world.splots, LOSS, world.top())
+    return A.reference_distributions(C.with_biomass(world.splots), LOSS, world.top())
 
 
 def _wide(df: DataFrame, column: str, prefix: str) -> DataFrame:
@@ -289,7 +289,7 @@ def w1_loss_all_years(spark, d):
     """Distance between every measurement of a plot and the next one; species may be missing on either side."""
     world = World(spark, d)
     own = Window.partitionBy("plot_id", "eco").orderBy("sim_year")
-    years = world.splots.select("plot_id", "eco", "sim_year").distinct().select("*", F.lag("sim_year").over(own).alias("last_year"), F.lead("sim_year").over(own).alias("next_year"))
+    years = C.with_biomass(world.splots).select("plot_id", "eco", "sim_year").distinct().select("*", F.lag("sim_year").over(own).alias("last_year"), F.lead("sim_year").over(own).alias("next_year"))
     # a measurement is the earlier side of one pair and the later side of another
     side = lambda a, b, p, q: F.struct(F.col(a).alias("sim_year"), F.col(b).alias("next_year"), p.alias("p"), q.alias("q"))
     none = F.lit(None).cast("array<double>")
