@@ -53,41 +53,65 @@ def chain_rows(seed, n=900, crews=5, hot=0.5):
     return rows
 
 
-@pytest.mark.parametrize("partitions", [1, 7, 40])
-def test_flags_match_the_definitions(spark, partitions):
+@pytest.mark.parametrize(("partitions", "chunk", "sources"), [(1, spikes.CHUNK, 100), (7, 50, 100), (40, spikes.CHUNK, 100), (5, 37, 1)])
+def test_flags_match_the_definitions(spark, partitions, chunk, sources):
+    """The probabilities alone decide; beyond ``sources`` crews the other join is taken."""
     rows = chain_rows(3)
     df = cohorts(spark, [cohort(i, crew_id=c, age_calc=a, agb=b) for i, c, a, b in rows] + [cohort(i, crew_id=c, age_calc=a, agb=b) for i, c, a, b in rows[:50]])
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", partitions)
     try:
-        got = spikes.flag_readings(with_clashes(df)).collect()
+        got = spikes.flag_readings(with_clashes(df), chunk, sources).collect()
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     absent = {0}  # recurs across crews; -17 is no code
     flat = pd.DataFrame([(i, c, a if a is not None else math.nan, a is not None and a not in absent, b if b is not None else math.nan, b is not None) for i, c, a, b in rows], columns=["cohort_id", "crew", "age_calc", "age_calc?", "agb", "agb?"])
     assert {(r.cohort_id, r.field) for r in got} == plain_flags(flat)
-    assert len(got) == len({(r.cohort_id, r.field) for r in got}) and min(r.probability for r in got) >= spikes.CANDIDATE
+    assert len(got) == len({(r.cohort_id, r.field) for r in got}) and min(r.probability for r in got) > spikes.FLAGGED
 
 
 def test_forward_backward_is_the_sequential_one():
     rng = np.random.default_rng(1)
     e, seg = rng.random((400, 4)) + 1e-3, np.repeat([0, 1, 2], [150, 1, 249])
+    same, entry = rng.random(400) < 0.4, np.repeat([0.01, 0.2, 0.05], [150, 1, 249])
     alpha, beta = rng.random(4), rng.random(4)
-    got = spikes.posterior(e, seg, alpha, beta)
+    got = spikes.Chain(e, same, entry, seg).posterior(alpha, beta)
+
+    def steps(repeats, odds):
+        t = spikes.BASE * (1 if repeats else 1 - odds)
+        if repeats:
+            t[spikes.STUCK] = 0
+        t[:, spikes.STUCK] = 0 if repeats else odds
+        t[spikes.STUCK, spikes.STUCK] = 1 if repeats else odds
+        return t
+
     for s in range(3):
-        x = e[seg == s]
+        at = np.flatnonzero(seg == s)
         a, fwd = alpha if s == 0 else spikes._stationary(), []
-        for row in x:
-            a = (a @ spikes.TRANSITIONS) * row
+        for i in at:
+            a = (a @ steps(same[i], entry[i])) * e[i]
             a = a / a.sum()
             fwd.append(a)
         b, back = beta if s == 2 else np.ones(4), []
-        for row in x[::-1]:
+        for i in at[::-1]:
             back.append(b)
-            b = spikes.TRANSITIONS @ (row * b)
+            b = steps(same[i], entry[i]) @ (e[i] * b)
             b = b / b.sum()
         p = np.array(fwd) * np.array(back[::-1])
-        assert np.allclose(got[seg == s], p / p.sum(1, keepdims=True))
+        assert np.allclose(got[at], p / p.sum(1, keepdims=True))
+
+
+@pytest.mark.parametrize("rate", [0.0, 0.01, 0.2, 0.9])
+@pytest.mark.parametrize("length", [4, 5, 6, 7, 300])
+def test_six_is_the_shortest_stuck_run(rate, length):
+    """Whatever the crew's rate of repetition, and also beside a spike, an impossible reading and another run."""
+    x = np.r_[20.0, 1e6, np.full(length, 33.0), np.full(5, 34.0), -1.0, np.full(length, 30.0), 21.0]
+    same = np.append(False, x[1:] == x[:-1])
+    rates = np.full(len(x), rate)
+    e = spikes.emissions("age_calc", x, np.full(len(x), 5.0), np.full(len(x), 0.3), rates, same)
+    off = 1 - spikes.Chain(e, same, spikes.entry_odds(rates), np.zeros(len(x), int)).posterior(None, None)[:, 0]
+    want = np.isin(x, (1e6, -1.0)) | (np.isin(x, (33.0, 30.0)) & (length >= 6))
+    assert ((off > spikes.FLAGGED) == want).all()
 
 
 def test_flags_edge_cases(spark):

@@ -51,6 +51,11 @@ def p4_flags(spark, d):
     return spikes.flag_readings(table(spark, d, "data_eco_cohorts"))
 
 
+def p4_kinds(spark, d):
+    """What the model takes every flagged reading for."""
+    return spikes.flag_readings(table(spark, d, "data_eco_cohorts")).select("cohort_id", "crew_id", "field", "reading", "kind")
+
+
 def p6_found(spark, d):
     return lines.rejected(table(spark, d, "cohort_lines"))
 
@@ -72,7 +77,7 @@ def p7_report(spark, d):
     return orphans.orphan_report(*_orphans(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_features, p1_cells, p2_found, p2_results, p3_found, p3_filled, p4_found, p4_flags, p6_found, p6_loaded, p7_found, p7_report)}
+QUERIES = {f.__name__: f for f in (p1_features, p1_cells, p2_found, p2_results, p3_found, p3_filled, p4_found, p4_flags, p4_kinds, p6_found, p6_loaded, p7_found, p7_report)}
 
 # ---------------------------------------------------------------- the same in SQL, over whole tables
 
@@ -112,9 +117,15 @@ d_{f} AS (SELECT *, quantile_cont(abs(bin - mid), 0.5) OVER (PARTITION BY crew_i
 n_{f} AS (SELECT *, CASE WHEN x IS NOT DISTINCT FROM lag(x) OVER (PARTITION BY crew_id ORDER BY cohort_id) THEN 0 ELSE 1 END AS fresh FROM d_{f}),
 g_{f} AS (SELECT *, sum(fresh) OVER (PARTITION BY crew_id ORDER BY cohort_id) AS run FROM n_{f}),
 l_{f} AS (SELECT *, count(*) OVER (PARTITION BY crew_id, run) AS length FROM g_{f}),
-f_{f} AS (SELECT cohort_id, '{f}' AS field FROM l_{f} WHERE NOT ok OR length >= 6 OR x = 0 OR (x > 0 AND abs(log2(CASE WHEN ok AND x > 0 THEN x END) - mid / 256) > 5 * greatest(1.4826 * mad, 1) / 256))"""
+f_{f} AS (SELECT cohort_id, CAST(crew_id AS BIGINT) AS crew_id, '{f}' AS field, x AS reading, CASE WHEN NOT ok THEN 'out_of_range'
+    WHEN x = 0 OR abs(log2(CASE WHEN ok AND x > 0 THEN x END) - mid / 256) > 5 * greatest(1.4826 * mad, 1) / 256 THEN 'spike' WHEN length >= 6 THEN 'stuck' END AS kind FROM l_{f})"""
 
 
+_ODD = f"""WITH {_CODES}, once AS ({_ONCE}),
+{_flags("age_calc", f"SELECT cohort_id, crew_id, CAST(age_calc AS DOUBLE) AS x FROM once WHERE NOT {_absent('age_calc')}", "(x >= 1 AND x <= 1500)")},
+{_flags("agb", "SELECT cohort_id, crew_id, agb AS x FROM once WHERE agb IS NOT NULL", "(x >= 0 AND x < CAST('infinity' AS DOUBLE) AND NOT isnan(x))")},
+odd AS (SELECT * FROM f_age_calc WHERE kind IS NOT NULL UNION ALL SELECT * FROM f_agb WHERE kind IS NOT NULL)"""
+
 _F = r"""(?:[^",]*|"(?:[^"]|"")*")"""
 _LINE = rf"^({_F}),{_F},{_F},{_F},{_F},{_F},({_F}),{_F},{_F},{_F},{_F},({_F}),{_F},{_F},{_F}$"
 
@@ -138,10 +149,8 @@ SELECT plt_cn, species_symbol_map, count(*) AS n, CAST(printf('%.8e', CAST(coale
     "p2_results": f"""WITH {_CODES}, {_KEYED}, o AS (SELECT *, {_FINITE} AS x, lag(crew_id) OVER w AS before, row_number() OVER w AS no FROM keyed WINDOW w AS (PARTITION BY field, key_value ORDER BY loaded_at, cohort_id))
 SELECT field, key_value, count(*) AS n_rows, count(x) AS n_values, CAST(printf('%.8e', sum(x)) AS DOUBLE) AS total, min(x) AS lowest, max(x) AS highest, count(*) FILTER (no > 1 AND before IS DISTINCT FROM crew_id) AS turns FROM o GROUP BY ALL""",
     "p3_found": f"WITH {_CODES} " + " UNION ALL ".join(f"SELECT DISTINCT cohort_id, '{f}' AS field FROM data_eco_cohorts WHERE {_absent(f)}" for f in ("age_calc", "eco", "species_symbol_map")),
-    "p4_found": f"""WITH {_CODES}, once AS ({_ONCE}),
-{_flags("age_calc", f"SELECT cohort_id, crew_id, CAST(age_calc AS DOUBLE) AS x FROM once WHERE NOT {_absent('age_calc')}", "(x >= 1 AND x <= 1500)")},
-{_flags("agb", "SELECT cohort_id, crew_id, agb AS x FROM once WHERE agb IS NOT NULL", "(x >= 0 AND x < CAST('infinity' AS DOUBLE) AND NOT isnan(x))")}
-SELECT * FROM f_age_calc UNION ALL SELECT * FROM f_agb""",
+    "p4_found": f"{_ODD} SELECT cohort_id, field FROM odd",
+    "p4_kinds": f"{_ODD} SELECT * FROM odd",
     "p6_found": rf"""WITH a AS (SELECT line_id, line, regexp_replace(line, '"(?:[^"]|"")*"', 'q', 'g') AS bare FROM cohort_lines),
 b AS (SELECT *, CASE WHEN line IS NULL THEN 'column_count' WHEN NOT regexp_full_match(line, '{_F}(?:,{_F})*') THEN 'quoting' WHEN length(bare) - length(replace(bare, ',', '')) <> 14 THEN 'column_count' END AS reason FROM a),
 c AS (SELECT *, {_field(1)} AS k, {_field(2)} AS m, {_field(3)} AS g FROM b)

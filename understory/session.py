@@ -61,19 +61,24 @@ def _at_exit(spark: SparkSession) -> None:
         drop_intermediates(spark)
 
 
+#: Spark's size of a relation it knows nothing of is larger than this.
+UNKNOWN = 1 << 60
+
+
 def _bytes(plan) -> int:
     return int(str(plan.stats().sizeInBytes()))
 
 
 def width(df: DataFrame, part_bytes: int = 128 << 20) -> int:
     """How many partitions a range partitioning of ``df`` should have: one per core and shuffle partition, more if the
-    size asks for it. Estimates behind joins and explodes are wild, so they count up to 8 times the size of what is read."""
+    size asks for it. Estimates behind joins and explodes are wild, so they count up to 8 times the size of what is read;
+    rows from a plain RDD have no known size."""
     spark = df.sparkSession
     least = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     plan = df._jdf.queryExecution().optimizedPlan()
     leaves = plan.collectLeaves()
     read = sum(_bytes(leaves.apply(i)) for i in range(leaves.size()))
-    return max(least, -(-min(_bytes(plan), 8 * read) // part_bytes))
+    return least if read >= UNKNOWN else max(least, -(-min(_bytes(plan), 8 * read) // part_bytes))
 
 
 def bounded_rows(df: DataFrame, limit: int, what: str) -> list:
