@@ -6,10 +6,11 @@ from understory.operators import chunks, orphans
 from understory.operators.absent import recurring_codes
 
 
-def test_numbering_is_exact_and_dense(spark):
+def test_numbering_is_exact_and_dense(spark, monkeypatch):
     rows = spark.range(5000).selectExpr("if(id % 3 = 0, 'hot', concat('k', id % 7)) as k", "id", "5000 - id as o").repartition(5)
     rows = chunks.cut(rows)
-    for order in (None, ["o"]):
+    for order, limit in ((None, chunks.BROADCAST_OFFSETS), (["o"], chunks.BROADCAST_OFFSETS), (None, 0)):
+        monkeypatch.setattr(chunks, "BROADCAST_OFFSETS", limit)
         got = chunks.number_rows(rows, ["k"], order).toPandas()
         for _, g in got.groupby("k"):
             assert sorted(g.key_no) == list(range(len(g)))
@@ -29,6 +30,15 @@ def test_turns_across_chunks(spark):
     assert (small.n_rows, small.turns, small.total, small.lowest, small.highest, small.chunks) == (40, 13, 780.0, 0.0, 39.0, 10)
 
 
+def test_turns_across_partitions(spark):
+    """Without an order the rows follow each other partition by partition."""
+    rows = [cohort(i, crew_id=None if i // 3 == 2 else i // 3, agb=float(i)) for i in range(40)]
+    kept = chunks.cut(cohorts(spark, rows).repartitionByRange(7, "cohort_id").sortWithinPartitions("cohort_id"))
+    for size in (3, 4, 1000):
+        r = chunks.per_key_results(kept, chunk_rows=size).filter("field = 'eco'").first()
+        assert (r.n_rows, r.turns, r.chunks) == (40, 13, -(-40 // size))
+
+
 def test_heavy_keys(spark):
     rows = [cohort(i, eco="e1" if i < 95 else f"r{i}", species_symbol_map=None if i % 2 else "") for i in range(100)]
     got = {tuple(r) for r in chunks.heavy_keys(with_clashes(cohorts(spark, rows))).collect()}
