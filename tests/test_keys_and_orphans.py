@@ -84,3 +84,31 @@ def test_orphans(spark):
 def test_orphans_of_empty_tables(spark):
     refs = orphans.all_references(cohorts(spark, []), communities(spark, []))
     assert orphans.orphan_rows(refs, lists(spark)).count() == 0
+
+
+def test_either_join_finds_the_same_rows(spark, monkeypatch):
+    rows = [cohort(i, species_symbol_map=["AAAA", "BBBB", "ZZZZ"][i % 3]) for i in range(30)]
+    refs = orphans.all_references(cohorts(spark, rows), communities(spark, []))
+    one = {tuple(r) for r in orphans.orphan_rows(refs, lists(spark)).collect()}
+    monkeypatch.setattr(orphans, "BROADCAST_DAYS", 0)
+    assert one == {tuple(r) for r in orphans.orphan_rows(refs, lists(spark)).collect()} and len(one) == 20
+
+
+def test_kept_counts_equal_the_whole(spark, tmp_path):
+    """Deliveries in any order, late list entries and retracted rows give what a full run gives."""
+    rows = [cohort(i, species_symbol_map=["AAAA", "BBBB", "CCCC", "ZZZZ", None][i % 5], loaded_at=datetime.datetime(2008 + i % 6, 1 + i % 12, 3)) for i in range(60)]
+    refs = orphans.all_references(cohorts(spark, rows), communities(spark, [(1, 0, 1, 8, None, 1, 1.0, None)]))
+    existence = lists(spark)
+    kept = orphans.KeptCounts(spark, str(tmp_path / "kept"))
+    assert kept.orphan_days().count() == 0
+    kept.apply(orphans.deltas(refs.filter("row_id % 2 = 1"), existence.filter("ref = 'CCCC'")))
+    kept.apply(orphans.deltas(refs.filter("row_id % 2 = 0"), existence.limit(0)))
+    before = {p.name for p in (tmp_path / "kept" / "counts" / "version=2").iterdir() if p.name.startswith("bucket")}
+    kept.apply(orphans.deltas(refs.limit(0), existence.filter("ref != 'CCCC'")))  # the lists come last
+    touched = {p.name for p in (tmp_path / "kept" / "counts" / "version=3").iterdir() if p.name.startswith("bucket")}
+    key = lambda df: sorted(map(tuple, df.select("table_name", "field", "ref", "day", "n_refs").collect()))
+    assert key(kept.orphan_days()) == key(orphans.orphan_days(refs, existence)) != []
+    assert touched and not before <= touched  # buckets without a delta stay as they are
+    gone = refs.filter("ref = 'ZZZZ'")
+    kept.apply(orphans.deltas(gone, existence.limit(0)).selectExpr("table_name", "field", "ref", "day", "-n_refs as n_refs", "exists"))
+    assert key(kept.orphan_days()) == key(orphans.orphan_days(refs.filter("ref != 'ZZZZ'"), existence))

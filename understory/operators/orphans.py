@@ -3,19 +3,25 @@
 Every list entry is a +1 of existence on the day it is listed and a -1 on the day it is delisted; every
 referring row is a +1 of reference on its day. Per key the deltas are summed in day order: a (key, day)
 with positive references and zero existence is an orphan.
+
+``KeptCounts`` maintains the two counts under a folder: a delivery of rows or a change of a list, late ones
+included, adds its signed deltas, and only the buckets of the keys it touches are summed again.
 """
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from understory.operators.absent import is_absent, recurring_codes
+from understory.session import cut_table
 
 #: Rows without a day are judged against the list as it stands last.
 NO_DAY = "9999-12-31"
+SALTS = 16
 #: Which table and field refers to which list.
 USES = (
     ("data_eco_cohorts", "species_symbol_map", "species"),
@@ -48,23 +54,86 @@ def references(rows: DataFrame, table_name: str, row_id: str, at: str, fields: d
     ).select("table_name", "e.field", "e.list_name", "row_id", "e.ref", "day").filter("ref is not null")
 
 
-def orphan_days(refs: DataFrame, existence: DataFrame) -> DataFrame:
-    """(table_name, field, ref, day, n_refs) of the keys that are referred to on a day on which they don't exist.
+def deltas(refs: DataFrame, existence: DataFrame) -> DataFrame:
+    """(table_name, field, ref, day, n_refs, exists): the signed deltas per (key, day), of references and of existence.
 
     References are summed per (key, day) before the shuffle, so a key that holds a third of all rows is no
-    more than one row per day in the window.
+    more than one row per day and partition.
     """
-    counted = refs.groupBy("table_name", "field", "list_name", "ref", "day").agg(F.count("*").alias("n_refs"))
-    listed = reduce(
-        DataFrame.unionByName,
-        [
-            existence.filter(F.col("list_name") == to).select(F.lit(t).alias("table_name"), F.lit(f).alias("field"), "ref", "day", F.lit(0).cast("long").alias("n_refs"), F.col("exists").cast("long").alias("exists"))
-            for t, f, to in USES
-        ],
-    )
-    deltas = counted.select("table_name", "field", "ref", "day", "n_refs", F.lit(0).cast("long").alias("exists")).unionByName(listed)
+    counted = refs.groupBy("table_name", "field", "ref", "day").agg(F.count("*").alias("n_refs"))
+    used_by = F.explode(F.array(*(F.struct(F.lit(t).alias("table_name"), F.lit(f).alias("field"), F.lit(to).alias("to")) for t, f, to in USES)))
+    listed = existence.withColumn("u", used_by).filter("list_name = u.to").groupBy("u.table_name", "u.field", "ref", "day").agg(F.sum("exists").alias("exists"))
+    none = F.lit(0).cast("long")
+    return counted.select("table_name", "field", "ref", "day", "n_refs", none.alias("exists")).unionByName(listed.select("table_name", "field", "ref", "day", none.alias("n_refs"), F.col("exists").cast("long").alias("exists")))
+
+
+def orphans_among(signed: DataFrame) -> DataFrame:
+    """(table_name, field, ref, day, n_refs) of the keys that are referred to on a day on which they don't exist."""
+    per_day = signed.groupBy("table_name", "field", "ref", "day").agg(F.sum("n_refs").alias("n_refs"), F.sum("exists").alias("exists"))
     w = Window.partitionBy("table_name", "field", "ref").orderBy("day").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    return deltas.withColumn("existing", F.sum("exists").over(w)).filter("n_refs > 0 and existing <= 0").select("table_name", "field", "ref", "day", "n_refs")
+    return per_day.withColumn("existing", F.sum("exists").over(w)).filter("n_refs > 0 and existing <= 0").select("table_name", "field", "ref", "day", "n_refs")
+
+
+def orphan_days(refs: DataFrame, existence: DataFrame) -> DataFrame:
+    return orphans_among(deltas(refs, existence))
+
+
+class KeptCounts:
+    """The signed counts of all deliveries so far, in buckets of keys, with the orphans of every bucket.
+
+    ``apply`` adds the deltas of one delivery: rows (n_refs), list entries and delistings (exists), retracted
+    rows with negative counts. It rewrites the buckets of the keys in the delivery and no other. Every delivery
+    writes files of its own and moves the pointer ``current`` last, so that one that fails can be done again.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = 64) -> None:
+        self.spark, self.folder, self.buckets = spark, folder, buckets
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _current(self) -> dict:
+        """The version of every bucket that was ever written."""
+        at = self._path(f"{self.folder}/current")
+        if not self._fs.exists(at):
+            return {"version": 0, "of": {}, "buckets": self.buckets}
+        return json.loads(self.spark.read.text(f"{self.folder}/current", wholetext=True).first()[0])
+
+    def _read(self, name: str, at: dict[str, int]) -> DataFrame | None:
+        paths = [f"{self.folder}/{name}/version={v}/bucket={b}" for b, v in at.items()]
+        paths = [p for p in paths if self._fs.exists(self._path(p))]
+        return self.spark.read.parquet(*paths) if paths else None
+
+    def apply(self, signed: DataFrame) -> None:
+        state = self._current()
+        bucket = F.pmod(F.xxhash64("table_name", "field", "ref"), F.lit(state["buckets"])).cast("int")
+        new = cut_table(signed.groupBy("table_name", "field", "ref", "day").agg(F.sum("n_refs").alias("n_refs"), F.sum("exists").alias("exists")).withColumn("bucket", bucket))
+        touched = sorted(r[0] for r in new.select("bucket").distinct().collect())  # one row per bucket at most
+        if not touched:
+            return
+        old = self._read("counts", {b: v for b, v in state["of"].items() if int(b) in touched})
+        both = new.drop("bucket") if old is None else new.drop("bucket").unionByName(old)
+        summed = both.groupBy("table_name", "field", "ref", "day").agg(F.sum("n_refs").alias("n_refs"), F.sum("exists").alias("exists"))
+        version = state["version"] + 1
+
+        def write(df: DataFrame, name: str) -> None:
+            df.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/{name}/version={version}")
+
+        write(summed, "counts")
+        now = {str(b): version for b in touched}
+        write(orphans_among(self._read("counts", now)), "orphans")
+        text = json.dumps({"version": version, "of": state["of"] | now, "buckets": state["buckets"]})
+        fresh, at = self._path(f"{self.folder}/current.new"), self._path(f"{self.folder}/current")
+        out = self._fs.create(fresh, True)
+        out.write(text.encode())
+        out.close()
+        if self._fs.exists(at):
+            self._fs.delete(at, False)
+        self._fs.rename(fresh, at)
+
+    def orphan_days(self) -> DataFrame:
+        """What ``orphan_days`` of all deliveries together would give."""
+        found = self._read("orphans", self._current()["of"])
+        return self.spark.createDataFrame([], "table_name string, field string, ref string, day date, n_refs long") if found is None else found
 
 
 def all_references(cohorts: DataFrame, communities: DataFrame) -> DataFrame:
@@ -80,14 +149,31 @@ def all_existence(species: DataFrame, ecos: DataFrame) -> DataFrame:
     return existence_deltas(species, "species_symbol_map", "species").unionByName(existence_deltas(ecos, "ecocode", "ecocode"))
 
 
+#: Orphan keys by day are broadcast up to this number of rows; more are joined by shuffle.
+BROADCAST_DAYS = 500_000
+
+
 def orphan_rows(refs: DataFrame, existence: DataFrame) -> DataFrame:
-    """(table_name, field, row_id), distinct: the records with a row whose reference is an orphan."""
+    """(table_name, field, row_id), distinct: the records with a row whose reference is an orphan.
+
+    Where the orphan (key, day) pairs are few, the references are looked up where they are read and only orphans
+    move. Beyond, both sides are shuffled by (key, day) and a salt, so that a key of very many rows meets many tasks.
+    """
     keys = ["table_name", "field", "ref", "day"]
-    return refs.join(orphan_days(refs, existence).select(*keys), keys, "left_semi").select("table_name", "field", "row_id").distinct()
+    days = cut_table(orphan_days(refs, existence).select(*keys))
+    if days.count() <= BROADCAST_DAYS:
+        hit = refs.join(F.broadcast(days), keys, "left_semi")
+    else:
+        salted = days.withColumn("_salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+        hit = refs.withColumn("_salt", F.pmod(F.xxhash64("row_id"), F.lit(SALTS)).cast("int")).join(salted, [*keys, "_salt"], "left_semi")
+    return hit.select("table_name", "field", "row_id").distinct()
 
 
 def orphan_report(refs: DataFrame, existence: DataFrame) -> DataFrame:
+    return report(orphan_days(refs, existence))
+
+
+def report(days: DataFrame) -> DataFrame:
     """Per table, field and month: rows with an orphan reference and the distinct keys they refer to."""
-    days = orphan_days(refs, existence).withColumn("period", F.date_format("day", "yyyy-MM"))
-    by_key = days.groupBy("table_name", "field", "period", "ref").agg(F.sum("n_refs").alias("n"))
+    by_key = days.withColumn("period", F.date_format("day", "yyyy-MM")).groupBy("table_name", "field", "period", "ref").agg(F.sum("n_refs").alias("n"))
     return by_key.groupBy("table_name", "field", "period").agg(F.count("*").alias("orphan_keys"), F.sum("n").alias("orphan_rows"))

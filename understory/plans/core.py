@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from understory.operators import absent, chunks, features, impute, lines, orphans, spikes
-from understory.session import table
+from understory.session import scratch, table
+
+
+#: Readings have few decimals, so exact sums often end in the digit 5 where they are rounded; the order in which doubles
+#: are added would then decide. Halves are lifted by far more than that error.
+LIFT = 1.00000000003
 
 
 def significant(column: str):
-    """Nine significant digits: sums of doubles depend on their order beyond that."""
-    return F.format_string("%.8e", column).try_cast("double")
+    """Nine significant digits, halves up: sums of doubles depend on their order beyond that."""
+    return F.format_string("%.8e", F.col(column) * LIFT).try_cast("double")
 
 
 def p1_features(spark, d):
@@ -77,7 +82,21 @@ def p7_report(spark, d):
     return orphans.orphan_report(*_orphans(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_features, p1_cells, p2_found, p2_results, p3_found, p3_filled, p4_found, p4_flags, p4_kinds, p6_found, p6_loaded, p7_found, p7_report)}
+def p7_kept(spark, d):
+    """The report from kept counts: the lists and the rows of the first half of all days, then the later rows, then the
+    first half's delistings, which arrive last."""
+    refs, existence = _orphans(spark, d)
+    days = refs.filter(F.col("day") < F.lit(orphans.NO_DAY).cast("date")).agg(F.min("day"), F.max("day")).first()
+    mid = days[0] + (days[1] - days[0]) / 2 if days[0] else None
+    early = F.coalesce(F.col("day") < F.lit(mid).cast("date"), F.lit(False))
+    kept = orphans.KeptCounts(spark, scratch(spark))
+    kept.apply(orphans.deltas(refs.filter(early), existence.filter("exists > 0")))
+    kept.apply(orphans.deltas(refs.filter(~early), existence.filter((F.col("exists") < 0) & ~early)))
+    kept.apply(orphans.deltas(refs.limit(0), existence.filter((F.col("exists") < 0) & early)))
+    return orphans.report(kept.orphan_days())
+
+
+QUERIES = {f.__name__: f for f in (p1_features, p1_cells, p2_found, p2_results, p3_found, p3_filled, p4_found, p4_flags, p4_kinds, p6_found, p6_loaded, p7_found, p7_report, p7_kept)}
 
 # ---------------------------------------------------------------- the same in SQL, over whole tables
 
@@ -142,12 +161,14 @@ listed AS (SELECT 's' AS list, species_symbol_map AS ref, listed_on, delisted_on
 orphans AS (SELECT * FROM refs r WHERE NOT EXISTS (SELECT 1 FROM listed l WHERE l.ref = r.ref AND l.list = CASE WHEN r.field = 'ecocode' THEN 'e' ELSE 's' END
   AND l.listed_on <= coalesce(r.day, DATE '9999-12-31') AND (l.delisted_on IS NULL OR coalesce(r.day, DATE '9999-12-31') < l.delisted_on)))"""
 
+_REPORT = f"WITH {_CODES}, {_ORPHANS} SELECT table_name, field, strftime(coalesce(day, DATE '9999-12-31'), '%Y-%m') AS period, count(DISTINCT ref) AS orphan_keys, count(*) AS orphan_rows FROM orphans GROUP BY ALL"
+
 ORACLES = {
     "p1_cells": f"""WITH {_CODES}, once AS ({_ONCE}), e AS (SELECT plt_cn, CASE WHEN NOT {_absent("species_symbol_map")} THEN species_symbol_map END AS species_symbol_map, {_FINITE} AS t, {_DAY} AS day FROM once)
-SELECT plt_cn, species_symbol_map, count(*) AS n, CAST(printf('%.8e', CAST(coalesce(sum(t), 0) AS DOUBLE)) AS DOUBLE) AS total, date_diff('day', max(day), (SELECT max(CAST(loaded_at AS DATE)) FROM data_eco_cohorts)) AS days FROM e GROUP BY ALL""",
+SELECT plt_cn, species_symbol_map, count(*) AS n, CAST(printf('%.8e', CAST(coalesce(sum(t), 0) AS DOUBLE) * {LIFT}) AS DOUBLE) AS total, date_diff('day', max(day), (SELECT max(CAST(loaded_at AS DATE)) FROM data_eco_cohorts)) AS days FROM e GROUP BY ALL""",
     "p2_found": f"WITH {_CODES}, {_KEYED} SELECT field, key_value FROM keyed GROUP BY ALL HAVING count(*) >= 0.05 * (SELECT count(*) FROM data_eco_cohorts)",
     "p2_results": f"""WITH {_CODES}, {_KEYED}, o AS (SELECT *, {_FINITE} AS x, lag(crew_id) OVER w AS before, row_number() OVER w AS no FROM keyed WINDOW w AS (PARTITION BY field, key_value ORDER BY loaded_at, cohort_id))
-SELECT field, key_value, count(*) AS n_rows, count(x) AS n_values, CAST(printf('%.8e', sum(x)) AS DOUBLE) AS total, min(x) AS lowest, max(x) AS highest, count(*) FILTER (no > 1 AND before IS DISTINCT FROM crew_id) AS turns FROM o GROUP BY ALL""",
+SELECT field, key_value, count(*) AS n_rows, count(x) AS n_values, CAST(printf('%.8e', sum(x) * {LIFT}) AS DOUBLE) AS total, min(x) AS lowest, max(x) AS highest, count(*) FILTER (no > 1 AND before IS DISTINCT FROM crew_id) AS turns FROM o GROUP BY ALL""",
     "p3_found": f"WITH {_CODES} " + " UNION ALL ".join(f"SELECT DISTINCT cohort_id, '{f}' AS field FROM data_eco_cohorts WHERE {_absent(f)}" for f in ("age_calc", "eco", "species_symbol_map")),
     "p4_found": f"{_ODD} SELECT cohort_id, field FROM odd",
     "p4_kinds": f"{_ODD} SELECT * FROM odd",
@@ -157,5 +178,6 @@ c AS (SELECT *, {_field(1)} AS k, {_field(2)} AS m, {_field(3)} AS g FROM b)
 SELECT DISTINCT line_id, coalesce(reason, 'invalid_value') AS reason FROM c WHERE reason IS NOT NULL OR NOT regexp_full_match(k, '[0-9]{{1,15}}')
   OR NOT regexp_full_match(m, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') OR try_strptime(m, '%Y-%m-%d') IS NULL OR NOT (g = '' OR (regexp_full_match(g, '([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?') AND coalesce(TRY_CAST(g AS DOUBLE) < CAST('infinity' AS DOUBLE), false)))""",
     "p7_found": f"WITH {_CODES}, {_ORPHANS} SELECT DISTINCT table_name, field, row_id FROM orphans",
-    "p7_report": f"WITH {_CODES}, {_ORPHANS} SELECT table_name, field, strftime(coalesce(day, DATE '9999-12-31'), '%Y-%m') AS period, count(DISTINCT ref) AS orphan_keys, count(*) AS orphan_rows FROM orphans GROUP BY ALL",
+    "p7_report": _REPORT,
+    "p7_kept": _REPORT,
 }

@@ -36,13 +36,17 @@ def cut(df: DataFrame) -> DataFrame:
 
 def cut_table(df: DataFrame) -> DataFrame:
     """Like ``cut``, as a columnar table in the same folder: cheaper to read many times, in no fixed order."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/understory-{uuid.uuid4().hex}"
+    spark, path = df.sparkSession, scratch(df.sparkSession)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder name beside the intermediate tables."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/understory-{uuid.uuid4().hex}"
+
+
 def drop_intermediates(spark: SparkSession) -> None:
     """Remove what ``cut`` and ``cut_table`` wrote in this application. Call it when no result is read any more;
     it is done at the end of the Python process as well."""
