@@ -2,7 +2,11 @@
 
 Blocks of lines go through a columnar parser at once. A block that fails in any way is cut in half and both
 halves are tried again, until the bad lines are isolated in a few neighbours; these are read character by
-character by a strict parser that names the reason. A line passes the block path only if it is certainly valid.
+character by a strict parser that names the reason. Nothing is known of a single line before that.
+
+A block passes only if every line of it is certainly valid. Every line is parsed behind a mark that no line holds,
+so that one with an open quote or a line break can't pass for two or swallow its neighbour; the columnar parser is
+lenient about text beside quotes, so a block with quotes must also have the shape of quoted fields.
 """
 
 from __future__ import annotations
@@ -11,9 +15,9 @@ import datetime
 import io
 import math
 import re
+import uuid
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.csv as pacsv
@@ -24,9 +28,9 @@ FIELDS = (
     "sftwd_hrdwd", "age_calc", "agb", "tree_count", "subp_has_dstrb", "remark",
 )
 WHOLE = ("statecd", "unitcd", "countycd", "plot", "age_calc", "tree_count")
-BLOCK = 512
-#: A failing block of this size isn't cut again: its lines are read strictly.
-LEAF = 16
+BLOCK = 1024
+#: A failing block of this size isn't cut again: reading its lines strictly costs less than parsing it once more.
+LEAF = 64
 SCHEMA = "line_id long, reason string, " + ", ".join(
     f"{f} {'long' if f == 'plt_cn' else 'date' if f == 'measdate' else 'double' if f == 'agb' else 'int' if f in WHOLE else 'string'}" for f in FIELDS
 )
@@ -99,24 +103,32 @@ def diagnose(line: str | None) -> tuple[str | None, dict]:
     return None, typed | {"plt_cn": int(row["plt_cn"]), "measdate": day, "agb": float(agb) if agb else None}
 
 
-def sound(lines: pa.Array) -> np.ndarray:
-    """Lines whose quoting and number of fields are certainly right."""
-    return np.asarray(pc.fill_null(pc.match_substring_regex(lines, STRUCTURE), False))
+def _joined(lines: pa.Array, before: str) -> bytes:
+    """All lines of a block as one text, each behind a mark and closed by a line break."""
+    marked = pc.binary_join_element_wise(pa.scalar(before), pc.fill_null(lines, ""), ",")
+    whole = pc.binary_join(pa.LargeListArray.from_arrays(pa.array([0, len(lines)], pa.int64()), marked), "\n")
+    return whole[0].as_buffer().to_pybytes() + b"\n"
 
 
 def parse_block(lines: pa.Array) -> pa.Table | None:
-    """The typed columns of a block of sound lines in which every value is certainly valid, else None."""
-    joined = pc.binary_join(pa.LargeListArray.from_arrays(pa.array([0, len(lines)], pa.int64()), lines), "\n")
-    text = joined[0].as_buffer().to_pybytes() + b"\n"
+    """The typed columns of a block in which every line is certainly valid, else None."""
+    if lines.null_count:
+        return None
+    mark = uuid.uuid4().hex
+    text = _joined(lines, mark)
     try:
         t = pacsv.read_csv(
             io.BytesIO(text),
-            read_options=pacsv.ReadOptions(column_names=list(FIELDS), use_threads=False, block_size=max(1024, 2 * len(text))),
+            read_options=pacsv.ReadOptions(column_names=["mark", *FIELDS], use_threads=False, block_size=max(1024, 2 * len(text))),
             parse_options=pacsv.ParseOptions(newlines_in_values=True, ignore_empty_lines=False),
-            convert_options=pacsv.ConvertOptions(column_types=dict.fromkeys(FIELDS, pa.string()), strings_can_be_null=False, check_utf8=True),
+            convert_options=pacsv.ConvertOptions(column_types=dict.fromkeys(["mark", *FIELDS], pa.string()), strings_can_be_null=False, check_utf8=True),
         )
-        if t.num_rows != len(lines):
+        if t.num_rows != len(lines) or not pc.all(pc.equal(t["mark"], mark)).as_py():
             return None
+        if b'"' in text:
+            quoted = lines.filter(pc.match_substring(lines, '"'))
+            if not pc.all(pc.match_substring_regex(quoted, STRUCTURE)).as_py():
+                return None
         day, agb = t["measdate"], t["agb"]
         empty = pc.equal(agb, "")
         fine = pc.and_(pc.match_substring_regex(t["plt_cn"], KEY), pc.match_substring_regex(day, DAY))
@@ -139,11 +151,10 @@ def parse_block(lines: pa.Array) -> pa.Table | None:
 def parse_lines(ids: pa.Array, lines: pa.Array) -> Iterator[pa.Table]:
     """Tables of (line_id, reason, fields): good blocks as they are, the lines of small failing blocks one by one."""
     strict: list[tuple] = []
-    fit = sound(lines)
     todo = [(at, min(at + BLOCK, len(lines))) for at in range(0, len(lines), BLOCK)][::-1]
     while todo:
         lo, hi = todo.pop()
-        t = parse_block(lines.slice(lo, hi - lo)) if fit[lo:hi].all() else None
+        t = parse_block(lines.slice(lo, hi - lo)) if hi - lo > 1 else None
         if t is not None:
             yield t.add_column(0, "reason", pa.nulls(hi - lo, pa.string())).add_column(0, "line_id", ids.slice(lo, hi - lo))
         elif hi - lo <= LEAF:

@@ -149,6 +149,10 @@ _F = r"""(?:[^",]*|"(?:[^"]|"")*")"""
 _LINE = rf"^({_F}),{_F},{_F},{_F},{_F},{_F},({_F}),{_F},{_F},{_F},{_F},({_F}),{_F},{_F},{_F}$"
 
 
+_WHOLE_LINE = ",".join([f"({_F})"] * len(lines.FIELDS))
+_TYPED = {"plt_cn": "CAST(plt_cn AS BIGINT) AS plt_cn", "measdate": "CAST(measdate AS DATE) AS measdate", "agb": "CASE WHEN agb <> '' THEN CAST(agb AS DOUBLE) END AS agb"}
+
+
 def _field(i: int) -> str:
     v = f"regexp_extract(line, '{_LINE}', {i})"
     return f"CASE WHEN {v} LIKE '\"%' THEN replace(substr({v}, 2, length({v}) - 2), '\"\"', '\"') ELSE {v} END"
@@ -177,6 +181,11 @@ b AS (SELECT *, CASE WHEN line IS NULL THEN 'column_count' WHEN NOT regexp_full_
 c AS (SELECT *, {_field(1)} AS k, {_field(2)} AS m, {_field(3)} AS g FROM b)
 SELECT DISTINCT line_id, coalesce(reason, 'invalid_value') AS reason FROM c WHERE reason IS NOT NULL OR NOT regexp_full_match(k, '[0-9]{{1,15}}')
   OR NOT regexp_full_match(m, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') OR try_strptime(m, '%Y-%m-%d') IS NULL OR NOT (g = '' OR (regexp_full_match(g, '([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?') AND coalesce(TRY_CAST(g AS DOUBLE) < CAST('infinity' AS DOUBLE), false)))""",
+    "p6_loaded": rf"""WITH s AS (SELECT line_id, regexp_extract(line, '^{_WHOLE_LINE}$', [{", ".join(f"'{f}'" for f in lines.FIELDS)}]) AS v FROM cohort_lines WHERE regexp_full_match(line, '{_WHOLE_LINE}')),
+u AS (SELECT line_id, {", ".join(f"CASE WHEN v.{f} LIKE '" + chr(34) + f"%' THEN replace(substr(v.{f}, 2, length(v.{f}) - 2), repeat(chr(34), 2), chr(34)) ELSE v.{f} END AS {f}" for f in lines.FIELDS)} FROM s)
+SELECT line_id, {", ".join(f"CASE WHEN regexp_full_match({f}, '[+-]?[0-9]{{1,10}}') THEN TRY_CAST({f} AS INT) END AS {f}" if f in lines.WHOLE else _TYPED.get(f, f) for f in lines.FIELDS)} FROM u
+WHERE regexp_full_match(plt_cn, '[0-9]{{1,15}}') AND regexp_full_match(measdate, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') AND try_strptime(measdate, '%Y-%m-%d') IS NOT NULL
+  AND (agb = '' OR (regexp_full_match(agb, '([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?') AND coalesce(TRY_CAST(agb AS DOUBLE) < CAST('infinity' AS DOUBLE), false)))""",
     "p7_found": f"WITH {_CODES}, {_ORPHANS} SELECT DISTINCT table_name, field, row_id FROM orphans",
     "p7_report": _REPORT,
     "p7_kept": _REPORT,
