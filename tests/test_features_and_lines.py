@@ -41,6 +41,9 @@ def test_cells_merge_like_the_whole(spark):
     parts = [features.cells(features.cohort_events(cohorts(spark, rows[i::2])), types) for i in range(2)]
     key = lambda df: sorted(map(tuple, df.collect()), key=str)
     assert key(features.merge_cells(parts[0].unionByName(parts[1]))) == key(whole)
+    names = ["entity", "type_ix", "kind", "n", "total", "latest"]
+    again = cohorts(spark, rows + rows[:20] + [cohort(None), cohort(None)])
+    assert key(features.cohort_cells(again, types).select(names)) == key(features.cells(features.cohort_events(again), types).select(names))
 
 
 GOOD = '400000000001,1,1,1,1,e1,2010-05-01,AAAA,AAAA,H,30,5.5,2,f,"a, ""b"""'

@@ -108,6 +108,29 @@ def expand(merged: DataFrame, types: list[str], as_of) -> DataFrame:
     return vectors.mapInArrow(*_dense(types))
 
 
+#: Parts of an entity that are reduced apart from each other, so that no task meets a large one whole.
+PARTS = 16
+
+
+def cohort_cells(cohorts: DataFrame, types: list[str]) -> DataFrame:
+    """``cells`` of ``cohort_events``, with rows that move once and cells that move once.
+
+    Kinds are encoded where rows are read. Rows meet by entity and part of their cohort_id: there repeated deliveries
+    (same cohort_id of the same entity) drop out and every part is reduced to its cells; cells then meet by entity.
+    """
+    codes = recurring_codes(cohorts, {"species_symbol_map": "text"})["species_symbol_map"]
+    rows = cohorts.select(
+        "cohort_id", F.col("plt_cn").alias("entity"), F.when(~is_absent("species_symbol_map", codes), F.col("species_symbol_map")).alias("kind"),
+        finite("agb").alias("total"), parse_day("measdate").alias("day"),
+        F.when(F.col("cohort_id").isNull(), F.monotonically_increasing_id()).alias("_lone"),  # rows without an id are rows of their own
+    )
+    part = F.pmod(F.xxhash64("cohort_id", "_lone"), F.lit(PARTS)).cast("int")
+    coded = encode(rows, types).select("entity", part.alias("_part"), "cohort_id", "_lone", "type_ix", F.when(F.col("type_ix") < 0, F.col("kind")).alias("kind"), "total", "day")
+    once = coded.repartition("entity", "_part").dropDuplicates(["entity", "_part", "cohort_id", "_lone"])
+    parts = once.groupBy("entity", "_part", "type_ix", "kind").agg(F.count("*").alias("n"), F.sum("total").alias("total"), F.max("day").alias("latest"))
+    return merge_cells(parts.drop("_part").repartition("entity"))
+
+
 def newest_day(cohorts: DataFrame):
     """The day up to which recency counts: that of the newest delivery (null for an empty table)."""
     return cohorts.agg(F.max(F.col("loaded_at").cast("date"))).first()[0]
@@ -115,7 +138,7 @@ def newest_day(cohorts: DataFrame):
 
 def feature_table(cohorts: DataFrame, species: DataFrame) -> DataFrame:
     types = type_index(cohorts.sparkSession, species)
-    return expand(cells(cohort_events(cohorts), types), types, newest_day(cohorts))
+    return expand(cohort_cells(cohorts, types), types, newest_day(cohorts))
 
 
 def feature_cells(cohorts: DataFrame, species: DataFrame) -> DataFrame:
@@ -124,7 +147,7 @@ def feature_cells(cohorts: DataFrame, species: DataFrame) -> DataFrame:
     names = cohorts.sparkSession.createDataFrame(list(enumerate(types)), "type_ix int, listed string")
     day = F.lit(newest_day(cohorts)).cast("date")
     return (
-        cells(cohort_events(cohorts), types).join(F.broadcast(names), "type_ix", "left")
+        cohort_cells(cohorts, types).join(F.broadcast(names), "type_ix", "left")
         .select(F.col("entity").alias("plt_cn"), F.coalesce("listed", "kind").alias("species_symbol_map"), "n",
                 F.coalesce("total", F.lit(0.0)).alias("total"), F.datediff(day, "latest").alias("days"))
     )
