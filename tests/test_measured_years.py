@@ -1,81 +1,103 @@
-"""Losses over every measured year, beside the year-by-year SQL of the model run over the same years."""
+"""Scores count every measured year, and the losses of the task are those of the joins."""
 
 import math
 
+import numpy as np
 import pytest
-
+from pyspark.sql import functions as F
+from test_model import small_world
+
+from understory.functions import agecdf as A
+from understory.operators import loss as L
+from understory.operators import search as S
+from understory.operators.params import Params
+from understory.operators.simulate import gathered, losses, parameter_table, run, with_truth, with_years
+from understory.operators.succession import Semantics
 from understory.plans import fixture as fx
 from understory.plans import reference as R
 
-KEYS = "site, year, species"
+
+def world(spark, seed=2, n=9):
+    """Sites, a reference of some of their years with unknown, missing and empty species, and parameter rows."""
+    rows, sites = small_world(seed, n)
+    df = spark.createDataFrame([(s, "e", k, f"s{p}", a, b) for s, cs in sites.items() for p, a, b, k in cs], "site long, eco string, seq long, species string, age int, bio double")
+    rng = np.random.default_rng(seed)
+    ref = []
+    for s in list(sites)[:-1]:
+        for y in sorted(set(rng.integers(0, 7, 3).tolist())):
+            for name in ("s0", "s2", "unknown")[: int(rng.integers(1, 4))]:
+                cdf = np.cumsum(rng.random(7))
+                ref.append((s, y, name, float(rng.uniform(0, 900)), (cdf / cdf[-1] if rng.random() < 0.8 else cdf * 0).tolist()))
+    return rows, df, spark.createDataFrame(ref, "site long, year int, species string, agb double, cdf array<double>")
+
+
+@pytest.mark.parametrize("sem", [Semantics(), Semantics(last_cohort_of_an_age_wins=False, growth_reduction=0.0)])
+def test_losses_of_the_task_are_those_of_the_joins(spark, sem):
+    rows, df, ref = world(spark)
+    tables = [parameter_table(spark.createDataFrame([r | {"d": d} for r in rows])) for d in (7.0, 21.0)]
+    p, years = A.LossParams(), range(7)
+    sim = run(with_years(gathered(df), ref), tables, years, 5, sem).withColumnRenamed("mapcode", "site")
+    both = ref.withColumn("candidate", F.explode(F.array(F.lit(0), F.lit(1))))
+    want = L.species_loss(L.simulated_distributions(sim, p, sem), both, p)
+    sites = with_truth(gathered(df), ref).repartition(3)
+    key = lambda d, k: {tuple(r[:k]): r[k:] for r in d.collect()}
+    for got, expected, k in ((losses(sites, tables, years, p, 5, sem, True), want, 4), (losses(sites, tables, years, p, 5, sem), L.site_loss(want), 3)):
+        a, b = key(got, k), key(expected, k)
+        assert a.keys() == b.keys() and len(a) > 20 and all(np.allclose(a[x], b[x], rtol=1e-9) for x in a)
 
 
 @pytest.fixture(scope="module")
-def measured(duck):
-    """(site, year, species, w_loss, agb_loss, signed) by SQL: one table per year of the unrolled step."""
+def site_years(duck):
     con = duck.cursor()
     con.sql("set timezone='UTC'")
-    for name, need in (("splots", "splots"), ("pe", "pe"), ("c0", "c0"), ("top", "top")):
-        con.sql(f"create temp table {name} as " + fx.sql(f"select * from {need}", [need]))
-    years = [r[0] for r in con.sql("select distinct sim_year from splots order by 1").fetchall()]
-    con.sql("create temp table sim (site bigint, year int, species varchar, age int, seq bigint, bio double)")
-    for y in range(max(years) + 1):
-        step = ", ".join(f"{n} as ({t})" for n, t in fx.step_ctes(y).items())
-        con.sql(f"create temp table c{y + 1} as with {step} select * from c{y + 1}")
-        con.sql(f"insert into sim select site, {y}, species, age, seq, bio from c{y + 1} where site in (select plot_id from splots where sim_year = {y} and agb_sum is not null)")
-    ctes = {"per": f"select {KEYS}, age, arg_max(bio, seq) as mass from sim group by all", "agb": f"select {KEYS}, sum(bio) as agb from sim group by all"}
-    ctes |= R._cdf_ctes("s", "per", KEYS, "age", "mass", None) | R._SPDF
-    ctes |= {
-        "simc": f"select {KEYS}, agb.agb, bin, cdf from sc join agb using ({KEYS})",
-        "refc": "select plot_id as site, sim_year as year, species_symbol_map as species, agb, bin, cdf from ref",
-        "two": f"select {KEYS}, any_value(s.agb) as sim, any_value(r.agb) as ref, sum({R._WIDTHS} * abs(s.cdf - r.cdf)) as w1 from simc s full join refc r using ({KEYS}, bin) group by {KEYS}",
-    }
-    e, lam = R.LOSS.eps, R.LOSS.lam
-    body = f"""select {KEYS}, case when ref is null then pow(log10(sim + {e}), 2) when sim is null then {lam} * abs(log10(ref + {e})) else (1 + w1) * pow(log10(sim + {e}) - log10(ref + {e}), 2) end as w_loss,
-      case when sim is null then ref when ref is null then sim else abs(sim - ref) end as agb_loss, coalesce(sim, 0) - coalesce(ref, 0) as signed from two"""
-    con.sql("create temp table loss as with " + ", ".join(f"{n} as ({t})" for n, t in ctes.items()) + " " + body)
-    return con
-
-
-def close(a, b):
-    return math.isclose(a, b, rel_tol=1e-6, abs_tol=2e-4)
-
-
-def test_species_loss_of_every_measured_year(spark, data, measured):
-    got = {(r.site, r.year, r.species): (r.w_loss, r.agb_loss) for r in R.species_loss_all_years(spark, data).collect()}
-    want = {r[:3]: r[3:] for r in measured.sql(f"select {KEYS}, w_loss, agb_loss from loss").fetchall()}
-    assert len({y for _, y, _ in got}) > 2 and got.keys() == want.keys()
-    assert all(close(got[k][0], want[k][0]) and close(got[k][1], want[k][1]) for k in want)
-
-
-def test_site_and_run_loss_count_every_site_year(spark, data, measured):
-    site_years = measured.sql("select count(*) from (select distinct plot_id, sim_year from splots where agb_sum is not null)").fetchall()[0][0]
-    sites = measured.sql("select site, year, sum(w_loss) as w, sum(agb_loss) as a, abs(sum(signed)) as s from loss group by all").fetchall()
-    got = {(r.site, r.year): (r.w_loss, r.agb_loss, r.site_agb_loss) for r in R.site_loss_all_years(spark, data).collect()}
-    assert len(got) == len(sites) == site_years and all(close(x, y) for r in sites for x, y in zip(got[r[:2]], r[2:], strict=True))
-    run = R.run_loss_all_years(spark, data).first()
-    assert run.num_sites == site_years and close(run.loss, sum(w + a + s for *_, w, a, s in sites) / site_years)
-
-
-def test_batch_scores_every_site_year(spark, data, measured):
-    site_years = measured.sql("select count(*) from (select distinct plot_id, sim_year from splots where agb_sum is not null)").fetchall()[0][0]
+    return con.sql(fx.sql("select count(*) from (select distinct plot_id, sim_year from splots where agb_sum is not null)", ["splots"])).fetchall()[0][0]
+
+
+def test_batch_scores_every_site_year(spark, data, site_years):
     got = R.mutate_batch_loss(spark, data).collect()
     assert sorted(r.candidate for r in got) == [0, 1, 2, 3, 4] and {r.num_sites for r in got} == {site_years}
 
 
 def test_trace_is_of_losses_over_every_measured_year(spark, data):
     """The trials mutate parameters like the batch, so the first has the loss of a single candidate over all years."""
-    import numpy as np
-
-    world = R.World(spark, data)
-    first = R.Params.draw(world.eco_species(), R.SEED).mutate(np.random.default_rng(R.SEED))
-    want = R.score_candidates([first], R.gathered(world.sites()), R._ref(world).drop("candidate"), world.years(), R.LOSS, R.SEED).first()
+    w = R.World(spark, data)
+    first = Params.draw(w.eco_species(), R.SEED).mutate(np.random.default_rng(R.SEED))
+    want = R.score_candidates([first], w.measured_sites(R._ref(w)), w.years(), R.LOSS, R.SEED).first()
     trace = R.sa_trace(spark, data).collect()
-    assert [r.trial for r in trace] == [1, 2, 3, 4, 5, 6] and close(trace[0].loss, want.loss)
-
-
-def test_every_measurement_is_compared_with_the_next(spark, data, measured):
-    want = measured.sql("""select plot_id, sim_year, next_year from (select plot_id, sim_year, lead(sim_year) over (partition by plot_id order by sim_year) as next_year
-      from (select distinct plot_id, sim_year from splots where agb_sum is not null)) where next_year is not null""").fetchall()
-    got = {(r.plot_id, r.sim_year, r.next_year) for r in R.w1_loss_all_years(spark, data).select("plot_id", "sim_year", "next_year").distinct().collect()}
-    assert got == set(want) and any(y > 0 for _, y, _ in want)
+    assert [r.trial for r in trace] == [1, 2, 3, 4, 5, 6] and math.isclose(trace[0].loss, want.loss, rel_tol=1e-9)
+
+
+def alike(a, b):
+    """Equal traces, but for the order in which losses are added."""
+    return len(a) == len(b) and all(x[k] == y[k] or math.isclose(x[k], y[k], rel_tol=1e-9) for x, y in zip(a, b, strict=True) for k in x)
+
+
+def test_calibration_goes_on_as_if_it_had_never_stopped(spark, tmp_path):
+    rows, df, ref = world(spark)
+    first = Params.draw(spark.createDataFrame([(r["eco"], r["species"]) for r in rows], "eco string, species string"), 1)
+    args = (first, gathered(df), ref, range(7), A.LossParams())
+    whole = S.calibrate(*args, S.Schedule(max_iter=6, initial_t=10.0), batch=2, seed=5)
+    one = S.calibrate(*args, S.Schedule(max_iter=4, initial_t=10.0), batch=2, seed=5, output=str(tmp_path))
+    two = S.calibrate(*args, S.Schedule(max_iter=6, initial_t=10.0), batch=2, seed=5, output=str(tmp_path))
+    assert alike(one[2] + two[2], whole[2]) and math.isclose(two[1].best, whole[1].best) and two[0].to_json() == whole[0].to_json()
+    assert (tmp_path / "best_params.json").read_text() == two[0].to_json()
+
+
+def test_an_interrupted_search_is_saved(spark, tmp_path, monkeypatch):
+    rows, df, ref = world(spark)
+    first = Params.draw(spark.createDataFrame([(r["eco"], r["species"]) for r in rows], "eco string, species string"), 1)
+    args = (first, gathered(df), ref, range(7), A.LossParams(), S.Schedule(max_iter=6, initial_t=10.0))
+    whole = S.calibrate(*args, batch=2, seed=5)
+    real, calls = S.score_candidates, []
+
+    def stop(*a):
+        calls.append(1)
+        if len(calls) == 3:
+            raise KeyboardInterrupt
+        return real(*a)
+
+    monkeypatch.setattr(S, "score_candidates", stop)
+    with pytest.raises(KeyboardInterrupt):
+        S.calibrate(*args, batch=2, seed=5, output=str(tmp_path))
+    monkeypatch.setattr(S, "score_candidates", real)
+    assert alike(S.calibrate(*args, batch=2, seed=5, output=str(tmp_path))[2], whole[2][4:])

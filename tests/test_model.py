@@ -2,6 +2,7 @@
 
 import datetime
 import math
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -259,12 +260,12 @@ def test_spin_up(spark):
 # ---------------------------------------------------------------- search
 
 def test_first_candidate_is_accepted_and_average_reset():
-    s, sch = S.State(t=10.0), S.Schedule(initial_t=10.0)
-    assert S.offer(s, 5.0, 0.5, sch) == (True, True) and s.best == 5.0 and math.isinf(s.diff_avg)
-    s.i = 2
-    assert S.offer(s, 6.0, 0.999, sch) == (False, False) and s.diff_avg == 1.0 and math.isclose(s.prob_avg, math.exp(-0.1))
-    s.i = 3
-    S.offer(s, 5.0, 0.999, sch)
+    sch = S.Schedule(initial_t=10.0)
+    s, taken, record = S.offer(sch.starts(), 5.0, 0.5, sch)
+    assert taken and record and s.best == 5.0 and math.isinf(s.diff_avg)
+    s, taken, record = S.offer(replace(s, i=2), 6.0, 0.999, sch)
+    assert not taken and not record and s.diff_avg == 1.0 and math.isclose(s.prob_avg, math.exp(-0.1))
+    s, *_ = S.offer(replace(s, i=3), 5.0, 0.999, sch)
     assert math.isclose(s.diff_avg, 0.9) and math.isclose(s.prob_avg, 0.9 * math.exp(-0.1) + 0.1)
 
 
@@ -272,12 +273,12 @@ def test_reheat_and_stop():
     sch = S.Schedule(initial_t=100.0, reheat_after=3, max_iter=50, alpha=0.5, min_t=1.0)
     s = S.State(t=1.0, current=0.0, best=0.0)
     for i in range(1, 4):
-        s.i = i
         assert s.t == 1.0
-        S.offer(s, 1e6, 0.5, sch)
+        s, *_ = S.offer(replace(s, i=i), 1e6, 0.5, sch)
     assert s.t == 100.0 and s.cold == 0
-    n = 0
-    while not S.cool(s, sch):
+    n, over = -1, False
+    while not over:
+        s, over = S.cool(s, sch)
         n += 1
     assert n == 6 and s.t < 1.0
     assert S.accepts("TA", 0.5, 1.0, 0.99) and not S.accepts("TA", 1.5, 1.0, 0.0)
@@ -287,8 +288,9 @@ def test_reheat_and_stop():
 @given(st.integers(0, 1000), st.integers(1, 7))
 def test_best_never_rises(seed, batch):
     rng, seen = np.random.default_rng(seed), []
-    best, state = S.search(0.0, lambda x, n: [x + rng.normal() for _ in range(n)], lambda xs: [(x - 3) ** 2 for x in xs], S.Schedule(max_iter=60, initial_t=1.0), batch, seed, log=lambda s, fx, ok, b: seen.append(s.best))
-    assert seen == sorted(seen, reverse=True) and state.i == 61 and math.isclose((best - 3) ** 2, state.best)
+    sch = S.Schedule(max_iter=60, initial_t=1.0)
+    at = S.search(S.Progress(sch.starts(), 0.0, 0.0, np.random.default_rng(seed)), lambda x, n: [x + rng.normal() for _ in range(n)], lambda xs: [(x - 3) ** 2 for x in xs], sch, batch, lambda s, fx, ok: seen.append(s.best))
+    assert seen == sorted(seen, reverse=True) and len(seen) == 60 and at.state.i == 61 and math.isclose((at.best - 3) ** 2, at.state.best)
 
 
 def test_priors_and_mutation(spark):
@@ -309,13 +311,20 @@ def test_priors_and_mutation(spark):
     assert len(t) == 3 and all(r.b_max_eco == max(x.b_max for x in t if x.eco == r.eco) and r.r1 < r.r5 for r in t)
 
 
-def test_calibration_resumes(spark, tmp_path):
-    rows, sites = small_world(2, 6)
-    pairs = spark.createDataFrame([(r["eco"], r["species"]) for r in rows], "eco string, species string")
-    df = spark.createDataFrame([(s, "e", k, f"s{p}", a, b) for s, cs in sites.items() for p, a, b, k in cs], "site long, eco string, seq long, species string, age int, bio double")
-    ref = spark.createDataFrame([(s, 1, "s0", 50.0, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 1.0]) for s in sites], "site long, year int, species string, agb double, cdf array<double>")
-    args = (gathered(df), ref, [0, 1], A.LossParams())
-    _, s, trace = S.calibrate(Params.draw(pairs, 1), *args, S.Schedule(max_iter=4, initial_t=10.0), batch=2, seed=5, output=str(tmp_path))
-    assert [t["trial"] for t in trace] == [1, 2, 3, 4] and (tmp_path / "best_params.json").exists() and s.i == 5
-    _, again, more = S.calibrate(Params.draw(pairs, 1), *args, S.Schedule(max_iter=6, initial_t=10.0), batch=2, seed=5, output=str(tmp_path))
-    assert [t["trial"] for t in more] == [5, 6] and again.best <= s.best
+def test_keys_of_added_cohorts_fit():
+    """Thousands of species in an ecoregion keep keys apart; what doesn't fit is an error."""
+    assert int(added_key(5, np.int64(99_999))) < int(added_key(5, np.int64(100_001))) < int(added_key(6, np.int64(1)))
+    with pytest.raises(ValueError):
+        added_key(5_000, np.int64(1))
+    with pytest.raises(ValueError):
+        Table.of([golden_table() | {"local_id": 100_000}])
+
+
+def test_a_site_is_bounded(spark, monkeypatch):
+    from understory.operators import simulate
+
+    df = spark.createDataFrame([(1, "e", k, "s", 1, 1.0) for k in range(4)], "site long, eco string, seq long, species string, age int, bio double")
+    assert simulate.gathered(df).count() == 1
+    monkeypatch.setattr(simulate, "MAX_SITE", 3)
+    with pytest.raises(Exception, match="more than 3 cohorts"):
+        simulate.gathered(df).collect()

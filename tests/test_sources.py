@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from helpers import cohort, cohorts
 
+from understory import session
 from understory.operators import sinks
 from understory.sources import raster, sqlite, tables
 from understory.streaming import ingest
@@ -88,13 +89,15 @@ def test_chunk_files(spark, tmp_path):
     assert {tuple(r) for r in tables.read_chunks(spark, str(tmp_path)).select("year", "file_year").collect()} == {(3, 4), (4, 4)}
 
 
-def test_literal_tables(spark):
+def test_literal_tables(spark, tmp_path):
     assert [tuple(r) for r in tables.enumerate_list(spark, ["b", "a"], "eco").collect()] == [("b", 1), ("a", 2)]
     ragged = spark.createDataFrame([(1, ["x", "y"]), (2, ["z"])], "eco int, species array<string>")
     assert sorted(map(tuple, tables.explode_lists(ragged, "species", "name", "local").collect())) == [(1, "x", 1), (1, "y", 2), (2, "z", 1)]
     tables.register(ragged, "ragged_lists")
     assert spark.sql("select count(*) from ragged_lists").first()[0] == 2
-    assert sinks.save_json({"a": 1}, "/tmp/understory-test/x.json") is None
+    sinks.save_json(spark, {"a": 1}, str(tmp_path / "deep" / "x.json"))
+    sinks.save_json(spark, {"a": 2}, str(tmp_path / "deep" / "x.json"))
+    assert session.load_text(spark, str(tmp_path / "deep" / "x.json")) == '{\n "a": 2\n}' and session.load_text(spark, str(tmp_path / "none")) is None
 
 
 def test_streams(spark, tmp_path):

@@ -9,7 +9,7 @@ from understory.functions import agecdf as A
 from understory.operators import search as S
 from understory.operators.kernel import Sites, Table
 from understory.operators.params import Params
-from understory.operators.simulate import gathered
+from understory.operators.simulate import gathered, with_truth
 from understory.operators.succession import Semantics
 
 
@@ -34,7 +34,7 @@ def test_candidates_that_differ_in_it_alone_differ_in_loss(spark):
     ref = spark.createDataFrame([(s, 0, "s0", 50.0, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 1.0]) for s in sites], "site long, year int, species string, agb double, cdf array<double>")
     p = Params.draw(pairs, 1)
     batch = [p, *(Params(p.species, p.ecos, p.pairs, p.values | {"spinup_mortality": np.array([x])}) for x in (0.02, 0.15))]
-    score = lambda candidates, sem=Semantics(): {r.candidate: round(r.loss, 6) for r in S.score_candidates(candidates, gathered(df), ref, [0], A.LossParams(), 5, sem).collect()}
+    score = lambda candidates, sem=Semantics(): {r.candidate: round(r.loss, 6) for r in S.score_candidates(candidates, with_truth(gathered(df), ref), [0], A.LossParams(), 5, sem).collect()}
     got = score(batch)
     assert got[0] == got[2] != got[1]
     assert got == score(batch, Semantics(spinup_mortality=0.3))  # the candidates' own value is what counts

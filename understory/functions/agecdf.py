@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -90,8 +91,9 @@ def cdf_rows(bin_mass: DataFrame, keys: Sequence[str]) -> DataFrame:
     return bin_mass.select(*keys, "bin", F.when(total > 0, cum / total).otherwise(F.lit(0.0)).alias("cdf"))
 
 
-def cdf_array(df: DataFrame, keys: Sequence[str], params: LossParams, top: Column | int | None, age: str = "age_calc", mass: str = "agb_sum") -> DataFrame:
-    """(keys, mass, cdf): total mass and the dense distribution over all bins as an array.
+def cdf_array(df: DataFrame, keys: Sequence[str], params: LossParams, top: Column | int | None, age: str = "age_calc", mass: str = "agb_sum", more: Sequence[Column] = ()) -> DataFrame:
+    """(keys, mass, cdf, occupied): total mass, the dense distribution over all bins as an array, and which bins any age
+    reaches; ``more`` are further aggregates.
 
     Smoothing and binning are linear, so every row adds its share to one column per bin: a single partial
     aggregation replaces the chain of scatter, group and window.
@@ -107,13 +109,21 @@ def cdf_array(df: DataFrame, keys: Sequence[str], params: LossParams, top: Colum
             at = F.when(at > limit, 2 * limit + 1 - at).otherwise(at)
         parts.append((params.bins.of(at), w))
     sums = [F.sum(F.col(mass) * sum((F.when(b == i, F.lit(w)).otherwise(0.0) for b, w in parts), F.lit(0.0))).alias(f"_b{i}") for i in range(1, params.bins.count + 1)]
-    g = df.groupBy(*keys).agg(F.sum(mass).alias("mass"), *sums)
+    reached = [F.max(reduce(lambda x, y: x | y, [F.coalesce(b == i, F.lit(False)) for b, _ in parts])).alias(f"_o{i}") for i in range(1, params.bins.count + 1)]
+    g = df.groupBy(*keys).agg(F.sum(mass).alias("mass"), *sums, *reached, *more)
+    others = g.columns[len(keys) + 1 + 2 * params.bins.count :]
     total = sum((F.col(f"_b{i}") for i in range(1, params.bins.count + 1)), F.lit(0.0))
     cum, so_far = [], F.lit(0.0)
     for i in range(1, params.bins.count + 1):
         so_far = so_far + F.col(f"_b{i}")
         cum.append(F.when(total > 0, so_far / total).otherwise(F.lit(0.0)))
-    return g.select(*keys, "mass", F.array(*cum).alias("cdf"))
+    return g.select(*keys, "mass", F.array(*cum).alias("cdf"), F.array(*(f"_o{i}" for i in range(1, params.bins.count + 1))).alias("occupied"), *others)
+
+
+def occupied_rows(dense: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, bin, cdf) of the occupied bins of ``cdf_array``."""
+    cells = F.arrays_zip("cdf", "occupied")
+    return dense.select(*keys, F.posexplode(cells).alias("_at", "_c")).filter("_c.occupied").select(*keys, (F.col("_at") + 1).alias("bin"), F.col("_c.cdf").alias("cdf"))
 
 
 def w1(p: str, q: str, bins: AgeBins) -> Column:

@@ -16,15 +16,13 @@ KEYS = ["candidate", "site", "year"]
 
 
 def simulated_distributions(cohorts: DataFrame, params: LossParams, sem: Semantics = Semantics()) -> DataFrame:
-    """(candidate, site, year, species, agb, cdf) of simulated cohorts (KEYS, species, seq, age, biomass).
+    """(candidate, site, year, species, agb, cdf) of simulated cohorts (KEYS, species, seq, age, biomass), read once.
 
     Of cohorts of one age the last in the order of ``seq`` fills the histogram; the total counts all.
     """
-    total = cohorts.groupBy(*KEYS, "species").agg(F.sum("biomass").alias("agb"))
     mass = F.max_by("biomass", "seq") if sem.last_cohort_of_an_age_wins else F.sum("biomass")
-    per_age = cohorts.groupBy(*KEYS, "species", "age").agg(mass.alias("mass"))
-    cdf = cdf_array(per_age, [*KEYS, "species"], params, None, age="age", mass="mass").drop("mass")
-    return total.join(cdf, [*KEYS, "species"])
+    per_age = cohorts.groupBy(*KEYS, "species", "age").agg(mass.alias("mass"), F.sum("biomass").alias("whole"))
+    return cdf_array(per_age, [*KEYS, "species"], params, None, age="age", mass="mass", more=[F.sum("whole").alias("agb")]).select(*KEYS, "species", "agb", "cdf")
 
 
 def species_loss(sim: DataFrame, ref: DataFrame, params: LossParams) -> DataFrame:

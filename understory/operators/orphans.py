@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from understory.operators.absent import is_absent, recurring_codes
-from understory.session import cut_table
+from understory.session import cut_table, exists, load_text, save_text
 
 #: Rows without a day are judged against the list as it stands last.
 NO_DAY = "9999-12-31"
@@ -88,19 +88,15 @@ class KeptCounts:
 
     def __init__(self, spark: SparkSession, folder: str, buckets: int = 64) -> None:
         self.spark, self.folder, self.buckets = spark, folder, buckets
-        self._path = spark._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
 
     def _current(self) -> dict:
         """The version of every bucket that was ever written."""
-        at = self._path(f"{self.folder}/current")
-        if not self._fs.exists(at):
-            return {"version": 0, "of": {}, "buckets": self.buckets}
-        return json.loads(self.spark.read.text(f"{self.folder}/current", wholetext=True).first()[0])
+        text = load_text(self.spark, f"{self.folder}/current")
+        return json.loads(text) if text else {"version": 0, "of": {}, "buckets": self.buckets}
 
     def _read(self, name: str, at: dict[str, int]) -> DataFrame | None:
         paths = [f"{self.folder}/{name}/version={v}/bucket={b}" for b, v in at.items()]
-        paths = [p for p in paths if self._fs.exists(self._path(p))]
+        paths = [p for p in paths if exists(self.spark, p)]
         return self.spark.read.parquet(*paths) if paths else None
 
     def apply(self, signed: DataFrame) -> None:
@@ -121,14 +117,7 @@ class KeptCounts:
         write(summed, "counts")
         now = {str(b): version for b in touched}
         write(orphans_among(self._read("counts", now)), "orphans")
-        text = json.dumps({"version": version, "of": state["of"] | now, "buckets": state["buckets"]})
-        fresh, at = self._path(f"{self.folder}/current.new"), self._path(f"{self.folder}/current")
-        out = self._fs.create(fresh, True)
-        out.write(text.encode())
-        out.close()
-        if self._fs.exists(at):
-            self._fs.delete(at, False)
-        self._fs.rename(fresh, at)
+        save_text(self.spark, f"{self.folder}/current", json.dumps({"version": version, "of": state["of"] | now, "buckets": state["buckets"]}))
 
     def orphan_days(self) -> DataFrame:
         """What ``orphan_days`` of all deliveries together would give."""

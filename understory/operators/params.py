@@ -115,27 +115,39 @@ class Params:
         new.values[q.name] = changed
         return new
 
-    def tables(self, spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-        """The parameters as relational tables: per (eco, species) and per eco."""
-        v = self.values
-        local: dict[int, int] = {}
-        rows = []
+    def rows(self) -> list[dict]:
+        """Per (eco, species) the values of both, in the order of the columns of ``eco_params``."""
+        v, out, local, most = self.values, [], {}, {}
+        for i, (e, _) in enumerate(self.pairs):
+            most[e] = max(most.get(e, 0.0), float(v["b_max"][i]))
         for i, (e, s) in enumerate(self.pairs):
             local[e] = local.get(e, 0) + 1
-            rows.append((self.ecos[e], self.species[s], local[e], float(v["d"][s]), float(v["s"][s]), int(v["longevity"][s]), int(v["shade_tol"][s]), int(v["maturity"][s]), float(v["b_max"][i]), float(v["anpp_max"][i]), float(v["prob_mort"][i]), float(v["prob_estab"][i])))
-        most = {self.ecos[e]: max(float(v["b_max"][i]) for i, p in enumerate(self.pairs) if p[0] == e) for e in {p[0] for p in self.pairs}}
-        shade = [(x, most[x], *(float(v["first_min_rel"][i]) + MIN_REL_STEP * k for k in range(5))) for i, x in enumerate(self.ecos) if x in most]
-        return spark.createDataFrame(rows, ECO_SPECIES_PARAMS), spark.createDataFrame(shade, ECO_PARAMS)
+            row = {"eco": self.ecos[e], "species": self.species[s], "local_id": local[e]}
+            row |= {n: float(v[n][s]) for n in ("d", "s")} | {n: int(v[n][s]) for n in ("longevity", "shade_tol", "maturity")}
+            row |= {n: float(v[n][i]) for n in ("b_max", "anpp_max", "prob_mort", "prob_estab")}
+            row |= {f"r{k + 1}": float(v["first_min_rel"][e]) + MIN_REL_STEP * k for k in range(5)} | {"b_max_eco": most[e]}
+            out.append(row)
+        return out
+
+    def tables(self, spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+        """The parameters as relational tables: per (eco, species) and per eco."""
+        rows = self.rows()
+        shade = {r["eco"]: tuple(r[n] for n in ECO_PARAMS.names) for r in rows}
+        return spark.createDataFrame([tuple(r[n] for n in ECO_SPECIES_PARAMS.names) for r in rows], ECO_SPECIES_PARAMS), spark.createDataFrame(list(shade.values()), ECO_PARAMS)
+
+    def to_dict(self) -> dict:
+        return asdict(self) | {"values": {k: x.tolist() for k, x in self.values.items()}}
+
+    @classmethod
+    def of_dict(cls, d: dict) -> Params:
+        return cls(d["species"], d["ecos"], [tuple(p) for p in d["pairs"]], {k: np.array(x) for k, x in d["values"].items()})
 
     def to_json(self) -> str:
-        d = asdict(self)
-        d["values"] = {k: x.tolist() for k, x in self.values.items()}
-        return json.dumps(d)
+        return json.dumps(self.to_dict())
 
     @classmethod
     def from_json(cls, text: str) -> Params:
-        d = json.loads(text)
-        return cls(d["species"], d["ecos"], [tuple(p) for p in d["pairs"]], {k: np.array(x) for k, x in d["values"].items()})
+        return cls.of_dict(json.loads(text))
 
 
 def eco_params(eco_species: DataFrame, eco_shade: DataFrame) -> DataFrame:

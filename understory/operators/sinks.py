@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from understory.session import save_text
+
 NODATA = -9999.0
 
 
@@ -27,9 +28,9 @@ def append_communities(records: DataFrame, ecos: DataFrame, path: str) -> None:
     records.join(ids, "eco").select("year", "mapcode", "ecocode", F.col("species").alias("species_symbol"), "age", "biomass").write.mode("append").parquet(path)
 
 
-def save_json(obj, path: str) -> None:
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(obj, indent=1))
+def save_json(spark: SparkSession, obj, path: str) -> None:
+    """A small object as JSON, in any file system Spark knows."""
+    save_text(spark, path, json.dumps(obj, indent=1))
 
 
 def raster_agb(records: DataFrame) -> DataFrame:

@@ -5,19 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from understory.operators import absent, chunks, features, impute, lines, orphans, spikes
+from understory.plans.rounding import significant, significant_sql
 from understory.session import scratch, table
 
 
-#: Readings have few decimals, so exact sums often end in the digit 5 where they are rounded; the order in which doubles
-#: are added would then decide. Halves are lifted by far more than that error.
-LIFT = 1.00000000003
-
-
-def significant(column: str):
-    """Nine significant digits, halves up: sums of doubles depend on their order beyond that."""
-    return F.format_string("%.8e", F.col(column) * LIFT).try_cast("double")
-
-
 def p1_features(spark, d):
     return features.feature_table(table(spark, d, "data_eco_cohorts"), table(spark, d, "data_all_species"))
 
@@ -169,10 +160,10 @@ _REPORT = f"WITH {_CODES}, {_ORPHANS} SELECT table_name, field, strftime(coalesc
 
 ORACLES = {
     "p1_cells": f"""WITH {_CODES}, once AS ({_ONCE}), e AS (SELECT plt_cn, CASE WHEN NOT {_absent("species_symbol_map")} THEN species_symbol_map END AS species_symbol_map, {_FINITE} AS t, {_DAY} AS day FROM once)
-SELECT plt_cn, species_symbol_map, count(*) AS n, CAST(printf('%.8e', CAST(coalesce(sum(t), 0) AS DOUBLE) * {LIFT}) AS DOUBLE) AS total, date_diff('day', max(day), (SELECT max(CAST(loaded_at AS DATE)) FROM data_eco_cohorts)) AS days FROM e GROUP BY ALL""",
+SELECT plt_cn, species_symbol_map, count(*) AS n, {significant_sql('coalesce(sum(t), 0)')} AS total, date_diff('day', max(day), (SELECT max(CAST(loaded_at AS DATE)) FROM data_eco_cohorts)) AS days FROM e GROUP BY ALL""",
     "p2_found": f"WITH {_CODES}, {_KEYED} SELECT field, key_value FROM keyed GROUP BY ALL HAVING count(*) >= 0.05 * (SELECT count(*) FROM data_eco_cohorts)",
     "p2_results": f"""WITH {_CODES}, {_KEYED}, o AS (SELECT *, {_FINITE} AS x, lag(crew_id) OVER w AS before, row_number() OVER w AS no FROM keyed WINDOW w AS (PARTITION BY field, key_value ORDER BY loaded_at, cohort_id))
-SELECT field, key_value, count(*) AS n_rows, count(x) AS n_values, CAST(printf('%.8e', sum(x) * {LIFT}) AS DOUBLE) AS total, min(x) AS lowest, max(x) AS highest, count(*) FILTER (no > 1 AND before IS DISTINCT FROM crew_id) AS turns FROM o GROUP BY ALL""",
+SELECT field, key_value, count(*) AS n_rows, count(x) AS n_values, {significant_sql('sum(x)')} AS total, min(x) AS lowest, max(x) AS highest, count(*) FILTER (no > 1 AND before IS DISTINCT FROM crew_id) AS turns FROM o GROUP BY ALL""",
     "p3_found": f"WITH {_CODES} " + " UNION ALL ".join(f"SELECT DISTINCT cohort_id, '{f}' AS field FROM data_eco_cohorts WHERE {_absent(f)}" for f in ("age_calc", "eco", "species_symbol_map")),
     "p4_found": f"{_ODD} SELECT cohort_id, field FROM odd",
     "p4_kinds": f"{_ODD} SELECT * FROM odd",

@@ -14,9 +14,10 @@ from understory.operators import loss as L
 from understory.operators import sinks, succession
 from understory.operators.params import Params, eco_bmax, eco_params
 from understory.operators.search import Schedule, calibrate, score_candidates
-from understory.operators.simulate import gathered, parameter_table, run
+from understory.operators.simulate import gathered, losses, parameter_table, run, with_years
 from understory.plans import fixture as fx
 from understory.plans.fixture import PLOT, SEED, World, sql, step_ctes
+from understory.plans.rounding import rounded, rounded_sql
 from understory.schemas import PLOT_KEY
 from understory.session import table
 
@@ -32,18 +33,12 @@ def query(oracle: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
         if oracle:
-            ORACLES[f.__name__] = oracle
+            ORACLES[f.__name__] = rounded_sql(oracle)
         return f
 
     return add
 
 
-def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
-    for c in columns:
-        df = df.withColumn(c, F.round(c, digits))
-    return df
-
-
 # ---------------------------------------------------------------- scans, filters, projections
 
 @query("SELECT eco, count(*) AS n, sum(tree_count) AS trees FROM data_eco_cohorts WHERE subp_has_dstrb = 'f' GROUP BY eco")
@@ -209,8 +204,8 @@ def bin_ages(spark, d):
 @query(sql(f"SELECT {KEY_SQL}, bin, round(cdf, 6) AS cdf FROM rc SEMI JOIN rb USING ({KEY_SQL}, bin)", ["splots", "top"], _REF))
 def age_cdf(spark, d):
     """Undisturbed or not: the distribution of every measured species over its occupied bins."""
-    dist = _smoothed(spark, d)
-    return rounded(A.cdf_rows(A.binned(dist, KEYS, LOSS.bins), KEYS), "cdf")
+    world = World(spark, d)
+    return rounded(A.occupied_rows(A.cdf_array(C.with_biomass(world.splots), KEYS, LOSS, world.top()), KEYS), "cdf")
 
 
 _CDF_COLS = ", ".join(f"round(max(CASE WHEN bin = {i + 1} THEN cdf END), 6) AS c{i + 1}" for i in range(LOSS.bins.count))
@@ -235,46 +230,22 @@ def spdf(spark, d):
 
 
 _WIDTHS = "CASE bin " + " ".join(f"WHEN {i + 1} THEN {w}" for i, w in enumerate(LOSS.bins.widths)) + " ELSE 0 END"
-_PAIR_KEYS = "eco, species_symbol_map"
-_FIRST = _SPDF | {
-    "f": "SELECT eco, species_symbol_map, plot_id, agb, bin, cdf FROM ref WHERE sim_year = 0",
-    "g": "SELECT eco, species_symbol_map, min(plot_id) AS a, max(plot_id) AS b FROM f GROUP BY ALL",
+_PLOT_SPECIES = "plot_id, eco, species_symbol_map"
+_NEXT = _SPDF | {
+    "seen": f"SELECT {_PLOT_SPECIES}, sim_year, lead(sim_year) OVER (PARTITION BY {_PLOT_SPECIES} ORDER BY sim_year) AS next_year FROM (SELECT DISTINCT {_PLOT_SPECIES}, sim_year FROM ref)",
+    "steps": f"SELECT s.*, r.bin, r.cdf FROM seen s JOIN ref r USING ({_PLOT_SPECIES}, sim_year) WHERE next_year IS NOT NULL",
 }
 
 
-@query(sql(f"SELECT g.eco, g.species_symbol_map, a, b, round(sum({_WIDTHS.replace("CASE bin", "CASE p.bin")} * abs(p.cdf - q.cdf)), 6) AS w1 FROM g JOIN f p ON g.eco = p.eco AND g.species_symbol_map = p.species_symbol_map AND g.a = p.plot_id JOIN f q ON g.eco = q.eco AND g.species_symbol_map = q.species_symbol_map AND g.b = q.plot_id AND p.bin = q.bin GROUP BY ALL", ["splots", "top"], _FIRST))
+@query(sql(f"SELECT {_PLOT_SPECIES}, p.sim_year, p.next_year, round(sum({_WIDTHS.replace('CASE bin', 'CASE p.bin')} * abs(p.cdf - q.cdf)), 6) AS w1 FROM steps p JOIN ref q USING ({_PLOT_SPECIES}, bin) WHERE q.sim_year = p.next_year GROUP BY ALL", ["splots", "top"], _NEXT))
 def w1_loss(spark, d):
-    """Distance between the first and the last plot of every species of an ecoregion in year 0, as its SQL states;
-    ``w1_loss_all_years`` compares all measurements."""
-    f = _spdf(World(spark, d)).filter("sim_year = 0")
-    ends = f.groupBy("eco", "species_symbol_map").agg(F.min_by(F.struct("plot_id", "cdf"), "plot_id").alias("x"), F.max_by(F.struct("plot_id", "cdf"), "plot_id").alias("y"))
-    flat = ends.select("eco", "species_symbol_map", F.col("x.plot_id").alias("a"), F.col("y.plot_id").alias("b"), F.col("x.cdf").alias("p"), F.col("y.cdf").alias("q"))
-    return rounded(flat.withColumn("w1", A.w1("p", "q", LOSS.bins)).drop("p", "q"), "w1")
-
-
-_TWO = _SPDF | {
-    "p": "SELECT plot_id, eco, species_symbol_map, bin, cdf FROM ref WHERE sim_year = 0",
-    "later": "SELECT plot_id, eco, min(sim_year) AS y FROM ref WHERE sim_year > 0 GROUP BY ALL",
-    "q": "SELECT r.plot_id, r.eco, species_symbol_map, bin, cdf FROM ref r JOIN later l ON r.plot_id = l.plot_id AND r.eco = l.eco AND r.sim_year = l.y",
-    "pq": f"SELECT plot_id, eco, species_symbol_map, sum({_WIDTHS} * abs(p.cdf - q.cdf)) AS w, max(CASE WHEN bin = {LOSS.bins.count} THEN p.cdf END) AS a, max(CASE WHEN bin = {LOSS.bins.count} THEN q.cdf END) AS b FROM p FULL JOIN q USING (plot_id, eco, species_symbol_map, bin) GROUP BY ALL",
-}
-_E, _LAM = LOSS.eps, LOSS.lam
-
-
-@query(sql(f"""SELECT plot_id, eco, species_symbol_map, round(CASE WHEN a > {_E} AND b > {_E} THEN w ELSE 0 END + CASE WHEN a > {_E} OR b > {_E} THEN {_LAM} * abs(log10(CASE WHEN a > {_E} THEN a ELSE 0 END + {_E}) - log10(CASE WHEN b > {_E} THEN b ELSE 0 END + {_E})) ELSE 0 END, 6) AS loss
-FROM (SELECT plot_id, eco, species_symbol_map, w, coalesce(a, 0) AS a, coalesce(b, 0) AS b FROM pq) t""", ["splots", "top"], _TWO))
-def w1_loss_nullable(spark, d):
-    """Distance between the first and the next measurement of a plot, as its SQL states; species may be missing on
-    either side. ``w1_loss_all_years`` compares all measurements."""
-    s = _spdf(World(spark, d))
-    keys = ["plot_id", "eco", "species_symbol_map"]
-    p = s.filter("sim_year = 0").select(*keys, F.col("cdf").alias("p"))
-    following = s.filter("sim_year > 0")
-    nxt = following.groupBy("plot_id", "eco").agg(F.min("sim_year").alias("sim_year"))
-    q = following.join(nxt, ["plot_id", "eco", "sim_year"], "left_semi").select(*keys, F.col("cdf").alias("q"))
-    return rounded(p.join(q, keys, "full_outer").select(*keys, A.bins_loss("p", "q", LOSS).alias("loss")), "loss")
+    """Distance between every measurement of a species of a plot and the next one of the same species there."""
+    own = Window.partitionBy("plot_id", "eco", "species_symbol_map").orderBy("sim_year")
+    f = _spdf(World(spark, d)).withColumn("next_year", F.lead("sim_year").over(own)).withColumn("q", F.lead("cdf").over(own)).filter("next_year is not null")
+    return rounded(f.select("plot_id", "eco", "species_symbol_map", "sim_year", "next_year", A.w1("cdf", "q", LOSS.bins).alias("w1")), "w1")
 
 
+_E, _LAM = LOSS.eps, LOSS.lam
 _EACH = _SPDF | {
     "years": "SELECT *, lead(sim_year) OVER (PARTITION BY plot_id, eco ORDER BY sim_year) AS next_year FROM (SELECT DISTINCT plot_id, eco, sim_year FROM ref)",
     "p": "SELECT plot_id, eco, sim_year, next_year, species_symbol_map, bin, cdf FROM ref JOIN years USING (plot_id, eco, sim_year) WHERE next_year IS NOT NULL",
@@ -285,7 +256,7 @@ _EACH = _SPDF | {
 
 @query(sql(f"""SELECT plot_id, eco, sim_year, next_year, species_symbol_map, round(CASE WHEN a > {_E} AND b > {_E} THEN w ELSE 0 END + CASE WHEN a > {_E} OR b > {_E} THEN {_LAM} * abs(log10(CASE WHEN a > {_E} THEN a ELSE 0 END + {_E}) - log10(CASE WHEN b > {_E} THEN b ELSE 0 END + {_E})) ELSE 0 END, 6) AS loss
 FROM pq""", ["splots", "top"], _EACH))
-def w1_loss_all_years(spark, d):
+def w1_loss_nullable(spark, d):
     """Distance between every measurement of a plot and the next one; species may be missing on either side."""
     world = World(spark, d)
     own = Window.partitionBy("plot_id", "eco").orderBy("sim_year")
@@ -441,7 +412,7 @@ def simulate_3y_measured(spark, d):
     return rounded(_simulated(spark, d, range(3), sem=MEASURED_AGES), "biomass", digits=4)
 
 
-@query()
+@query(sql("SELECT " + " UNION ALL SELECT ".join(f"{y} AS year, site AS mapcode, eco, species, seq, CAST(age AS INT) AS age, round(bio, 4) AS biomass FROM c{y + 1}" for y in range(30)), _ONE, reduce(dict.__or__, (step_ctes(y) for y in range(30)))))
 def simulate_30y(spark, d):
     return rounded(_simulated(spark, d, range(30)), "biomass", digits=4)
 
@@ -464,70 +435,59 @@ def raster_mapcodes(spark, d):
 
 
 def _ref(world: World) -> DataFrame:
-    return _spdf(world).select(F.lit(0).alias("candidate"), F.col("plot_id").alias("site"), F.col("sim_year").alias("year"), F.col("species_symbol_map").alias("species"), "agb", "cdf")
-
-
-_SIM_SQL = step_ctes(0) | {
-    "per": "SELECT site, species, age, arg_max(bio, seq) AS mass FROM c1 GROUP BY ALL",
-    "sim_agb": "SELECT site, species, sum(bio) AS agb FROM c1 GROUP BY ALL",
-} | _cdf_ctes("s", "per", "site, species", "age", "mass", None)
-_LOSS_SQL = _SIM_SQL | _SPDF | {
-    "simc": "SELECT site, species, a.agb, bin, cdf FROM sc JOIN sim_agb a USING (site, species)",
-    "refc": "SELECT plot_id AS site, species_symbol_map AS species, agb, bin, cdf FROM ref WHERE sim_year = 0",
-    "two_sides": f"""SELECT site, species, any_value(s.agb) AS sim, any_value(r.agb) AS ref, sum({_WIDTHS} * abs(s.cdf - r.cdf)) AS w1
-  FROM (SELECT * FROM simc WHERE site IN (SELECT site FROM refc)) s FULL JOIN refc r USING (site, species, bin) GROUP BY site, species""",
-    "sl": f"""SELECT site, species, CASE WHEN ref IS NULL THEN pow(log10(sim + {_E}), 2) WHEN sim IS NULL THEN {_LAM} * abs(log10(ref + {_E})) ELSE (1 + w1) * pow(log10(sim + {_E}) - log10(ref + {_E}), 2) END AS w_loss,
+    return _spdf(world).select(F.col("plot_id").alias("site"), F.col("sim_year").alias("year"), F.col("species_symbol_map").alias("species"), "agb", "cdf")
+
+
+#: Years that the unrolled SQL simulates: past the last measured year of the tables it is run on (the queries ask the data).
+UNROLLED = 30
+_ALL = reduce(dict.__or__, (step_ctes(y) for y in range(UNROLLED)))
+_SITE_YEAR = "site, year, species"
+_LOSS_SQL = _ALL | _SPDF | {
+    "refc": "SELECT plot_id AS site, sim_year AS year, species_symbol_map AS species, agb, bin, cdf FROM ref",
+    "compared": "SELECT DISTINCT site, year FROM refc",
+    "sim": "SELECT * FROM (" + " UNION ALL ".join(f"SELECT {y} AS year, site, species, age, seq, bio FROM c{y + 1}" for y in range(UNROLLED)) + ") SEMI JOIN compared USING (site, year)",
+    "per": f"SELECT {_SITE_YEAR}, age, arg_max(bio, seq) AS mass FROM sim GROUP BY ALL",
+    "sim_agb": f"SELECT {_SITE_YEAR}, sum(bio) AS agb FROM sim GROUP BY ALL",
+} | _cdf_ctes("s", "per", _SITE_YEAR, "age", "mass", None) | {
+    "simc": f"SELECT {_SITE_YEAR}, a.agb, bin, cdf FROM sc JOIN sim_agb a USING ({_SITE_YEAR})",
+    "two_sides": f"SELECT {_SITE_YEAR}, any_value(s.agb) AS sim, any_value(r.agb) AS ref, sum({_WIDTHS} * abs(s.cdf - r.cdf)) AS w1 FROM simc s FULL JOIN refc r USING ({_SITE_YEAR}, bin) GROUP BY {_SITE_YEAR}",
+    "sl": f"""SELECT {_SITE_YEAR}, CASE WHEN ref IS NULL THEN pow(log10(sim + {_E}), 2) WHEN sim IS NULL THEN {_LAM} * abs(log10(ref + {_E})) ELSE (1 + w1) * pow(log10(sim + {_E}) - log10(ref + {_E}), 2) END AS w_loss,
     CASE WHEN sim IS NULL THEN ref WHEN ref IS NULL THEN sim ELSE abs(sim - ref) END AS agb_loss, coalesce(sim, 0) - coalesce(ref, 0) AS signed FROM two_sides""",
-    "site_l": "SELECT site, sum(w_loss) AS w_loss, sum(agb_loss) AS agb_loss, abs(sum(signed)) AS site_agb_loss FROM sl GROUP BY site",
+    "site_l": "SELECT site, year, sum(w_loss) AS w_loss, sum(agb_loss) AS agb_loss, abs(sum(signed)) AS site_agb_loss FROM sl GROUP BY site, year",
 }
 
 
-def _species_loss(spark, d) -> DataFrame:
+def _losses(spark, d, by_species: bool = False) -> DataFrame:
     world = World(spark, d)
-    sim = run(gathered(world.sites()), [parameter_table(world.params())], [0], SEED).withColumnRenamed("mapcode", "site")
-    return L.species_loss(L.simulated_distributions(sim, LOSS), _ref(world).filter("year = 0"), LOSS)
+    return losses(world.measured_sites(_ref(world)), [parameter_table(world.params())], world.years(), LOSS, SEED, by_species=by_species).drop("candidate")
 
 
-@query(sql("SELECT site, species, round(w_loss, 4) AS w_loss, round(agb_loss, 4) AS agb_loss FROM sl", [*_ONE, "top"], _LOSS_SQL))
+@query(sql("SELECT site, year, species, round(w_loss, 4) AS w_loss, round(agb_loss, 4) AS agb_loss FROM sl", [*_ONE, "top"], _LOSS_SQL))
 def species_loss(spark, d):
-    """Year 0 only, as its SQL states; ``species_loss_all_years`` has every measured year."""
-    return rounded(_species_loss(spark, d).select("site", "species", "w_loss", "agb_loss"), "w_loss", "agb_loss", digits=4)
+    """The loss of every species in every measured year of its site."""
+    return rounded(_losses(spark, d, True).select("site", "year", "species", "w_loss", "agb_loss"), "w_loss", "agb_loss", digits=4)
 
 
-@query(sql("SELECT site, round(w_loss, 4) AS w_loss, round(agb_loss, 4) AS agb_loss, round(site_agb_loss, 4) AS site_agb_loss FROM site_l", [*_ONE, "top"], _LOSS_SQL))
+@query(sql("SELECT site, year, round(w_loss, 4) AS w_loss, round(agb_loss, 4) AS agb_loss, round(site_agb_loss, 4) AS site_agb_loss FROM site_l", [*_ONE, "top"], _LOSS_SQL))
 def site_loss(spark, d):
-    """Year 0 only, as its SQL states; ``site_loss_all_years`` has every measured year."""
-    return rounded(L.site_loss(_species_loss(spark, d)).drop("candidate", "year"), "w_loss", "agb_loss", "site_agb_loss", digits=4)
+    """The loss of every site in each of its measured years."""
+    return rounded(_losses(spark, d), "w_loss", "agb_loss", "site_agb_loss", digits=4)
 
 
 @query(sql("SELECT round((sum(w_loss) + sum(agb_loss) + sum(site_agb_loss)) / count(*), 4) AS loss, count(*) AS num_sites FROM site_l", [*_ONE, "top"], _LOSS_SQL))
 def run_loss(spark, d):
-    """Year 0 only, as its SQL states; ``run_loss_all_years`` has every measured year."""
-    return rounded(L.run_loss(L.site_loss(_species_loss(spark, d))).drop("candidate"), "loss", digits=4)
+    """The mean loss over all measured site-years."""
+    return rounded(L.run_loss(_losses(spark, d).withColumn("candidate", F.lit(0))).drop("candidate"), "loss", digits=4)
 
 
-def _species_loss_all_years(spark, d) -> DataFrame:
+@query(sql("SELECT site, year, species, round(w_loss, 4) AS w_loss, round(agb_loss, 4) AS agb_loss FROM sl", [*_ONE, "top"], _LOSS_SQL))
+def species_loss_joined(spark, d):
+    """The same from stored records by joins: simulated cohorts of the measured years against the measured distributions."""
     world = World(spark, d)
-    sim = run(world.measured_sites(), [parameter_table(world.params())], world.years(), SEED).withColumnRenamed("mapcode", "site")
-    return L.species_loss(L.simulated_distributions(sim, LOSS), _ref(world), LOSS)
-
-
-@query()
-def species_loss_all_years(spark, d):
-    """The loss of every species in every measured year of its site."""
-    return rounded(_species_loss_all_years(spark, d).select("site", "year", "species", "w_loss", "agb_loss"), "w_loss", "agb_loss", digits=4)
-
-
-@query()
-def site_loss_all_years(spark, d):
-    """The loss of every site in each of its measured years."""
-    return rounded(L.site_loss(_species_loss_all_years(spark, d)).drop("candidate"), "w_loss", "agb_loss", "site_agb_loss", digits=4)
-
-
-@query()
-def run_loss_all_years(spark, d):
-    """The mean loss over all measured site-years."""
-    return rounded(L.run_loss(L.site_loss(_species_loss_all_years(spark, d))).drop("candidate"), "loss", digits=4)
+    sites = with_years(gathered(world.sites()), _ref(world).select("site", "year"))
+    sim = run(sites, [parameter_table(world.params())], world.years(), SEED).withColumnRenamed("mapcode", "site")
+    out = L.species_loss(L.simulated_distributions(sim, LOSS), _ref(world).withColumn("candidate", F.lit(0)), LOSS)
+    return rounded(out.select("site", "year", "species", "w_loss", "agb_loss"), "w_loss", "agb_loss", digits=4)
 
 
 @query()
@@ -552,7 +512,7 @@ def mutate_batch_loss(spark, d):
     world = World(spark, d)
     first = Params.draw(world.eco_species(), SEED)
     batch = [first, *(first.mutate(rng) for _ in range(4))]
-    return rounded(score_candidates(batch, world.measured_sites(), _ref(world).drop("candidate"), world.years(), LOSS, SEED), "loss", digits=4)
+    return rounded(score_candidates(batch, world.measured_sites(_ref(world)), world.years(), LOSS, SEED), "loss", digits=4)
 
 
 @query()
@@ -560,5 +520,5 @@ def sa_trace(spark, d):
     """Three batches of annealing against all measured years: trial, loss, acceptance, temperature."""
     world = World(spark, d)
     first = Params.draw(world.eco_species(), SEED)
-    _, _, trace = calibrate(first, world.measured_sites(), _ref(world).drop("candidate"), world.years(), LOSS, Schedule(max_iter=6, initial_t=1e3), batch=2, seed=SEED)
+    _, _, trace = calibrate(first, gathered(world.sites()), _ref(world), world.years(), LOSS, Schedule(max_iter=6, initial_t=1e3), batch=2, seed=SEED)
     return spark.createDataFrame([tuple(t.values()) for t in trace], "trial int, loss double, accepted boolean, t double, current double, best double")

@@ -47,14 +47,39 @@ def scratch(spark: SparkSession) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/understory-{uuid.uuid4().hex}"
 
 
+def _hadoop(spark: SparkSession, path: str) -> tuple:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at, fs = _hadoop(spark, path)
+    return fs.exists(at)
+
+
+def save_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text in any file system Spark knows; the old one stays until the new one is whole."""
+    (new, fs), (at, _) = _hadoop(spark, f"{path}.new"), _hadoop(spark, path)
+    out = fs.create(new, True)
+    out.write(text.encode())
+    out.close()
+    fs.delete(at, False)
+    fs.rename(new, at)
+
+
+def load_text(spark: SparkSession, path: str) -> str | None:
+    """The text saved at a path, if there is one."""
+    found = [p for p in (path, f"{path}.new") if exists(spark, p)]
+    return spark.read.text(found[0], wholetext=True).first()[0] if found else None
+
+
 def drop_intermediates(spark: SparkSession) -> None:
     """Remove what ``cut`` and ``cut_table`` wrote in this application. Call it when no result is read any more;
     it is done at the end of the Python process as well."""
     folder = spark.sparkContext.getCheckpointDir()
     if folder is None:
         return
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    path, fs = _hadoop(spark, folder)
     if fs.exists(path):
         for entry in fs.listStatus(path):
             fs.delete(entry.getPath(), True)
