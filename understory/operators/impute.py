@@ -7,10 +7,11 @@ over its observed cells, the cell factors are the ridge solution over all record
 that a factor only one cell speaks for isn't trusted); the two alternate. The
 factors of the cells are a small matrix (cells x rank); all sums over records are aggregated in Spark.
 
-A missing entry is decoded to the valid value with the highest predicted share: for eco the eco of the plot
-if one is known, else a listed eco; for species_symbol_map a value that the species list maps the record's
-eco and species_symbol to, else one of the eco's values, else a listed value; for age a whole number from
-1 to 1,500. Observed entries are never changed, malformed or unlisted ones included.
+A missing entry is decoded to the valid value with the highest predicted share. What is valid follows from the records
+of the same plot and from the lists: a plot has one eco, so where its other records name one, that is the valid eco, else
+every listed one; the species list maps an eco and symbol to the valid values of species_symbol_map, or to the eco's
+values for unmapped wood, or else all values of the eco are valid; for age a whole number from 1 to 1,500. Observed
+entries are never changed, malformed or unlisted ones included.
 
 Defined cases: repeated cohorts count once; rows without cohort_id have no key and are left out; an empty
 table gives an empty result; with no listed values at all a text field stays null and is marked unfilled.
@@ -19,10 +20,12 @@ table gives an empty result; with no listed values at all a text field stays nul
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +35,8 @@ from understory.session import bounded_rows, cut_table
 RANK, ROUNDS, SEED = 8, 5, 7
 #: Ridge of the record factors: the noise variance of a cell, beside a prior variance of 1 of a factor.
 RIDGE = 1.0
+#: The fields that are filled.
+FILLED = ("age_calc", "eco", "species_symbol_map")
 PLOT = ("statecd", "unitcd", "countycd", "plot")
 #: Categorical blocks and numeric cells of a record; plot_* are those of its plot.
 BLOCKS = ("eco", "species", "symbol", "wood", "plot_eco")
@@ -39,6 +44,8 @@ NUMBERS = ("age", "agb", "trees", "plot_age", "visit_age", "crew_age")
 #: Weight of a numeric cell beside the blocks, whose cells are many.
 NUMBER_WEIGHT = 2.0
 MAX_LIST = 5_000
+#: Vectors of partial sums that meet in one task or on the driver.
+FAN = 64
 MIN_SHARE = 1e-4
 #: Bits of a code, the stand-in for a null number, and steps of a log agb while records are shuffled.
 BITS, NONE, LOG_STEPS = 15, -(1 << 31), 10_000
@@ -85,6 +92,11 @@ def _dictionary(spark, values: list[str], key: str, code: str) -> DataFrame:
     return F.broadcast(spark.createDataFrame(list(enumerate(values)), f"{code} int, {key} string"))
 
 
+def _key(*columns: str):
+    """A hash that tells nulls of different columns apart."""
+    return F.xxhash64(*(x for c in columns for x in (F.coalesce(c, F.lit(0)), F.col(c).isNull())))
+
+
 def encode(cohorts: DataFrame, lists: Lists) -> DataFrame:
     """The records as codes and floats, once per cohort, with the cells of their plot, visit and crew.
 
@@ -95,22 +107,23 @@ def encode(cohorts: DataFrame, lists: Lists) -> DataFrame:
     """
     codes = recurring_codes(cohorts, {"age_calc": "age", "eco": "text", "species_symbol_map": "text"})
     spark = cohorts.sparkSession
+    whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in PLOT])
     base = cohorts.select(
-        F.col("cohort_id").cast("long").alias("cohort_id"), F.xxhash64("plt_cn", *PLOT, "crew_id").alias("visit"),
-        F.xxhash64(*PLOT).alias("place"), "crew_id", "plt_cn",
+        F.col("cohort_id").cast("long").alias("cohort_id"), F.when(whole | F.col("plt_cn").isNotNull(), _key("plt_cn", *PLOT, "crew_id")).alias("visit"),
+        F.when(whole, _key(*PLOT)).alias("place"), "crew_id",
         *(F.when(~is_absent(f, codes[f]), F.col(f)).alias(f) for f in ("age_calc", "eco", "species_symbol_map")),
         "species_symbol", F.upper(F.substring("sftwd_hrdwd", 1, 1)).alias("w"),
         "agb", "tree_count",
     ).withColumn("age", F.when(F.col("age_calc").between(1, 1500), F.log("age_calc")).cast("float"))
     mean = [F.sum("age").alias("s"), F.count("age").alias("k")]
-    visits = base.groupBy("visit", "place", "crew_id").agg(*mean)
+    visits = base.groupBy("visit", "place", "crew_id").agg(*mean)  # a record without plot and plt_cn has no visit, one without a whole plot key no plot
     again = [F.sum("s").alias("s"), F.sum("k").alias("k")]
     of_crew = visits.filter("crew_id is not null").groupBy("crew_id").agg(*again).select("crew_id", (F.col("s") / F.col("k")).alias("crew_age"))
-    of_place = visits.groupBy("place").agg(*again).select("place", (F.col("s") / F.col("k")).alias("plot_age"))
-    in_eco = base.filter("eco is not null").groupBy("place", "eco").agg(F.count("*").alias("n")).groupBy("place").agg(F.max(F.struct("n", "eco"))["eco"].alias("plot_of"))
+    of_place = visits.filter("place is not null").groupBy("place").agg(*again).select("place", (F.col("s") / F.col("k")).alias("plot_age"))
+    in_eco = base.filter("eco is not null and place is not null").groupBy("place", "eco").agg(F.count("*").alias("n")).groupBy("place").agg(F.max(F.struct("n", "eco"))["eco"].alias("plot_of"))
     in_eco = in_eco.join(_dictionary(spark, lists.eco, "plot_of", "plot_eco"), "plot_of", "left").select("place", F.coalesce("plot_eco", F.lit(len(lists.eco))).alias("plot_eco"))
     known = (
-        visits.join(of_place, "place", "left").join(in_eco, "place", "left").join(of_crew, "crew_id", "left")
+        visits.filter("visit is not null").join(of_place, "place", "left").join(in_eco, "place", "left").join(of_crew, "crew_id", "left")
         .groupBy("visit").agg(F.max("plot_eco").alias("plot_eco"), F.avg("plot_age").alias("plot_age"), F.avg("crew_age").alias("crew_age"), (F.sum("s") / F.sum("k")).alias("visit_age"))
     )
     coded = base.filter("cohort_id is not null")
@@ -126,7 +139,7 @@ def encode(cohorts: DataFrame, lists: Lists) -> DataFrame:
     # two numbers hold all cells while the rows travel: four codes of BITS bits; age and log agb in 32 bits each
     log_agb = F.when((F.col("agb") > 0) & (F.col("agb") < float("inf")), F.round(F.log("agb") * LOG_STEPS))
     rows = coded.select(
-        "cohort_id", "visit",
+        "cohort_id", F.coalesce("visit", F.xxhash64("cohort_id")).alias("visit"),  # records without a visit don't meet in one task
         sum(F.shiftleft(c, BITS * i) for i, c in enumerate(blocks)).alias("codes"),
         (F.shiftleft(F.coalesce("age_calc", F.lit(NONE)).cast("long"), 32) + (F.coalesce(log_agb, F.lit(NONE)).cast("long") - NONE)).alias("numbers"),
         F.col("tree_count").cast("int").alias("tree_count"),
@@ -248,21 +261,26 @@ def _arrays(t: pa.Table, model: Model | None) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _summed(coded: DataFrame, of) -> np.ndarray:
-    """The sum over all records of a flat vector; partitions send (place, value) rows that Spark adds up."""
+    """The sum over all records of a flat vector: one vector per partition, added up in a tree of FAN branches."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from packed(map(of, _blocks(batches)))
+
+    def node(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from packed(np.frombuffer(x.as_buffer()) for b in batches for x in b.column(1))
+
+    def packed(vectors: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
         total = None
-        for t in _blocks(batches):
-            x = of(t)
+        for x in vectors:
             total = x if total is None else total + x
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], ["j", "x"])
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["j", "x"])
 
-    got = coded.mapInArrow(run, "j int, x double").groupBy("j").agg(F.sum("x").alias("x")).collect()  # cells x rank values
-    out = np.zeros(len(got))
-    for r in got:
-        out[r["j"]] = r["x"]
-    return out
+    parts, n = coded.mapInArrow(leaf, "j int, x binary"), coded._jdf.queryExecution().toRdd().getNumPartitions()
+    while n > FAN:
+        n = -(-n // FAN)
+        parts = parts.select(F.floor(F.col("j") / FAN).cast("int").alias("j"), "x").repartition(n, "j").mapInArrow(node, "j int, x binary")
+    return sum((np.frombuffer(bytes(r["x"])) for r in parts.collect()), start=np.zeros(1))
 
 
 def fit(coded: DataFrame, lists: Lists, rank_rounds: int = ROUNDS) -> Model | None:
@@ -276,7 +294,7 @@ def fit(coded: DataFrame, lists: Lists, rank_rounds: int = ROUNDS) -> Model | No
         return np.concatenate([*counts, ok.sum(0), z.sum(0), (z * z).sum(0), [len(codes)]])
 
     m = _summed(coded, moments)
-    if not len(m) or m[-1] == 0:
+    if len(m) <= 1 or m[-1] == 0:
         return None
     at = np.concatenate([[0], np.cumsum(sizes)])
     share = [np.maximum((c := m[at[g] : at[g + 1]]) / max(c.sum(), 1), MIN_SHARE) for g in range(len(sizes))]
@@ -289,8 +307,23 @@ def fit(coded: DataFrame, lists: Lists, rank_rounds: int = ROUNDS) -> Model | No
     return model
 
 
-def decode(t: pa.Table, model: Model, lists: Lists) -> pa.Table:
-    """Fill the missing entries of a batch of encoded records."""
+def permitted_species(lists: Lists, eco: np.ndarray, symbol: np.ndarray, wood: np.ndarray) -> np.ndarray:
+    """Which species a record may have (records x species): what the map gives its eco and symbol, else the eco's species
+    for unmapped hardwood or softwood, else any of the eco's. ``eco``: its place, that after the last for an unlisted one."""
+    kinds, at = np.unique(np.stack([eco, symbol, wood]), axis=1, return_inverse=True)
+    valid = lists.of_eco[kinds[0]].copy()
+    for k, (e, s, w) in enumerate(kinds.T.tolist()):
+        rest = int(lists.other[e, w]) if 0 <= w < 2 else -1
+        mapped = lists.of_pair.get((e, s)) or ([rest] if s >= 0 and rest >= 0 else None)
+        if mapped:
+            valid[k] = False
+            valid[k, mapped] = True
+    return valid[at.ravel()]
+
+
+def decode(t: pa.Table, model: Model, lists: Lists, validity: bool = True) -> pa.Table:
+    """Fill the missing entries of a batch of encoded records. Without ``validity`` any listed eco, and any species of the
+    eco, may be chosen: that measures the factors alone."""
     codes, numbers = _arrays(t, model)
     eco, species, age = codes[:, 0].copy(), codes[:, 1].copy(), t["age_calc"].combine_chunks()
     no_eco, no_species, no_age = eco < 0, species < 0, np.asarray(age.is_null())
@@ -301,19 +334,13 @@ def decode(t: pa.Table, model: Model, lists: Lists) -> pa.Table:
     if len(i) and lists.eco:
         best = model.block_scores(u[i], 0)[:, :-1].argmax(1)
         plot = codes[need[i], 4]
-        eco[need[i]] = np.where((plot >= 0) & (plot < len(lists.eco)), plot, best)
+        eco[need[i]] = np.where(validity & (plot >= 0) & (plot < len(lists.eco)), plot, best)
     i = np.flatnonzero(no_species[need])
     if len(i) and lists.species:
         rows = need[i]
         score = model.block_scores(u[i], 1)[:, :-1]
         where = np.where((eco[rows] >= 0) & (eco[rows] < len(lists.eco)), eco[rows], len(lists.eco))
-        valid = lists.of_eco[where].copy()
-        for k, r in enumerate(rows):
-            mapped = lists.of_pair.get((where[k], codes[r, 2]))
-            wood = lists.other[where[k], codes[r, 3]] if 0 <= codes[r, 3] < 2 else -1
-            if mapped or (codes[r, 2] >= 0 and wood >= 0):
-                valid[k] = False
-                valid[k, mapped or [wood]] = True
+        valid = permitted_species(lists, where, codes[rows, 2], codes[rows, 3]) if validity else lists.of_eco[where]
         species[rows] = np.where(valid, score, -np.inf).argmax(1)
     i = np.flatnonzero(no_age[need])
     if len(i):

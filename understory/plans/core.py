@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from understory.operators import absent, chunks, features, impute, lines, orphans, spikes
+from understory.operators import chunks, features, impute, lines, orphans, spikes
 from understory.plans.rounding import significant, significant_sql
 from understory.session import scratch, table
 
@@ -39,6 +39,20 @@ def p3_filled(spark, d):
     return _filled(spark, d)
 
 
+def p3_checks(spark, d):
+    """Per field: cohorts, absent and filled values, observed values that came out unchanged, and filled values that are listed or possible."""
+    filled = _filled(spark, d)
+    once = table(spark, d, "data_eco_cohorts").select("cohort_id", *(F.col(f).alias(f"was_{f}") for f in impute.FILLED)).dropDuplicates(["cohort_id"])
+    ecos, species = table(spark, d, "eco_ecocode_map"), table(spark, d, "data_all_species")
+    x = filled.join(once, "cohort_id")
+    x = x.join(ecos.select(F.col("eco"), F.lit(True).alias("ok_eco")), "eco", "left").join(species.select("species_symbol_map", F.lit(True).alias("ok_species_symbol_map")).distinct(), "species_symbol_map", "left")
+    x = x.withColumn("ok_age_calc", F.col("age_calc").between(1, 1500))
+    per = [F.struct(F.lit(f).alias("field"), F.col(f"{f}_absent").alias("gone"), F.col(f"{f}_filled").alias("filled"), F.col(f).eqNullSafe(F.col(f"was_{f}")).alias("same"), F.coalesce(f"ok_{f}", F.lit(False)).alias("ok")) for f in impute.FILLED]
+    e = x.select(F.explode(F.array(*per)).alias("e")).select("e.*")
+    n = lambda c: F.count(F.when(c, 1))
+    return e.groupBy("field").agg(F.count("*").alias("cohorts"), n(F.col("gone")).alias("absent"), n(F.col("filled")).alias("filled"), n(~F.col("gone") & F.col("same")).alias("kept"), n(F.col("filled") & F.col("ok")).alias("valid"))
+
+
 def p4_found(spark, d):
     return spikes.flag_readings(table(spark, d, "data_eco_cohorts")).select("cohort_id", "field")
 
@@ -87,13 +101,14 @@ def p7_kept(spark, d):
     return orphans.report(kept.orphan_days())
 
 
-QUERIES = {f.__name__: f for f in (p1_features, p1_cells, p2_found, p2_results, p3_found, p3_filled, p4_found, p4_flags, p4_kinds, p6_found, p6_loaded, p7_found, p7_report, p7_kept)}
+QUERIES = {f.__name__: f for f in (p1_features, p1_cells, p2_found, p2_results, p3_found, p3_filled, p3_checks, p4_found, p4_flags, p4_kinds, p6_found, p6_loaded, p7_found, p7_report, p7_kept)}
 
 # ---------------------------------------------------------------- the same in SQL, over whole tables
 
 _WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
-_TEXT = ", ".join("'" + c.replace("'", "''") + "'" for c in absent.TEXT_CODES)
-_AGE = ", ".join(f"'{c}'" for c in absent.AGE_CODES)
+# what "not recorded" can look like, stated apart from the operators
+_TEXT = "'na', 'n/a', 'nan', 'none', 'null', 'unknown', 'unkn', 'unk', 'missing', 'not recorded', '?', '-', '.', '0', '0.0.0.0', '999', '-999', '9999', '-9999'"
+_AGE = "'0', '-1', '-9', '-99', '-999', '999', '9999', '-9999'"
 
 
 def _norm(c: str) -> str:
@@ -102,7 +117,7 @@ def _norm(c: str) -> str:
 
 def _codes(field: str, listed: str) -> str:
     return f"""SELECT {_norm(field)} AS code FROM data_eco_cohorts WHERE {_norm(field)} IN ({listed}) GROUP BY 1
-  HAVING min(crew_id) < max(crew_id) AND count(*) >= {absent.MIN_SHARE} * (SELECT count(*) FROM data_eco_cohorts)"""
+  HAVING min(crew_id) < max(crew_id) AND count(*) >= 0.0002 * (SELECT count(*) FROM data_eco_cohorts)"""
 
 
 def _absent(field: str) -> str:
@@ -165,6 +180,8 @@ SELECT plt_cn, species_symbol_map, count(*) AS n, {significant_sql('coalesce(sum
     "p2_results": f"""WITH {_CODES}, {_KEYED}, o AS (SELECT *, {_FINITE} AS x, lag(crew_id) OVER w AS before, row_number() OVER w AS no FROM keyed WINDOW w AS (PARTITION BY field, key_value ORDER BY loaded_at, cohort_id))
 SELECT field, key_value, count(*) AS n_rows, count(x) AS n_values, {significant_sql('sum(x)')} AS total, min(x) AS lowest, max(x) AS highest, count(*) FILTER (no > 1 AND before IS DISTINCT FROM crew_id) AS turns FROM o GROUP BY ALL""",
     "p3_found": f"WITH {_CODES} " + " UNION ALL ".join(f"SELECT DISTINCT cohort_id, '{f}' AS field FROM data_eco_cohorts WHERE {_absent(f)}" for f in ("age_calc", "eco", "species_symbol_map")),
+    "p3_checks": f"WITH {_CODES}, once AS (SELECT cohort_id, " + ", ".join(f"any_value({_absent(f)}) AS gone_{f}" for f in impute.FILLED) + " FROM data_eco_cohorts WHERE cohort_id IS NOT NULL GROUP BY cohort_id) "
+    + " UNION ALL ".join(f"SELECT '{f}' AS field, count(*) AS cohorts, count(*) FILTER (gone_{f}) AS absent, count(*) FILTER (gone_{f}) AS filled, count(*) FILTER (NOT gone_{f}) AS kept, count(*) FILTER (gone_{f}) AS valid FROM once" for f in impute.FILLED),
     "p4_found": f"{_ODD} SELECT cohort_id, field FROM odd",
     "p4_kinds": f"{_ODD} SELECT * FROM odd",
     "p6_found": rf"""WITH a AS (SELECT line_id, line, regexp_replace(line, '"(?:[^"]|"")*"', 'q', 'g') AS bare FROM cohort_lines),
