@@ -8,13 +8,17 @@ Where one species of a pixel ecoregion comes from several, the one with most tre
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from understory.functions.dates import parse_day
 from understory.operators.cohorts import dense_ids, list_ids
 from understory.schemas import PLOT_KEY
-from understory.session import cut
+from understory.session import cut, cut_table, if_small
+
+#: What the resolution of a cohort depends on.
+KIND = ["eco", "species_symbol", "species_symbol_map", "sftwd_hrdwd"]
 
 
 def pixel_pairs(pixels: DataFrame) -> DataFrame:
@@ -22,28 +26,35 @@ def pixel_pairs(pixels: DataFrame) -> DataFrame:
     return pixels.filter("plt_cn is not null").groupBy("plt_cn", "ecocode").agg(F.count("*").alias("count"))
 
 
-def resolve(pairs: DataFrame, cohorts: DataFrame, ecos: DataFrame, species_eco: DataFrame, species: DataFrame) -> DataFrame:
-    """One row per (pixel pair, cohort, mapping): own and effective ecoregion and species, and whether it is borrowed."""
+def kinds(pairs: DataFrame, cohorts: DataFrame) -> DataFrame:
+    """(raster_ecocode, KIND, trees): what is to be resolved, reduced before and after the one join."""
+    narrow = cohorts.groupBy("plt_cn", *KIND).agg(F.sum("tree_count").alias("trees"))
+    met = pairs.select("plt_cn", F.col("ecocode").alias("raster_ecocode")).join(narrow, "plt_cn")
+    return met.groupBy("raster_ecocode", *KIND).agg(F.sum("trees").alias("trees"))
+
+
+def resolve_kinds(found: DataFrame, ecos: DataFrame, species_eco: DataFrame, species: DataFrame) -> DataFrame:
+    """Per kind, and per row of the species map that names it: own and effective ecoregion and species, and whether it is borrowed."""
     target = ecos.select(F.col("ecocode").alias("raster_ecocode"), F.col("eco").alias("raster_eco"))
     own = ecos.select("eco", F.col("ecocode").alias("own_ecocode"))
     mapped = species_eco.select(F.col("eco").alias("raster_eco"), "species_symbol", F.col("species_symbol_map").alias("mapped"))
     rest = species.select(F.col("species_symbol_map").alias("catch_all")).distinct()
     catch_all = F.concat(F.coalesce("raster_eco", F.lit("")), F.lit("_"), F.coalesce("sftwd_hrdwd", F.lit("")))
     joined = (
-        pairs.select("plt_cn", F.col("ecocode").alias("raster_ecocode")).join(target, "raster_ecocode").join(cohorts, "plt_cn").join(own, "eco")
+        found.join(target, "raster_ecocode").join(own, "eco")
         .join(mapped, ["raster_eco", "species_symbol"], "left").join(rest, catch_all == F.col("catch_all"), "left")
     )
-    found = F.coalesce("mapped", "catch_all")
+    meant = F.coalesce("mapped", "catch_all")
     return joined.select(
-        "raster_ecocode", "raster_eco", *cohorts.columns, found.isNull().alias("borrowed"),
-        F.when(found.isNull(), F.col("eco")).otherwise(F.col("raster_eco")).alias("effective_eco"),
-        F.when(found.isNull(), F.col("own_ecocode")).otherwise(F.col("raster_ecocode")).alias("effective_ecocode"),
-        F.coalesce(found, "species_symbol_map").alias("effective_species"),
+        "raster_ecocode", "raster_eco", *KIND, "trees", meant.isNull().alias("borrowed"),
+        F.when(meant.isNull(), F.col("eco")).otherwise(F.col("raster_eco")).alias("effective_eco"),
+        F.when(meant.isNull(), F.col("own_ecocode")).otherwise(F.col("raster_ecocode")).alias("effective_ecocode"),
+        F.coalesce(meant, "species_symbol_map").alias("effective_species"),
     )
 
 
-def group_totals(full: DataFrame) -> DataFrame:
-    return full.groupBy("raster_ecocode", "effective_species", "effective_eco", "effective_ecocode").agg(F.sum("tree_count").alias("group_count"))
+def group_totals(resolved: DataFrame) -> DataFrame:
+    return resolved.groupBy("raster_ecocode", "effective_species", "effective_eco", "effective_ecocode").agg(F.sum("trees").alias("group_count"))
 
 
 def dominant(totals: DataFrame) -> DataFrame:
@@ -52,10 +63,32 @@ def dominant(totals: DataFrame) -> DataFrame:
     return totals.withColumn("rn", F.row_number().over(w)).filter("rn = 1").drop("rn", "group_count")
 
 
-def crosswalk(full: DataFrame) -> DataFrame:
-    """Every row of ``full`` with the effective ecoregion of the dominant source of its species."""
-    # a row per (pixel ecoregion, species): bounded by the product of two reference lists
-    return full.drop("effective_eco", "effective_ecocode").join(dominant(group_totals(full)), ["raster_ecocode", "effective_species"])
+def by_dominant(resolved: DataFrame) -> DataFrame:
+    """Resolved kinds with the effective ecoregion of the dominant source of their species."""
+    return resolved.drop("effective_eco", "effective_ecocode").join(dominant(group_totals(resolved)), ["raster_ecocode", "effective_species"])
+
+
+def attach(pairs: DataFrame, cohorts: DataFrame, resolved: DataFrame) -> DataFrame:
+    """One row per (pixel pair, cohort, mapping): the cohort with what its kind stands for there."""
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in KIND], F.col("ecocode") == F.col("raster_ecocode"))
+    known = resolved.select("raster_ecocode", "raster_eco", "borrowed", "effective_eco", "effective_ecocode", "effective_species", *(F.col(k).alias(f"_{k}") for k in KIND))
+    return pairs.select("plt_cn", "ecocode").join(cohorts, "plt_cn").join(known, same).drop("ecocode", *(f"_{k}" for k in KIND))
+
+
+class Crosswalk:
+    """The crosswalk of a set of pixels: which kinds there are is found, resolved and written once, cohorts are attached last."""
+
+    def __init__(self, pixels: DataFrame, cohorts: DataFrame, ecos: DataFrame, species_eco: DataFrame, species: DataFrame) -> None:
+        self.pairs = if_small(cut_table(pixel_pairs(pixels)))
+        self.cohorts = cut_table(cohorts)
+        self.resolved = cut_table(resolve_kinds(kinds(self.pairs, self.cohorts), ecos, species_eco, species))
+
+    def full(self) -> DataFrame:
+        return attach(self.pairs, self.cohorts, if_small(self.resolved))
+
+    def final(self) -> DataFrame:
+        """Every row of ``full`` with the effective ecoregion of the dominant source of its species."""
+        return attach(self.pairs, self.cohorts, if_small(cut_table(by_dominant(self.resolved))))
 
 
 def effective_splots(resolved: DataFrame) -> DataFrame:
@@ -88,6 +121,13 @@ def miss_rate(pixels: DataFrame, splots: DataFrame) -> DataFrame:
     return pixels.join(have, ["plt_cn", "ecocode"], "left").agg((F.avg(F.col("hit").isNull().cast("int")) * 100).alias("miss_rate"))
 
 
+def landscape_params(splots: DataFrame, eco_species: DataFrame) -> DataFrame:
+    """The parameters of a landscape, keyed by pixel ecoregion and species: those of the effective ecoregion, numbered anew."""
+    mapped = require_complete(remap_params(splots, eco_species), ["eco", "effective_eco", "species", "param_local_id"])
+    values = eco_species.withColumnRenamed("eco", "effective_eco").drop("local_id")
+    return mapped.join(values, ["effective_eco", "species"]).drop("effective_eco", "param_local_id")
+
+
 def remap_params(splots: DataFrame, eco_species: DataFrame) -> DataFrame:
     """Local species of every pixel ecoregion with the parameters they borrow, by names instead of positions.
 
@@ -105,6 +145,3 @@ def require_complete(df: DataFrame, columns: list[str]) -> DataFrame:
         df = df.withColumn(c, F.when(F.col(c).isNotNull(), F.col(c)).otherwise(F.raise_error(F.lit(f"{c} is null")).cast(df.schema[c].dataType)))
     return df
 
-
-def parsed(cohorts: DataFrame) -> DataFrame:
-    return cohorts.withColumn("measdate", parse_day("measdate"))

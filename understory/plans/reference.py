@@ -12,6 +12,7 @@ from understory.operators import cohorts as C
 from understory.operators import crosswalk as X
 from understory.operators import loss as L
 from understory.operators import sinks, succession
+from understory.operators.landscape import Landscape
 from understory.operators.params import Params, eco_bmax, eco_params
 from understory.operators.search import Schedule, calibrate, score_candidates
 from understory.operators.simulate import gathered, losses, parameter_table, run, with_years
@@ -273,12 +274,16 @@ def w1_loss_nullable(spark, d):
 
 # ---------------------------------------------------------------- pixels and crosswalk
 
-def _full(spark, d) -> DataFrame:
-    return X.resolve(X.pixel_pairs(fx.pixels(spark, d)), fx.coh(spark, d), table(spark, d, "eco_ecocode_map"), table(spark, d, "data_species_eco_map"), table(spark, d, "data_all_species"))
+def _lists(spark, d) -> tuple:
+    return tuple(table(spark, d, x) for x in ("eco_ecocode_map", "data_species_eco_map", "data_all_species"))
+
+
+def _crosswalk(spark, d) -> X.Crosswalk:
+    return X.Crosswalk(fx.pixels(spark, d), fx.coh(spark, d), *_lists(spark, d))
 
 
 def _effective(spark, d) -> DataFrame:
-    return X.effective_splots(X.crosswalk(_full(spark, d)))
+    return X.effective_splots(_crosswalk(spark, d).final())
 
 
 @query(sql("SELECT * FROM pairs", ["pairs"]))
@@ -291,22 +296,22 @@ _FULL_COLS = "raster_ecocode, raster_eco, cohort_id, plt_cn, eco, species_symbol
 
 @query(sql(f"SELECT {_FULL_COLS} FROM full_table", ["full_table"]))
 def crosswalk_full(spark, d):
-    return _full(spark, d).select(*_FULL_COLS.split(", "))
+    return _crosswalk(spark, d).full().select(*_FULL_COLS.split(", "))
 
 
 @query(sql("SELECT * FROM totals", ["totals"]))
 def crosswalk_group_totals(spark, d):
-    return X.group_totals(_full(spark, d))
+    return X.group_totals(_crosswalk(spark, d).resolved)
 
 
 @query(sql("SELECT * FROM dom", ["dom"]))
 def crosswalk_dominant(spark, d):
-    return X.dominant(X.group_totals(_full(spark, d)))
+    return X.dominant(X.group_totals(_crosswalk(spark, d).resolved))
 
 
 @query(sql(f"SELECT {_FULL_COLS} FROM resolved", ["resolved"]))
 def crosswalk_final(spark, d):
-    return X.crosswalk(_full(spark, d)).select(*_FULL_COLS.split(", "))
+    return _crosswalk(spark, d).final().select(*_FULL_COLS.split(", "))
 
 
 _EFF = {
@@ -434,6 +439,27 @@ def raster_mapcodes(spark, d):
     return sinks.raster_mapcodes(px, X.pixel_cohorts(px, _effective(spark, d)).filter("effective_species is not null"))
 
 
+#: A landscape: its parameters by pixel ecoregion and species, its sites by pixel.
+_LAND = {
+    "pe": """SELECT m.eco, m.species, m.local_id, p.* EXCLUDE (eco, species, local_id), shade.* EXCLUDE (eco), max(b_max) OVER (PARTITION BY m.eco) AS b_max_eco
+  FROM (SELECT *, row_number() OVER (PARTITION BY eco ORDER BY effective_eco, species) AS local_id FROM (SELECT DISTINCT raster_eco AS eco, effective_eco, effective_species AS species FROM eff
+    WHERE agb_sum IS NOT NULL AND (effective_eco, effective_species) IN (SELECT (eco, species) FROM eco_species))) m
+  JOIN eco_species p ON p.eco = m.effective_eco AND p.species = m.species JOIN eco_shade shade ON shade.eco = m.eco""",
+    "c0": """SELECT mapcode AS site, raster_eco AS eco, row_number() OVER (PARTITION BY mapcode ORDER BY age_calc, effective_species, agb_sum) AS seq, effective_species AS species, 1 AS age,
+    agb_sum AS bio, CAST(0 AS DOUBLE) AS prev_mortality FROM px JOIN eff ON px.plt_cn = eff.plt_cn AND px.ecocode = eff.raster_ecocode WHERE agb_sum IS NOT NULL""",
+} | reduce(dict.__or__, (step_ctes(y) for y in range(1, 4)))
+_LAND["c1"] = _LAND["c0"]
+_LAND = {k: _LAND[k] for k in ("pe", "c0", "c1", *(x for x in _LAND if x not in ("pe", "c0", "c1")))}
+_LAND_ROWS = "SELECT " + " UNION ALL SELECT ".join(f"{y} AS year, site AS mapcode, eco, species, seq, CAST(age AS INT) AS age, round(bio, 4) AS biomass FROM c{y + 1}" for y in range(1, 4))
+
+
+@query(sql(_LAND_ROWS, ["px", "eff", "eco_species", "eco_shade"], _LAND))
+def landscape_3y(spark, d):
+    """Pixels with the communities of their measurements, simulated for three years."""
+    land = Landscape(fx.pixels(spark, d), fx.coh(spark, d), _lists(spark, d))
+    return rounded(land.simulate(fx.eco_species(spark, d), fx.eco_shade(spark, d), range(1, 4), SEED), "biomass", digits=4)
+
+
 def _ref(world: World) -> DataFrame:
     return _spdf(world).select(F.col("plot_id").alias("site"), F.col("sim_year").alias("year"), F.col("species_symbol_map").alias("species"), "agb", "cdf")
 

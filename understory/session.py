@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -110,6 +111,15 @@ def width(df: DataFrame, part_bytes: int = 128 << 20) -> int:
     return least if read >= UNKNOWN else max(least, -(-min(_bytes(plan), 8 * read) // part_bytes))
 
 
+#: Rows up to which a materialised side of a join is broadcast; beyond, Spark shuffles both.
+BROADCAST_ROWS = 500_000
+
+
+def if_small(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """A materialised table, marked for broadcast if it is counted to be small."""
+    return F.broadcast(df) if df.count() <= (BROADCAST_ROWS if limit is None else limit) else df
+
+
 def bounded_rows(df: DataFrame, limit: int, what: str) -> list:
     """Rows of a table whose size must be bounded; more than ``limit`` rows is an error, never a cut."""
     rows = df.limit(limit + 1).collect()
