@@ -375,7 +375,7 @@ _ONE = ["c0", "pe"]
 
 def _steps(spark, d, sem: succession.Semantics = succession.Semantics()) -> DataFrame:
     world = World(spark, d)
-    return succession.stepped(world.sites(sem), world.params(), 0, SEED)
+    return succession.stepped(world.sites(sem), world.params(), 0, SEED, sem)
 
 
 @query(sql("SELECT site, eco, seq, species, new_age AS age, round(new_bio, 4) AS bio FROM st0 WHERE new_bio > 1e-8", _ONE, step_ctes(0)))
@@ -395,6 +395,22 @@ def reproduction_step(spark, d):
     return rounded(succession.seedlings(steps, succession.site_totals(steps), 0, SEED), "bio", digits=4)
 
 
+GROWING = succession.Semantics(seed_at_age_one=False, growth_reduction=0.0)
+
+
+@query(sql("SELECT site, eco, seq, species, new_age AS age, round(new_bio, 4) AS bio, round(growth, 4) AS growth, round(m_tot, 4) AS m_tot FROM st0 WHERE new_bio > 1e-8", _ONE, fx.MEASURED | step_ctes(0, True)))
+def growing_step(spark, d):
+    """A year with growth, from measured ages."""
+    alive = _steps(spark, d, GROWING).filter("lives")
+    return rounded(alive.select("site", "eco", "seq", "species", "age", F.col("new_bio").alias("bio"), "growth", "m_tot"), "bio", "growth", "m_tot", digits=4)
+
+
+@query(sql("SELECT site, eco, round(b, 4) AS b, round(agnpp, 4) AS agnpp, round(m_tot, 4) AS m_tot, live, shade_class FROM tot0", _ONE, fx.MEASURED | step_ctes(0, True)))
+def growing_shade(spark, d):
+    """Site totals and shade after a year with growth, from measured ages."""
+    return rounded(succession.site_totals(_steps(spark, d, GROWING)), "b", "agnpp", "m_tot", digits=4)
+
+
 _THREE = reduce(dict.__or__, (step_ctes(y) for y in range(3)))
 
 
@@ -417,6 +433,12 @@ def simulate_3y_measured(spark, d):
     return rounded(_simulated(spark, d, range(3), sem=MEASURED_AGES), "biomass", digits=4)
 
 
+@query(sql(_THREE_YEARS, _ONE, fx.MEASURED | reduce(dict.__or__, (step_ctes(y, True) for y in range(3)))))
+def simulate_3y_growing(spark, d):
+    """Three years with growth, from measured ages, in the kernel."""
+    return rounded(_simulated(spark, d, range(3), sem=GROWING), "biomass", digits=4)
+
+
 @query(sql("SELECT " + " UNION ALL SELECT ".join(f"{y} AS year, site AS mapcode, eco, species, seq, CAST(age AS INT) AS age, round(bio, 4) AS biomass FROM c{y + 1}" for y in range(30)), _ONE, reduce(dict.__or__, (step_ctes(y) for y in range(30)))))
 def simulate_30y(spark, d):
     return rounded(_simulated(spark, d, range(30)), "biomass", digits=4)
