@@ -14,7 +14,16 @@ from understory.streaming import ingest
 def test_csv(spark, tmp_path):
     df = cohorts(spark, [cohort(1, eco='a "b",\nc'), cohort(2, agb=None)])
     df.write.option("header", True).option("escape", '"').csv(str(tmp_path / "c"))
-    assert sorted(tables.read_csv(spark, str(tmp_path / "c")).collect()) == sorted(df.collect())
+    assert sorted(tables.read_csv(spark, str(tmp_path / "c"), line_breaks=True).collect()) == sorted(df.collect())
+    plain = cohorts(spark, [cohort(i) for i in range(2000)])
+    plain.coalesce(1).write.option("header", True).csv(str(tmp_path / "p"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "32k")
+    try:
+        back = tables.read_csv(spark, str(tmp_path / "p"))
+        assert back.count() == 2000 and back.rdd.getNumPartitions() > 2  # one file, many tasks
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
 def test_filters_reach_the_scan(spark, data):
@@ -69,7 +78,7 @@ def test_records_and_yearly_rasters(spark, tmp_path):
     assert back.columns == ["year", "mapcode", "biomass"] and back.count() == 8
     agb = sinks.raster_agb(back)
     assert {tuple(r) for r in agb.filter("year = 1").collect()} == {(1, 1, 1.0), (1, 2, 4.0), (1, 4, 4.0)}
-    files = raster.write_yearly(agb, str(tmp_path), raster.Meta(2, 2, "float32"))
+    files = sorted(raster.write_yearly(agb, str(tmp_path), raster.Meta(2, 2, "float32")))
     assert len(files) == 2 and {r.mapcode: r.value for r in raster.read_pixels(spark, files[0]).collect()} == {1: 1.0, 2: 4.0, 4: 4.0}
     codes = sinks.raster_mapcodes(spark.range(1, 5).withColumnRenamed("id", "mapcode"), back)
     assert {tuple(r) for r in codes.collect()} == {(1, 1), (2, 2), (3, 0), (4, 4)}

@@ -138,3 +138,35 @@ def splots(cohorts: DataFrame) -> DataFrame:
         .join(list_ids(sums, "species_symbol_map", "species_id"), "species_symbol_map")
         .join(eco_species_ids(sums), ["eco", "species_symbol_map"])
     )
+
+
+#: The order in which measurements are listed.
+LISTED = ["measdate", *PLOT_KEY, "age_calc", "species_symbol_map"]
+
+
+def in_listed_order(df: DataFrame, keys: Sequence[str] = tuple(LISTED)) -> DataFrame:
+    """Rows in the total order of measurements, for output; nothing inside relies on it."""
+    return df.orderBy(*(k for k in keys if k in df.columns))
+
+
+def dates_as_text(df: DataFrame, columns: Sequence[str] = ("measdate", "start_measdate")) -> DataFrame:
+    """Dates written as yyyy-MM-dd text, as text-only stores need them."""
+    return df.withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in columns if c in df.columns})
+
+
+def extents(splots: DataFrame) -> DataFrame:
+    """One row: (n_plots, n_species, n_ecos, max_age, first_year, last_year)."""
+    return splots.agg(
+        F.max("plot_id").alias("n_plots"), F.max("species_id").alias("n_species"), F.max("eco_id").alias("n_ecos"),
+        F.max("age_calc").alias("max_age"), F.min("sim_year").alias("first_year"), F.max("sim_year").alias("last_year"),
+    )
+
+
+def sample_sites(sites: DataFrame, share: float, seed: int, key: str = "site") -> DataFrame:
+    """A share of the sites without replacement, exact to one site: those with the lowest hashes of their key.
+
+    The same sites come out for any partitioning. It is a feature of its own; no other operator samples.
+    """
+    hashed = sites.withColumn("_h", F.xxhash64(F.lit(seed), key))
+    n = round(share * sites.count())
+    return hashed.orderBy("_h", key).limit(n).drop("_h")

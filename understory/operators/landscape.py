@@ -37,6 +37,6 @@ class Landscape:
         named = of_pair.select("pair", "plt_cn", F.col("raster_ecocode").alias("ecocode")).distinct().join(community, F.col("pair") == F.col("site")).drop("site", "pair")
         return self.pixels.join(named, ["plt_cn", "ecocode"]).select(F.col("mapcode").cast("long").alias("site"), "eco", "cohorts").repartition("site")
 
-    def simulate(self, eco_species: DataFrame, eco_shade: DataFrame, years: Sequence[int], seed: int, sem: Semantics = Semantics()) -> DataFrame:
+    def simulate(self, eco_species: DataFrame, eco_shade: DataFrame, years: Sequence[int], seed: int, sem: Semantics = Semantics(), sites: DataFrame | None = None) -> DataFrame:
         """Records (year, mapcode, eco, species, seq, age, biomass) of every live cohort of every pixel and year."""
-        return run(self.sites(sem), [parameter_table(self.params(eco_species, eco_shade))], years, seed, sem).drop("candidate")
+        return run(self.sites(sem) if sites is None else sites, [parameter_table(self.params(eco_species, eco_shade))], years, seed, sem).drop("candidate")

@@ -7,6 +7,8 @@ The file must be readable by every executor.
 
 from __future__ import annotations
 
+import itertools
+import json
 import sqlite3
 from collections.abc import Iterator, Sequence
 
@@ -30,6 +32,9 @@ class SQLiteSource(DataSource):
     def schema(self) -> str:
         with sqlite3.connect(self.options["path"]) as db:
             cols = db.execute(f"PRAGMA table_info({_quoted(self.options['table'])})").fetchall()
+        if wanted := self.options.get("columns"):
+            named = {c[1]: c for c in cols}
+            cols = [named[x] for x in json.loads(wanted)]
         return ", ".join(f"`{c[1]}` {_TYPES.get((c[2] or 'TEXT').split('(')[0].upper(), 'string')}" for c in cols)
 
     def reader(self, schema: StructType) -> DataSourceReader:
@@ -39,10 +44,37 @@ class SQLiteSource(DataSource):
         return _Writer(self.options, schema, overwrite)
 
 
-def read_sqlite(spark: SparkSession, path: str, table: str, partitions: int = 8) -> DataFrame:
+def read_sqlite(spark: SparkSession, path: str, table: str, partitions: int = 8, columns: Sequence[str] = ()) -> DataFrame:
+    """A table, or the named ``columns`` of it: Python sources aren't told which columns a query needs."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(SQLiteSource)
-    return spark.read.format("sqlite").option("path", path).option("table", table).option("partitions", partitions).load()
+    reader = spark.read.format("sqlite").option("path", path).option("table", table).option("partitions", partitions)
+    return (reader.option("columns", json.dumps(list(columns))) if columns else reader).load()
+
+
+def _types(schema: StructType) -> list[tuple[str, str]]:
+    return [(f.name, {"bigint": "INTEGER", "int": "INTEGER", "double": "REAL"}.get(f.dataType.simpleString(), "TEXT")) for f in schema.fields]
+
+
+def _create(db: sqlite3.Connection, table: str, columns: list[tuple[str, str]], overwrite: bool) -> str:
+    """Make the table where it isn't there; the statement that inserts a row."""
+    if overwrite:
+        db.execute(f"DROP TABLE IF EXISTS {_quoted(table)}")
+    db.execute(f"CREATE TABLE IF NOT EXISTS {_quoted(table)} ({', '.join(f'{_quoted(c)} {t}' for c, t in columns)})")
+    return f"INSERT INTO {_quoted(table)} VALUES ({', '.join('?' * len(columns))})"
+
+
+def _plain(row: Sequence) -> tuple:
+    return tuple(x if isinstance(x, int | float | str | type(None)) else str(x) for x in row)
+
+
+def write_sqlite(df: DataFrame, path: str, table: str, overwrite: bool = True, batch: int = 10_000) -> None:
+    """A table into one SQLite file, which has one writer: partitions come one after the other and are never held together."""
+    with sqlite3.connect(path) as db:
+        insert = _create(db, table, _types(df.schema), overwrite)
+        rows = map(_plain, df.toLocalIterator(prefetchPartitions=True))
+        while part := list(itertools.islice(rows, batch)):
+            db.executemany(insert, part)
 
 
 class _Range(InputPartition):
@@ -86,30 +118,31 @@ class _Reader(DataSourceReader):
 
 
 class _Writer(DataSourceWriter):
-    """Writes a small result table from one place: rows travel as commit messages."""
+    """Writes a small result table: rows travel as commit messages, ``maxRows`` of them at most. ``write_sqlite`` has no limit."""
 
     def __init__(self, options: dict, schema: StructType, overwrite: bool) -> None:
         self.path, self.table, self.overwrite = options["path"], options["table"], overwrite
         self.limit = int(options.get("maxRows", "1000000"))
-        self.columns = [(f.name, {"bigint": "INTEGER", "int": "INTEGER", "double": "REAL"}.get(f.dataType.simpleString(), "TEXT")) for f in schema.fields]
+        self.columns = _types(schema)
+
+    def _check(self, n: int) -> None:
+        if n > self.limit:
+            raise ValueError(f"more than {self.limit} rows for a SQLite table; use write_sqlite")
 
     def write(self, iterator: Iterator) -> WriterCommitMessage:
-        rows = []
-        for r in iterator:
-            if len(rows) >= self.limit:
-                raise ValueError("too many rows for a SQLite table; write Parquet instead")
-            rows.append(tuple(x if isinstance(x, int | float | str | type(None)) else str(x) for x in r))
         message = WriterCommitMessage()
-        message.rows = rows
+        message.rows = []
+        for r in iterator:
+            message.rows.append(_plain(r))
+            self._check(len(message.rows))
         return message
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
-        rows = [r for m in messages if m for r in m.rows]
+        self._check(sum(len(m.rows) for m in messages if m))
         with sqlite3.connect(self.path) as db:
-            if self.overwrite:
-                db.execute(f"DROP TABLE IF EXISTS {_quoted(self.table)}")
-            db.execute(f"CREATE TABLE IF NOT EXISTS {_quoted(self.table)} ({', '.join(f'{_quoted(c)} {t}' for c, t in self.columns)})")
-            db.executemany(f"INSERT INTO {_quoted(self.table)} VALUES ({', '.join('?' * len(self.columns))})", rows)
+            insert = _create(db, self.table, self.columns, self.overwrite)
+            for m in messages:
+                db.executemany(insert, m.rows if m else [])
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
         pass

@@ -12,9 +12,12 @@ from understory.operators.cohorts import in_ecos, undisturbed
 from understory.schemas import COHORTS
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType = COHORTS) -> DataFrame:
-    """A CSV with header under a fixed schema; malformed values become null, quoted fields may hold line breaks."""
-    return spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+def read_csv(spark: SparkSession, path: str, schema: StructType = COHORTS, line_breaks: bool = False) -> DataFrame:
+    """A CSV with header under a fixed schema; malformed values become null.
+
+    Files are split among tasks. With ``line_breaks`` quoted fields may hold line breaks, and a file is one task.
+    """
+    return spark.read.schema(schema).option("header", True).option("multiLine", line_breaks).option("escape", '"').csv(path)
 
 
 def read_cohorts(spark: SparkSession, path: str, ecos: Sequence[str] = (), only_undisturbed: bool = False) -> DataFrame:
