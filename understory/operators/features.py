@@ -68,52 +68,81 @@ def cells(events: DataFrame, types: list[str]) -> DataFrame:
 
 
 def _dense(types: list[str]):
-    """Scatter sparse vectors into one column per type and measure; batches stay small, as they are wide."""
+    """Scatter the cells of entities, which come one after the other, into one column per type and measure."""
     names = [f"{m}_{t.replace('.', '_')}" for t in types for m in ("n", "total", "days")]
+    T = len(types)
+
+    def rows(t: pa.Table, begin: np.ndarray) -> pa.RecordBatch:
+        """The rows of the entities that begin at ``begin``; cells of one entity and type merge by sum, sum and min of days."""
+        m = len(begin)
+        row = np.repeat(np.arange(m), np.diff(np.append(begin, t.num_rows)))
+        ix, n, total = (t[c].to_numpy() for c in ("type_ix", "n", "total"))
+        days = t["days"].combine_chunks()
+        known, days = np.asarray(days.is_valid()), days.fill_null(0).to_numpy()
+        listed = ix >= 0
+        at = ix[listed].astype(np.int64) * m + row[listed]
+        count = np.bincount(at, n[listed], T * m).astype(np.int32).reshape(T, m)
+        amount = np.bincount(at, total[listed], T * m).reshape(T, m)
+        least = np.full(T * m, np.iinfo(np.int32).max, np.int32)
+        np.minimum.at(least, at[known[listed]], days[listed][known[listed]])
+        least = least.reshape(T, m)
+        unseen = least == np.iinfo(np.int32).max
+        other: list[dict] = [{} for _ in range(m)]
+        for i in np.flatnonzero(~listed).tolist():
+            k, had = t["kind"][i].as_py(), other[row[i]]
+            c, a, d = had.get(k, (0, 0.0, None))
+            d = d if not known[i] else int(days[i]) if d is None else min(d, int(days[i]))
+            had[k] = (c + int(n[i]), a + float(total[i]), d)
+        lists = [[{"kind": k, "n": v[0], "total": v[1], "days": v[2]} for k, v in sorted(o.items(), key=lambda x: (x[0] is not None, x[0] or ""))] for o in other]
+        cols = [c for i in range(T) for c in (pa.array(count[i]), pa.array(amount[i]), pa.array(least[i], mask=unseen[i]))]
+        kinds = pa.list_(pa.struct([("kind", pa.string()), ("n", pa.int32()), ("total", pa.float64()), ("days", pa.int32())]))
+        return pa.RecordBatch.from_arrays([t["entity"].combine_chunks().take(pa.array(begin)), *cols, pa.array(lists, kinds)], ["plt_cn", *names, "other"])
+
+    def begins(t: pa.Table) -> np.ndarray:
+        e = t["entity"].combine_chunks()
+        x, gone = e.fill_null(0).to_numpy(), np.asarray(e.is_null())
+        return np.flatnonzero(np.append(True, (x[1:] != x[:-1]) | (gone[1:] != gone[:-1])))
+
+    def slices(t: pa.Table, begin: np.ndarray) -> Iterator[pa.RecordBatch]:
+        ends = np.append(begin[1:], t.num_rows)
+        for k in range(0, len(begin), SLICE):
+            lo, hi = begin[k], ends[min(k + SLICE, len(begin)) - 1]
+            yield rows(t.slice(lo, hi - lo), begin[k : k + SLICE] - lo)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, SLICE):
-                b = whole.slice(at, SLICE)
-                vectors = b.column("v")
-                cell, m = vectors.flatten(), b.num_rows
-                row = np.repeat(np.arange(m), vectors.value_lengths().fill_null(0).to_numpy())
-                ix = cell.field("type_ix").to_numpy()
-                n, total, days = np.zeros((len(types), m), np.int32), np.zeros((len(types), m)), np.zeros((len(types), m), np.int32)
-                unseen = np.ones((len(types), m), bool)
-                n[ix, row] = cell.field("n").to_numpy()
-                total[ix, row] = cell.field("total").to_numpy()
-                when = cell.field("days")
-                days[ix, row] = when.fill_null(0).to_numpy()
-                unseen[ix, row] = np.asarray(when.is_null())
-                cols = [c for i in range(len(types)) for c in (pa.array(n[i]), pa.array(total[i]), pa.array(days[i], mask=unseen[i]))]
-                yield pa.RecordBatch.from_arrays([b.column("plt_cn"), *cols, b.column("other")], ["plt_cn", *names, "other"])
+        held = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b])
+            t = t if held is None else pa.concat_tables([held, t])
+            begin = begins(t)
+            yield from slices(t.slice(0, begin[-1]), begin[:-1])  # the last entity may go on in the next batch
+            held = t.slice(begin[-1])
+        if held is not None:
+            yield from slices(held, np.array([0]))
 
     schema = ", ".join(["plt_cn long", *(f"`{x}` {'double' if x[0] == 't' else 'int'}" for x in names), "other array<struct<kind:string,n:int,total:double,days:int>>"])
     return run, schema
 
 
-def expand(merged: DataFrame, types: list[str], as_of) -> DataFrame:
+def expand(parts: DataFrame, types: list[str], as_of) -> DataFrame:
     """One row per entity: n_<type>, total_<type>, days_<type> for every listed type, and ``other``.
 
     ``other`` holds the cells of kinds that aren't listed, so that no row is lost. Counts and totals of a
-    type the entity never had are 0, its days are null. A sparse vector has at most one cell per kind.
+    type the entity never had are 0, its days are null. ``parts`` may hold several cells of an entity and kind.
     """
     days = F.datediff(F.lit(as_of).cast("date"), "latest").alias("days")
-    measures = [F.col("n").cast("int").alias("n"), F.coalesce("total", F.lit(0.0)).alias("total"), days]
-    vectors = merged.groupBy(F.col("entity").cast("long").alias("plt_cn")).agg(
-        F.collect_list(F.when(F.col("type_ix") >= 0, F.struct("type_ix", *measures))).alias("v"),
-        F.sort_array(F.collect_list(F.when(F.col("type_ix") < 0, F.struct("kind", *measures)))).alias("other"),
-    )
-    return vectors.mapInArrow(*_dense(types))
+    cells = parts.select(F.col("entity").cast("long").alias("entity"), "type_ix", "kind", "n", F.coalesce("total", F.lit(0.0)).alias("total"), days)
+    return cells.repartition("entity").sortWithinPartitions("entity").mapInArrow(*_dense(types))
 
 
 #: Parts of an entity that are reduced apart from each other, so that no task meets a large one whole.
 PARTS = 16
 
 
-def cohort_cells(cohorts: DataFrame, types: list[str]) -> DataFrame:
-    """``cells`` of ``cohort_events``, with rows that move once and cells that move once.
+def cohort_parts(cohorts: DataFrame, types: list[str]) -> DataFrame:
+    """Cells of parts of the entities, to be merged: the rows move once.
 
     Kinds are encoded where rows are read. Rows meet by entity and part of their cohort_id: there repeated deliveries
     (same cohort_id of the same entity) drop out and every part is reduced to its cells; cells then meet by entity.
@@ -128,7 +157,12 @@ def cohort_cells(cohorts: DataFrame, types: list[str]) -> DataFrame:
     coded = encode(rows, types).select("entity", part.alias("_part"), "cohort_id", "_lone", "type_ix", F.when(F.col("type_ix") < 0, F.col("kind")).alias("kind"), "total", "day")
     once = coded.repartition("entity", "_part").dropDuplicates(["entity", "_part", "cohort_id", "_lone"])
     parts = once.groupBy("entity", "_part", "type_ix", "kind").agg(F.count("*").alias("n"), F.sum("total").alias("total"), F.max("day").alias("latest"))
-    return merge_cells(parts.drop("_part").repartition("entity"))
+    return parts.drop("_part")
+
+
+def cohort_cells(cohorts: DataFrame, types: list[str]) -> DataFrame:
+    """``cells`` of ``cohort_events``, with rows that move once and cells that move once."""
+    return merge_cells(cohort_parts(cohorts, types))
 
 
 def newest_day(cohorts: DataFrame):
@@ -138,7 +172,7 @@ def newest_day(cohorts: DataFrame):
 
 def feature_table(cohorts: DataFrame, species: DataFrame) -> DataFrame:
     types = type_index(cohorts.sparkSession, species)
-    return expand(cohort_cells(cohorts, types), types, newest_day(cohorts))
+    return expand(cohort_parts(cohorts, types), types, newest_day(cohorts))
 
 
 def feature_cells(cohorts: DataFrame, species: DataFrame) -> DataFrame:
