@@ -7,7 +7,7 @@ import random
 
 import numpy as np
 import pytest
-from helpers import with_clashes
+from helpers import as_rows, with_clashes
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -332,6 +332,28 @@ def test_boundaries_depend_on_their_context_only():
             assert kept[0] == kept[1]
 
 
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLES)))
 def test_runs(spark, data, name):
     assert queries.QUERIES[name](spark, data).count() > 0
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_oracle(spark, duck, data, name):
+    df = queries.QUERIES[name](spark, data)
+    rel = duck.sql(queries.ORACLES[name])
+    assert as_rows(df.columns, df.collect()) == as_rows(rel.columns, rel.fetchall())
+
+
+def test_summaries_in_small_pieces(spark, data, monkeypatch):
+    """Partitions that are summarised and merged piece by piece keep the stated error."""
+    monkeypatch.setattr(quantiles, "BUILD_ROWS", 64)
+    monkeypatch.setattr(quantiles, "MERGE_TUPLES", 500)
+    df = spark.read.parquet(f"{data}/output_communities.parquet")
+    check_percentiles(quantiles.community_percentiles(df).collect(), exact_groups(df), quantiles.EPS)
+
+
+def test_the_error_of_combined_days_is_bounded():
+    """What stored days and the merges of combining spend is the permitted error."""
+    spent = lambda eps: eps / 2 + eps / 4 + eps / 4
+    later = 2 * (1 - quantiles.DAYS) * quantiles.EPS
+    assert spent(quantiles.DAYS * quantiles.EPS) + later / 4 + later / 4 <= quantiles.EPS * (1 + 1e-12)

@@ -180,3 +180,34 @@ def count_tokens(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n)], ["doc_id", "n_tokens"])
 
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long")
+
+
+def vocabulary_path(spark) -> str:
+    """The vocabulary file: the session's ``spark.understory.vocabulary``, else the usual place."""
+    return spark.conf.get("spark.understory.vocabulary", VOCABULARY)
+
+
+def round_trips(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
+    """(doc_id, same): whether the bytes of the ids of a text are those of the text."""
+    shipped = _Shipped(documents.sparkSession.sparkContext.broadcast(read_vocabulary(path)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = {i: w for w, i in shipped.value.items()}
+        for b in batches:
+            same = [b"".join(map(words.__getitem__, ids)) == (text or "").encode("utf-8") for ids, text in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same, pa.bool_())], ["doc_id", "same"])
+
+    return encode_with_text(documents, path).mapInArrow(run, "doc_id long, same boolean")
+
+
+def encode_with_text(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
+    """(doc_id, ids, text) of every row."""
+    shipped = _Shipped(documents.sparkSession.sparkContext.broadcast(read_vocabulary(path)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(shipped)
+        for b in batches:
+            ids = [encoder.encode(x.as_py()) for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32())), b.column(1)], ["doc_id", "ids", "text"])
+
+    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, text string")

@@ -116,7 +116,7 @@ def pack(sizes: DataFrame, capacities: Sequence[int] = CAPACITIES) -> DataFrame:
     """One row per piece of every item of ``sizes`` (doc_id, n_tokens) with its container."""
     rows = cut_table(pieces(sizes.select("doc_id", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens")), max(capacities)))
     counts = {r["size"]: r["n"] for r in rows.groupBy("size").agg(F.count("*").alias("n")).collect()}  # at most capacity + 1 rows
-    numbered = number_rows(rows, ["size"], order=["doc_id", "piece"])
+    numbered = number_rows(rows, ["size"], order=["doc_id", "piece"])  # the same plan for any partitioning
     plan = make_plan(counts, capacities)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,3 +135,12 @@ def pack(sizes: DataFrame, capacities: Sequence[int] = CAPACITIES) -> DataFrame:
             )
 
     return numbered.select("doc_id", "piece", "piece_start", "size", "key_no").mapInArrow(run, OUT)
+
+
+def checked(packed: DataFrame) -> DataFrame:
+    """(items, overfull, overlapping, split_small): one row of counts over ``pack``; all but the first are 0 where it is right."""
+    real = packed.filter("bin_id is not null")
+    bins = real.groupBy("bin_id").agg(F.sum("n_tokens").alias("used"), F.max("bin_capacity").alias("capacity"), F.max(F.col("bin_offset") + F.col("n_tokens")).alias("reach"), F.countDistinct("bin_offset").alias("places"), F.count("*").alias("n"))
+    bad = bins.agg(F.count(F.when(F.col("used") > F.col("capacity"), 1)).alias("overfull"), F.count(F.when((F.col("reach") != F.col("used")) | (F.col("places") != F.col("n")), 1)).alias("overlapping"))
+    whole = packed.agg(F.count(F.when(F.col("piece") == 0, 1)).alias("items"), F.count(F.when((F.col("piece") == 1) & (F.col("piece_start") != F.lit(max(CAPACITIES))), 1)).alias("split_small"))
+    return whole.crossJoin(bad)  # one row each
