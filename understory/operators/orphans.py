@@ -17,11 +17,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from understory.operators.absent import is_absent, recurring_codes
-from understory.session import cut_table, exists, load_text, save_text
+from understory.session import cut_table, exists, load_text, lookup, save_text
 
 #: Rows without a day are judged against the list as it stands last.
 NO_DAY = "9999-12-31"
-SALTS = 16
 #: Which table and field refers to which list.
 USES = (
     ("data_eco_cohorts", "species_symbol_map", "species"),
@@ -150,11 +149,7 @@ def orphan_rows(refs: DataFrame, existence: DataFrame) -> DataFrame:
     """
     keys = ["table_name", "field", "ref", "day"]
     days = cut_table(orphan_days(refs, existence).select(*keys))
-    if days.count() <= BROADCAST_DAYS:
-        hit = refs.join(F.broadcast(days), keys, "left_semi")
-    else:
-        salted = days.withColumn("_salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
-        hit = refs.withColumn("_salt", F.pmod(F.xxhash64("row_id"), F.lit(SALTS)).cast("int")).join(salted, [*keys, "_salt"], "left_semi")
+    hit = lookup(refs, days, keys, "row_id", "left_semi", BROADCAST_DAYS)
     return hit.select("table_name", "field", "row_id").distinct()
 
 

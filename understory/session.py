@@ -120,6 +120,15 @@ def if_small(df: DataFrame, limit: int | None = None) -> DataFrame:
     return F.broadcast(df) if df.count() <= (BROADCAST_ROWS if limit is None else limit) else df
 
 
+def lookup(left: DataFrame, right: DataFrame, keys: list[str], spread: str, how: str = "inner", limit: int | None = None, salts: int = 16) -> DataFrame:
+    """Join rows to a materialised table by ``keys``. It is broadcast if it is counted to be small; else both sides are
+    shuffled by the keys and a salt of ``spread``, a column of ``left``, so that a key of very many rows meets many tasks."""
+    if right.count() <= (BROADCAST_ROWS if limit is None else limit):
+        return left.join(F.broadcast(right), keys, how)
+    salted = right.withColumn("_salt", F.explode(F.array(*map(F.lit, range(salts)))))
+    return left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).join(salted, [*keys, "_salt"], how).drop("_salt")
+
+
 def bounded_rows(df: DataFrame, limit: int, what: str) -> list:
     """Rows of a table whose size must be bounded; more than ``limit`` rows is an error, never a cut."""
     rows = df.limit(limit + 1).collect()
