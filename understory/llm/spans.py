@@ -41,8 +41,8 @@ SPAN = 200
 ROUNDS = (("runs", 4), ("pairs", 6), ("pairs", 8), ("pairs", 10), ("pairs", 12), ("pairs", 14))
 #: Classes of a core that are compared directly, character by character; more are compared by hashes.
 FEW = 16
-#: Characters of a batch that are worked on together.
-SLICE_CHARS = 1_000_000
+#: Characters of a batch that are worked on together: their arrays stay in the cache of a core.
+SLICE_CHARS = 50_000
 _U = np.uint64
 _BASES = (_U(0x9E3779B97F4A7C15), _U(0xD1342543DE82EF95))
 _SEEDS = (_U(0x243F6A8885A308D3), _U(0x13198A2E03707344))
@@ -68,35 +68,64 @@ if REACH <= ROUNDS[-1][1]:
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64 bits."""
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
+    y = x >> _U(30)
+    y ^= x
+    y *= _U(0xBF58476D1CE4E5B9)
+    y ^= y >> _U(27)
+    y *= _U(0x94D049BB133111EB)
+    y ^= y >> _U(31)
+    return y
 
 
 def recompress(codes: np.ndarray, text: np.ndarray, rounds=ROUNDS) -> np.ndarray:
-    """First positions of the symbols of the last round; symbols never cross from one text to the next."""
-    name, at = mix(codes.astype(_U) + _U(1)), np.arange(len(codes))
+    """First positions of the symbols of the last round; symbols never cross from one text to the next.
+
+    Names are scrambled, so every round takes another bit of them for left and right. Only symbols that merge are named anew.
+    """
+    n = len(codes)
+    name, at, size = mix(codes.astype(_U) + _U(1)), np.arange(n), np.ones(n, np.int16)
+    opens = np.ones(n, bool)
+    np.not_equal(text[1:], text[:-1], out=opens[1:])
     for r, (kind, cap) in enumerate(rounds):
-        size = np.diff(at, append=len(codes))
-        same_text = text[at[1:]] == text[at[:-1]]
-        if kind == "runs":
-            begin = np.append(True, ~((name[1:] == name[:-1]) & same_text))
-            run = np.cumsum(begin) - 1
-            total = np.bincount(run, weights=size).astype(np.int64)
-            whole = total[run] <= cap
-            keep = begin | ~whole
-            count = np.bincount(run)[run]
-            name = np.where(whole & (count > 1), mix(name + mix(count.astype(_U) + _U(1 << 32))), name)
+        keep = np.ones(len(name), bool)
+        if kind == "runs":  # equal names are of equal size
+            i = np.flatnonzero((name[1:] == name[:-1]) & ~opens[1:])
+            fresh = np.flatnonzero(np.diff(i, prepend=-2) > 1)
+            first, count = i[fresh], np.diff(np.append(fresh, len(i))) + 1
+            whole = count * size[first] <= cap
+            first, count = first[whole], count[whole]
+            name[first] = mix(name[first] + mix(count.astype(_U) + _U(1 << 32)))
+            size[first] *= count.astype(np.int16)
+            rest = count - 1
+            keep[np.repeat(first + 1 - (np.cumsum(rest) - rest), rest) + np.arange(rest.sum())] = False
         else:
-            left = (mix(name + _U(r)) >> _U(63)).astype(bool)
-            pair = np.append(left[:-1] & ~left[1:] & same_text & (size[:-1] + size[1:] <= cap), False)
-            keep = np.append(True, ~pair[:-1])
-            second = np.append(name[1:], _U(0))
-            name = np.where(pair, mix(name * _U(3) + mix(second + _U(r + 1))), name)
-        name, at = name[keep], at[keep]
+            left = (name >> _U(63 - r) & _U(1)).astype(bool)
+            i = np.flatnonzero(left[:-1] & ~left[1:] & ~opens[1:] & (size[:-1] + size[1:] <= cap))
+            name[i] = mix(name[i] * _U(3) + mix(name[i + 1] + _U(r + 1)))
+            size[i] += size[i + 1]
+            keep[i + 1] = False
+        name, at, size, opens = name[keep], at[keep], size[keep], opens[keep]
     return at
 
 
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a base and of its inverse up to n, remembered for slices of ordinary size."""
+    have = _POWERS.get(int(base))
+    if have is None or len(have[0]) <= n:
+        both = []
+        for x in (int(base), pow(int(base), -1, 1 << 64)):
+            p = np.full(max(n, SLICE_CHARS) + 1, x, _U)
+            p[0] = 1
+            both.append(np.cumprod(p, dtype=_U))
+        have = (both[0], both[1])
+        if n <= 2 * SLICE_CHARS:
+            _POWERS[int(base)] = have
+    return have
+
+
 class Hashes:
     """Hashes of any substrings of a batch from running sums of powers, two of 64 bits."""
 
@@ -104,15 +133,12 @@ class Hashes:
         n = len(codes)
         self.sums, self.back = [], []
         for base, seed in zip(_BASES, _SEEDS, strict=True):
-            power = np.full(n + 1, base, _U)
-            power[0] = 1
-            power = np.cumprod(power, dtype=_U)
-            inverse = _U(pow(int(base), -1, 1 << 64))
-            back = np.full(n + 1, inverse, _U)
-            back[0] = 1
-            self.back.append(np.cumprod(back, dtype=_U))
-            value = mix(codes.astype(_U) + seed) * power[:-1]
-            self.sums.append(np.append(_U(0), np.cumsum(value, dtype=_U)))
+            power, back = _powers(base, n)
+            self.back.append(back)
+            sums = np.empty(n + 1, _U)
+            sums[0] = 0
+            np.cumsum(mix(codes.astype(_U) + seed) * power[:n], out=sums[1:])
+            self.sums.append(sums)
 
     def of(self, lo: np.ndarray, hi: np.ndarray, which: int) -> np.ndarray:
         s = self.sums[which]
