@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from understory.functions.dates import parse_day
 from understory.operators.absent import is_absent, recurring_codes
 from understory.schemas import COHORTS, PLOT_KEY
-from understory.session import cut
+from understory.session import cut, cut_table, if_small, lookup
 
 #: Possible ages, both included.
 AGES = (1, 1500)
@@ -87,20 +87,26 @@ def initial_cohorts(df: DataFrame) -> DataFrame:
     return df.filter("sim_year = 0")
 
 
-def dense_ids(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
-    """(keys, name): 1-based ids in the order of the keys.
+def dense_ids(df: DataFrame, keys: Sequence[str], name: str, unique: bool = False) -> DataFrame:
+    """(keys, name): 1-based ids in the order of the keys; a table of ``unique`` keys keeps its other columns.
 
     Distinct keys are range-partitioned, numbered within the partitions and shifted by the number of keys
     before: numbering needs no single-task window over the keys.
     """
-    distinct = df.select(*keys).distinct()
+    distinct = df if unique else df.select(*keys).distinct()
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     at = F.monotonically_increasing_id()  # the partition, and the place within it in the low 33 bits
-    parts = cut(distinct.repartitionByRange(n, *keys).sortWithinPartitions(*keys)).select(*keys, F.shiftright(at, 33).alias("_pid"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("_no"))
+    parts = cut(distinct.repartitionByRange(n, *keys).sortWithinPartitions(*keys)).select("*", F.shiftright(at, 33).alias("_pid"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("_no"))
     counts = parts.groupBy("_pid").agg(F.count("*").alias("_n"))
     before = counts.select("_pid", F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
     # one row per partition is all that is broadcast
-    return parts.join(F.broadcast(before), "_pid").select(*keys, (F.col("_off") + F.col("_no") + 1).cast("long").alias(name))
+    return parts.join(F.broadcast(before), "_pid").select(*distinct.columns, (F.col("_off") + F.col("_no") + 1).cast("long").alias(name))
+
+
+def numbered_plots(sums: DataFrame, keys: Sequence[str], name: str = "plot_id") -> DataFrame:
+    """(keys, start_measdate, name), written: every plot with its id and first measurement day, found on the plots alone."""
+    plots = dense_ids(sums.groupBy(*keys).agg(F.min("measdate").alias("_first")), keys, name, unique=True)
+    return cut_table(plots.withColumn("start_measdate", F.min("_first").over(Window.partitionBy(*PLOT_KEY))).drop("_first"))
 
 
 def list_ids(df: DataFrame, column: str, name: str) -> DataFrame:
@@ -130,13 +136,14 @@ def splots(cohorts: DataFrame) -> DataFrame:
 
     The sums are written once; all dictionaries are read from them, not from the delivered rows.
     """
-    sums = cut(group_sum(cohorts))
-    years = with_start(sums).withColumn("sim_year", sim_year()).withColumn("year_deficit", year_deficit())
-    return (
-        years.join(dense_ids(sums, [*PLOT_KEY, "eco"], "plot_id"), [*PLOT_KEY, "eco"])
-        .join(list_ids(sums, "eco", "eco_id"), "eco")
-        .join(list_ids(sums, "species_symbol_map", "species_id"), "species_symbol_map")
-        .join(eco_species_ids(sums), ["eco", "species_symbol_map"])
+    sums = cut_table(group_sum(cohorts))
+    pairs = sums.select("eco", "species_symbol_map").distinct()
+    # three ids per (ecoregion, species): at most the product of two reference lists
+    named = cut_table(eco_species_ids(pairs).join(list_ids(pairs, "eco", "eco_id"), "eco").join(list_ids(pairs, "species_symbol_map", "species_id"), "species_symbol_map"))
+    placed = lookup(sums, numbered_plots(sums, [*PLOT_KEY, "eco"]), [*PLOT_KEY, "eco"], "age_calc")
+    years = placed.withColumn("sim_year", sim_year()).withColumn("year_deficit", year_deficit())
+    return years.join(if_small(named), ["eco", "species_symbol_map"]).select(
+        *MEASUREMENT, "count", "agb_sum", "start_measdate", "sim_year", "year_deficit", "plot_id", "eco_id", "species_id", "eco_species_id"
     )
 
 

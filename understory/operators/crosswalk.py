@@ -13,9 +13,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from understory.operators.cohorts import dense_ids, list_ids
+from understory.operators.cohorts import list_ids, numbered_plots
 from understory.schemas import PLOT_KEY
-from understory.session import cut, cut_table, if_small
+from understory.session import cut_table, if_small, lookup
 
 #: What the resolution of a cohort depends on.
 KIND = ["eco", "species_symbol", "species_symbol_map", "sftwd_hrdwd"]
@@ -94,15 +94,11 @@ class Crosswalk:
 def effective_splots(resolved: DataFrame) -> DataFrame:
     """Normalised measurements per pixel ecoregion with effective ids."""
     keys = ["plt_cn", *PLOT_KEY, "raster_ecocode", "raster_eco", "effective_eco", "effective_ecocode", "effective_species", "measdate", "age_calc"]
-    sums = cut(resolved.groupBy(*keys).agg(F.count("*").alias("count"), F.sum("agb").alias("agb_sum")))
-    first = F.min("measdate").over(Window.partitionBy(*PLOT_KEY))
-    return (
-        sums.withColumn("start_measdate", first)
-        .join(dense_ids(sums, [*PLOT_KEY, "raster_ecocode"], "plot_id"), [*PLOT_KEY, "raster_ecocode"])
-        .join(list_ids(sums, "raster_eco", "eco_id"), "raster_eco")
-        .join(list_ids(sums, "effective_eco", "effective_eco_id"), "effective_eco")
-        .join(list_ids(sums, "effective_species", "species_id"), "effective_species")
-    )
+    sums = cut_table(resolved.groupBy(*keys).agg(F.count("*").alias("count"), F.sum("agb").alias("agb_sum")))
+    placed = lookup(sums, numbered_plots(sums, [*PLOT_KEY, "raster_ecocode"]), [*PLOT_KEY, "raster_ecocode"], "age_calc")
+    for column, name in (("raster_eco", "eco_id"), ("effective_eco", "effective_eco_id"), ("effective_species", "species_id")):
+        placed = placed.join(if_small(cut_table(list_ids(sums, column, name))), column)
+    return placed
 
 
 def pixel_cohorts(pixels: DataFrame, splots: DataFrame) -> DataFrame:
