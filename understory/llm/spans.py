@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from understory.session import cut_table
+from understory.session import BROADCAST_ROWS, cut_table, lookup
 
 SPAN = 200
 #: The rounds: what is named and how long a name may get.
@@ -324,13 +324,14 @@ def shared_spans(documents: DataFrame, span: int = SPAN) -> DataFrame:
     """(doc_id, span_start, span_end): the longest unbroken stretches of characters shared with another document."""
     found = cut_table(anchors(documents, span))
     alike = ["core", "full"]
-    classes = found.groupBy(*alike).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-    cores = classes.groupBy("core").agg(
-        F.min("lo").alias("_lo"), F.max("hi").alias("_hi"), F.max((F.col("lo") == F.col("hi")).cast("int")).alias("open"), F.count("*").alias("kinds")
-    )
-    shared = cores.filter("_lo < _hi").select("core", (F.col("open") == 1).alias("compare"), (F.col("kinds") <= FEW).alias("few"))
-    status = classes.join(shared, "core").select(*alike, "lo", "hi", (F.col("lo") < F.col("hi")).alias("whole"), "compare", "few")
-    marked = cut_table(found.join(status, alike).select(*alike, "doc_id", "pos", "right", "lo", "hi", "whole", "compare", "few"))
+    # most boundaries stand in one document only: they are dropped first, by one number pair per core
+    twice = cut_table(found.groupBy("core").agg(F.min("doc_id").alias("_lo"), F.max("doc_id").alias("_hi")).filter("_lo < _hi").select("core"))
+    some = cut_table(lookup(found, twice, ["core"], "doc_id", "left_semi"))
+    classes = some.groupBy(*alike).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+    cores = classes.groupBy("core").agg(F.max((F.col("lo") == F.col("hi")).cast("int")).alias("open"), F.count("*").alias("kinds"))
+    shared = cores.select("core", (F.col("open") == 1).alias("compare"), (F.col("kinds") <= FEW).alias("few"))
+    status = cut_table(classes.join(shared, "core").select(*alike, "lo", "hi", (F.col("lo") < F.col("hi")).alias("whole"), "compare", "few"))
+    marked = cut_table(lookup(some, status, alike, "doc_id").select(*alike, "doc_id", "pos", "right", "lo", "hi", "whole", "compare", "few"))
     certain = marked.filter("whole").select("doc_id", F.greatest(F.lit(0), F.col("pos") + (CONTEXT - span)).alias("a"), (F.col("pos") + F.col("right")).alias("z"))
 
     # the texts of all documents with a boundary to compare, joined once. Cores of few classes: the first document of
@@ -338,17 +339,19 @@ def shared_spans(documents: DataFrame, span: int = SPAN) -> DataFrame:
     as_class = F.when(F.expr("few and doc_id = lo"), F.struct(*alike, "lo", "hi", "pos"))
     as_place = F.when(F.expr("not few and (not whole or doc_id = lo or doc_id = hi)"), F.struct("pos", (~F.col("whole")).cast("int").alias("asked")))
     places = marked.filter("compare").groupBy("doc_id").agg(F.collect_list(as_class).alias("classes"), F.collect_list(as_place).alias("places"))
+    places = cut_table(places.filter("size(classes) + size(places) > 0"))
     long_enough = documents.filter(F.char_length("text") >= span).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    near = cut_table(places.filter("size(classes) + size(places) > 0").join(long_enough, "doc_id"))
+    entries = places.agg(F.sum(F.size("classes") + F.size("places"))).first()[0] or 0
+    near = cut_table(long_enough.join(F.broadcast(places) if entries <= BROADCAST_ROWS else places, "doc_id"))  # texts move only beyond that
 
     around = surroundings(near.select("doc_id", "text", "classes"), span)
     groups = around.groupBy("core").agg(F.collect_list(F.struct("full", "lo", "hi", "before", "after")).alias("of"))
     lone = marked.filter("compare and few and not whole").select(*alike, "doc_id", "pos")
-    by_class = lone.join(compare_classes(groups, span), alike).select("doc_id", (F.col("pos") + F.col("a")).alias("a"), (F.col("pos") + F.col("z")).alias("z"))
+    by_class = lookup(lone, cut_table(compare_classes(groups, span)), alike, "doc_id").select("doc_id", (F.col("pos") + F.col("a")).alias("a"), (F.col("pos") + F.col("z")).alias("z"))
 
     looked = cut_table(stretches(near.filter("size(places) > 0").select("doc_id", "text", "places"), span))
-    same = looked.groupBy("hash1", "hash2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("hash1", "hash2")
-    by_stretch = looked.filter("asked").join(same, ["hash1", "hash2"]).select("doc_id", F.col("start").alias("a"), (F.col("start") + span).alias("z"))
+    same = cut_table(looked.groupBy("hash1", "hash2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("hash1", "hash2"))
+    by_stretch = lookup(looked.filter("asked"), same, ["hash1", "hash2"], "doc_id").select("doc_id", F.col("start").alias("a"), (F.col("start") + span).alias("z"))
     return join_spans(certain.unionByName(by_class).unionByName(by_stretch))
 
 
