@@ -82,7 +82,7 @@ def _dense(types: list[str]):
         listed = ix >= 0
         at = ix[listed].astype(np.int64) * m + row[listed]
         count = np.bincount(at, n[listed], T * m).astype(np.int32).reshape(T, m)
-        amount = np.bincount(at, total[listed], T * m).reshape(T, m)
+        amount = np.bincount(at, total[listed], T * m).astype(float).reshape(T, m)
         least = np.full(T * m, np.iinfo(np.int32).max, np.int32)
         np.minimum.at(least, at[known[listed]], days[listed][known[listed]])
         least = least.reshape(T, m)

@@ -63,7 +63,7 @@ class Sites:
         self.old = np.zeros(len(ids), np.int64)
 
     def _sum(self, x: np.ndarray, site: np.ndarray | None = None) -> np.ndarray:
-        return np.bincount(self.site if site is None else site, weights=x, minlength=len(self.ids))
+        return np.bincount(self.site if site is None else site, weights=x, minlength=len(self.ids)).astype(float)
 
     def add(self, site: np.ndarray, p: np.ndarray, age: np.ndarray, bio: np.ndarray, key: np.ndarray) -> None:
         self.site, self.p, self.age = np.concatenate([self.site, site]), np.concatenate([self.p, p]), np.concatenate([self.age, age])

@@ -225,7 +225,7 @@ def losses(sites: DataFrame, tables: Sequence[Table], years: Sequence[int], para
                     out = [pa.array(truth.names[key % truth.n], pa.string()), *map(pa.array, values)]
                 else:
                     where = np.flatnonzero(at)
-                    w, agb, signed = (np.bincount(key // truth.n, weights=x, minlength=b.num_rows)[where] for x in values)
+                    w, agb, signed = (np.bincount(key // truth.n, weights=x, minlength=b.num_rows)[where].astype(float) for x in values)
                     out = [pa.array(w), pa.array(agb), pa.array(np.abs(signed))]
                 head = [pa.array(np.full(len(where), c, np.int32)), pa.array(s.ids[where]), pa.array(np.full(len(where), y, np.int32))]
                 yield pa.RecordBatch.from_arrays([*head, *out], [x.split()[0] for x in schema.split(", ")])
