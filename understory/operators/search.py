@@ -173,7 +173,8 @@ def calibrate(first: Params, sites: DataFrame, reference: DataFrame, years: Sequ
             save(p)
 
     def score(batch_of: Sequence[Params]) -> list[float]:
-        rows = {r["candidate"]: r["loss"] for r in score_candidates(batch_of, joined, years, params, seed, sem).collect()}
+        # losses count to 12 digits: beyond them they depend on the order in which tasks are added up, and equal ones would differ
+        rows = {r["candidate"]: float(f"{r['loss']:.11e}") for r in score_candidates(batch_of, joined, years, params, seed, sem).collect()}
         return [rows.get(c, math.inf) for c in range(len(batch_of))]
 
     def after(s: State, fx: float, accepted: bool) -> None:
