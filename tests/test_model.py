@@ -19,7 +19,7 @@ from understory.operators.kernel import Sites, Table, added_key
 from understory.operators.params import LIGHT as LIGHT_TABLE
 from understory.operators.params import PRIORS, Params, eco_params
 from understory.operators.simulate import gathered, parameter_table, run
-from understory.operators.succession import Semantics, one_year, site_totals, stepped, survivors
+from understory.operators.succession import HALF, Semantics, one_year, site_totals, stepped, survivors
 
 BINS = A.AgeBins()
 
@@ -155,58 +155,77 @@ def test_golden_step(spark, year, gr, bio, agnpp, m_tot):
 
 # ---------------------------------------------------------------- the kernel against a plain loop
 
+def plain_year(site, live, prev, year, table, seed, sem):
+    """One site, one cohort at a time: the cohorts [p, age, bio, key] and the mortality after a year."""
+    v = table.values
+    u = lambda key, what: float(uniform_np(seed, np.array([site]), year, np.array([key]), what)[0])
+    mature = set()
+    total, comps = sum(c[2] for c in live), [max(c[2] ** 0.95, 1.0) for c in live]
+    left, m_sum, act = [], 0.0, 0.0
+    for c, comp in zip(live, comps, strict=True):
+        p, age, bio, key = c[0], c[1] + 1, c[2], c[3]
+        g = {k: x[p] for k, x in v.items()}
+        if age >= g["maturity"]:
+            mature.add(p)
+        m_age = bio
+        if age < g["longevity"] and u(key, MORTALITY) > g["prob_mort"]:
+            f = math.exp(g["d"] * (age / g["longevity"] - 1)) + (sem.spinup_mortality if year <= 0 else 0)
+            m_age = bio * f if f < 1 else bio
+        pot = max(g["b_max"] - total - bio, 1.0)
+        pot = max(pot, prev)
+        ap = bio / pot
+        most = g["anpp_max"] * comp / sum(comps)
+        keep = 1 - sem.growth_reduction
+        growth = min(ap ** g["s"] * math.exp(1 - ap ** g["s"]), 1.0) * most * keep
+        m = most * 2 * ap / (1 + ap) if most <= 1 else most
+        anpp = max(growth - m_age, 1.0)
+        m_bio = max(max(min(m, bio) * keep - m_age, 0.0), anpp)
+        m_sum += m_age + m_bio
+        new = bio + anpp - m_age - m_bio
+        assert new <= bio - m_age + 1e-9  # a cohort never gains biomass
+        if new > 1e-8:
+            left.append([p, age, new, key])
+            act += new if age > 5 else 0
+    had, live, b = bool(live), left, sum(c[2] for c in left)
+    if had:
+        p0 = next(iter(mature), left[0][0] if left else 0)
+        most = v["b_max_eco"][p0]
+        share = min(act, most - prev) / most
+        shade = sum(share > v[f"r{k}"][p0] for k in range(1, 6))
+        prev = m_sum
+    if live:
+        for p in sorted(mature):
+            local = table.local[p]
+            if u(local, LIGHT) <= LIGHT_TABLE[shade][int(v["shade_tol"][p]) - 1] and u(local, ESTABLISHMENT) <= v["prob_estab"][p]:
+                bio = max(2.0, v["anpp_max"][p] * max(1.0, math.exp(-1.6 * b / v["b_max_eco"][p])))
+                b += bio
+                live.append([p, 1, bio, int(added_key(year, local))])
+    return live, prev
+
+
 def plain_years(ids, cohorts, table, years, seed, sem):
-    """One site at a time, one cohort at a time. cohorts: {site: [(p, age, bio, key)]}."""
-    v, out = table.values, {}
-    u = lambda site, year, key, what: float(uniform_np(seed, np.array([site]), year, np.array([key]), what)[0])
+    """cohorts: {site: [(p, age, bio, key)]}."""
+    out = {}
     for site in ids:
-        live, prev, b = [list(c) for c in cohorts[site]], 0.0, 0.0
+        live, prev = [list(c) for c in cohorts[site]], 0.0
         for year in years:
-            mature = set()
-            total, comps = sum(c[2] for c in live), [max(c[2] ** 0.95, 1.0) for c in live]
-            left, m_sum, act = [], 0.0, 0.0
-            for c, comp in zip(live, comps, strict=True):
-                p, age, bio, key = c[0], c[1] + 1, c[2], c[3]
-                g = {k: x[p] for k, x in v.items()}
-                if age >= g["maturity"]:
-                    mature.add(p)
-                m_age = bio
-                if age < g["longevity"] and u(site, year, key, MORTALITY) > g["prob_mort"]:
-                    f = math.exp(g["d"] * (age / g["longevity"] - 1)) + (sem.spinup_mortality if year <= 0 else 0)
-                    m_age = bio * f if f < 1 else bio
-                pot = max(g["b_max"] - total - bio, 1.0)
-                pot = max(pot, prev)
-                ap = bio / pot
-                most = g["anpp_max"] * comp / sum(comps)
-                keep = 1 - sem.growth_reduction
-                growth = min(ap ** g["s"] * math.exp(1 - ap ** g["s"]), 1.0) * most * keep
-                m = most * 2 * ap / (1 + ap) if most <= 1 else most
-                anpp = max(growth - m_age, 1.0)
-                m_bio = max(max(min(m, bio) * keep - m_age, 0.0), anpp)
-                m_sum += m_age + m_bio
-                new = bio + anpp - m_age - m_bio
-                assert new <= bio - m_age + 1e-9  # a cohort never gains biomass
-                if new > 1e-8:
-                    left.append([p, age, new, key])
-                    act += new if age > 5 else 0
-            had, live, b = bool(live), left, sum(c[2] for c in left)
-            if had:
-                p0 = next(iter(mature), left[0][0] if left else 0)
-                most = v["b_max_eco"][p0]
-                share = min(act, most - prev) / most
-                shade = sum(share > v[f"r{k}"][p0] for k in range(1, 6))
-                prev = m_sum
-            if live:
-                for p in sorted(mature):
-                    local = table.local[p]
-                    if u(site, year, local, LIGHT) <= LIGHT_TABLE[shade][int(v["shade_tol"][p]) - 1] and u(site, year, local, ESTABLISHMENT) <= v["prob_estab"][p]:
-                        bio = max(2.0, v["anpp_max"][p] * max(1.0, math.exp(-1.6 * b / v["b_max_eco"][p])))
-                        b += bio
-                        live.append([p, 1, bio, int(added_key(year, local))])
+            live, prev = plain_year(site, live, prev, year, table, seed, sem)
             out[site, year] = sorted((c[0], c[1], round(c[2], 6), c[3]) for c in live)
     return out
 
 
+def plain_spin_up(site, established, first, last, table, seed, sem):
+    """established: [(p, year_deficit)] of one site; its cohorts in year -1."""
+    live, prev = [], 0.0
+    for t in range(first, last + 1):
+        young = {c[0] for c in live if c[1] == 1 and int(added_key(t - 1, 0)) < c[3] < int(added_key(t - 1, HALF))}
+        for p in sorted({p for p, d in established if d + 1 == t} - young):
+            live.append([p, 1, max(2.0, table.values["b_max"][p]), int(added_key(t, HALF + table.local[p]))])
+        if t < last:
+            live, prev = plain_year(site, live, prev, t, table, seed, sem)
+    return sorted((c[0], c[1], round(c[2], 6), c[3]) for c in live)
+
+
 def small_world(seed, n=12):
     rng = np.random.default_rng(seed)
     rows = [golden_table(int(rng.integers(60, 200))) | dict(eco="e", species=f"s{i}", local_id=i + 1, d=float(rng.uniform(5, 25)), s=float(rng.uniform(0.1, 1)), shade_tol=int(rng.integers(1, 6)), maturity=int(rng.integers(2, 30)), b_max=float(rng.uniform(2400, 2500)), anpp_max=float(rng.uniform(2400, 2500)), prob_mort=float(rng.uniform(0, 0.2)), prob_estab=float(rng.uniform(0.2, 1))) for i in range(4)]
@@ -257,6 +276,23 @@ def test_spin_up(spark):
     assert got == [(0, 0, 3), (0, 1, 1), (1, 1, 2)]  # one of two equal cohorts, none stepped after the last
 
 
+@settings(max_examples=15, deadline=None)
+@given(st.integers(0, 10_000), st.sampled_from([0.0, 1.0]))
+def test_spin_up_matches_plain_loop(seed, gr):
+    rows, _ = small_world(seed)
+    rng, t, sem = np.random.default_rng(seed), Table.of(rows), Semantics(growth_reduction=gr)
+    ids = np.arange(1, 8)
+    site, p, deficit = rng.integers(0, len(ids), 30), rng.integers(0, 4, 30), rng.integers(-45, -1, 30)
+    first, last = int(deficit.min()) + 1, -1
+    s = Sites(ids, t, *(np.empty(0, int),) * 3, np.empty(0), np.empty(0, int), 7, sem)
+    s.spin_up(site, p, deficit, first, last)
+    for i, k in enumerate(ids):
+        m = s.site == i
+        got = sorted(zip(s.p[m].tolist(), s.age[m].tolist(), np.round(s.bio[m], 6).tolist(), s.key[m].tolist(), strict=True))
+        want = plain_spin_up(int(k), [(int(a), int(d)) for x, a, d in zip(site, p, deficit, strict=True) if x == i], first, last, t, 7, sem)
+        assert [g[:2] + g[3:] for g in got] == [w[:2] + w[3:] for w in want] and np.allclose([g[2] for g in got], [w[2] for w in want], atol=2e-6)
+
+
 # ---------------------------------------------------------------- search
 
 def test_first_candidate_is_accepted_and_average_reset():
