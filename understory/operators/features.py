@@ -155,7 +155,8 @@ def cohort_parts(cohorts: DataFrame, types: list[str]) -> DataFrame:
     )
     part = F.pmod(F.xxhash64("cohort_id", "_lone"), F.lit(PARTS)).cast("int")
     coded = encode(rows, types).select("entity", part.alias("_part"), "cohort_id", "_lone", "type_ix", F.when(F.col("type_ix") < 0, F.col("kind")).alias("kind"), "total", "day")
-    once = coded.repartition("entity", "_part").dropDuplicates(["entity", "_part", "cohort_id", "_lone"])
+    # a repeated delivery has the values of the first; if it hasn't, the largest count. No buffer holds text, so this hashes instead of sorting
+    once = coded.repartition("entity", "_part").groupBy("entity", "_part", "cohort_id", "_lone", "kind").agg(*(F.max(c).alias(c) for c in ("type_ix", "total", "day")))
     parts = once.groupBy("entity", "_part", "type_ix", "kind").agg(F.count("*").alias("n"), F.sum("total").alias("total"), F.max("day").alias("latest"))
     return parts.drop("_part")
 
