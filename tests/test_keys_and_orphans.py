@@ -112,3 +112,11 @@ def test_kept_counts_equal_the_whole(spark, tmp_path):
     gone = refs.filter("ref = 'ZZZZ'")
     kept.apply(orphans.deltas(gone, existence.limit(0)).selectExpr("table_name", "field", "ref", "day", "-n_refs as n_refs", "exists"))
     assert key(kept.orphan_days()) == key(orphans.orphan_days(refs.filter("ref != 'ZZZZ'"), existence))
+
+
+def test_many_orphan_days_are_not_broadcast(spark, monkeypatch):
+    refs = orphans.references(communities(spark, [(i, 0, 1, 7, f"S{i}", 5, 1.0, datetime.datetime(2020, 1, 1)) for i in range(50)]), "output_communities", "record_id", "written_at", {"species_symbol": ("species_symbol", "species")})
+    monkeypatch.setattr(orphans, "BROADCAST_DAYS", 10)
+    found = orphans.orphan_rows(refs, lists(spark))
+    assert len(found.collect()) == 50
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()

@@ -48,3 +48,14 @@ def test_lookups_agree(spark, how):
     right = S.cut_table(spark.range(1, 40).selectExpr("id as k", "id * 2 as v"))
     rows = lambda limit: sorted(map(tuple, S.lookup(left, right, ["k"], "id", how, limit).collect()), key=str)
     assert rows(100) == rows(0) and len(rows(0)) > 1000
+
+
+@pytest.mark.parametrize("how", ["inner", "left_semi", "left"])
+def test_beyond_the_limit_both_sides_are_shuffled(spark, how):
+    """A file of a few KB is below Spark's own threshold; the counted rows decide, and the salted rows are 16 times as many."""
+    left = spark.range(2000).selectExpr("id", "if(id % 3 = 0, 1, id % 50) as k")
+    right = S.cut_table(spark.range(1, 40).selectExpr("id as k", "id * 2 as v"))
+    for joined in (S.lookup(left, right, ["k"], "id", how, 0), left.join(S.if_small(right, 0), "k", how)):
+        joined.collect()
+        plan = joined._jdf.queryExecution().executedPlan().toString()  # as it ran
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan

@@ -111,13 +111,14 @@ def width(df: DataFrame, part_bytes: int = 128 << 20) -> int:
     return least if read >= UNKNOWN else max(least, -(-min(_bytes(plan), 8 * read) // part_bytes))
 
 
-#: Rows up to which a materialised side of a join is broadcast; beyond, Spark shuffles both.
+#: Rows up to which a materialised side of a join is broadcast; beyond, both are shuffled. That is stated by a hint: Spark
+#: knows only the compressed size of the files, a twentieth of the rows or less, and would broadcast by it.
 BROADCAST_ROWS = 500_000
 
 
 def if_small(df: DataFrame, limit: int | None = None) -> DataFrame:
-    """A materialised table, marked for broadcast if it is counted to be small."""
-    return F.broadcast(df) if df.count() <= (BROADCAST_ROWS if limit is None else limit) else df
+    """A materialised table, marked for broadcast if it is counted to be small, else for a shuffle."""
+    return F.broadcast(df) if df.count() <= (BROADCAST_ROWS if limit is None else limit) else df.hint("merge")
 
 
 def lookup(left: DataFrame, right: DataFrame, keys: list[str], spread: str, how: str = "inner", limit: int | None = None, salts: int = 16) -> DataFrame:
@@ -125,7 +126,7 @@ def lookup(left: DataFrame, right: DataFrame, keys: list[str], spread: str, how:
     shuffled by the keys and a salt of ``spread``, a column of ``left``, so that a key of very many rows meets many tasks."""
     if right.count() <= (BROADCAST_ROWS if limit is None else limit):
         return left.join(F.broadcast(right), keys, how)
-    salted = right.withColumn("_salt", F.explode(F.array(*map(F.lit, range(salts)))))
+    salted = right.withColumn("_salt", F.explode(F.array(*map(F.lit, range(salts))))).hint("merge")
     return left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).join(salted, [*keys, "_salt"], how).drop("_salt")
 
 
