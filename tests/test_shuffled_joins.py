@@ -10,6 +10,7 @@ from understory.operators import crosswalk as X
 NAMES = [
     "splots",
     "age_cdf",
+    "spdf",
 ]
 
 
