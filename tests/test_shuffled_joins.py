@@ -11,6 +11,7 @@ NAMES = [
     "splots",
     "age_cdf",
     "spdf",
+    "bin_ages",
 ]
 
 
