@@ -12,6 +12,7 @@ NAMES = [
     "age_cdf",
     "spdf",
     "bin_ages",
+    "growing_shade",
 ]
 
 
