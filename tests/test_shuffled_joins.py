@@ -13,6 +13,7 @@ NAMES = [
     "spdf",
     "bin_ages",
     "growing_shade",
+    "initial_biomass",
 ]
 
 
