@@ -14,6 +14,7 @@ NAMES = [
     "bin_ages",
     "growing_shade",
     "initial_biomass",
+    "param_remap",
 ]
 
 
