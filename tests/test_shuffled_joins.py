@@ -15,6 +15,7 @@ NAMES = [
     "growing_shade",
     "initial_biomass",
     "param_remap",
+    "pixel_miss_rate",
 ]
 
 
