@@ -16,6 +16,7 @@ NAMES = [
     "initial_biomass",
     "param_remap",
     "pixel_miss_rate",
+    "w1_loss_nullable",
 ]
 
 
