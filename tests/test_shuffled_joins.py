@@ -17,6 +17,7 @@ NAMES = [
     "param_remap",
     "pixel_miss_rate",
     "w1_loss_nullable",
+    "initial_cohorts",
 ]
 
 
