@@ -18,6 +18,7 @@ NAMES = [
     "pixel_miss_rate",
     "w1_loss_nullable",
     "initial_cohorts",
+    "succession_step",
 ]
 
 
