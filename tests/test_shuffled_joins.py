@@ -19,6 +19,7 @@ NAMES = [
     "w1_loss_nullable",
     "initial_cohorts",
     "succession_step",
+    "growing_step",
 ]
 
 
