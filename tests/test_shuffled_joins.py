@@ -20,6 +20,7 @@ NAMES = [
     "initial_cohorts",
     "succession_step",
     "growing_step",
+    "spinup_cohorts",
 ]
 
 
