@@ -21,6 +21,7 @@ NAMES = [
     "succession_step",
     "growing_step",
     "spinup_cohorts",
+    "age_hist",
 ]
 
 
