@@ -22,6 +22,7 @@ NAMES = [
     "growing_step",
     "spinup_cohorts",
     "age_hist",
+    "raster_mapcodes",
 ]
 
 
