@@ -23,6 +23,7 @@ NAMES = [
     "spinup_cohorts",
     "age_hist",
     "raster_mapcodes",
+    "pixel_cohorts",
 ]
 
 
