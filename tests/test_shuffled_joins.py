@@ -24,6 +24,7 @@ NAMES = [
     "age_hist",
     "raster_mapcodes",
     "pixel_cohorts",
+    "pixel_miss_rows",
 ]
 
 
