@@ -25,6 +25,7 @@ NAMES = [
     "raster_mapcodes",
     "pixel_cohorts",
     "pixel_miss_rows",
+    "raster_agb_by_year",
 ]
 
 
