@@ -26,6 +26,7 @@ NAMES = [
     "pixel_cohorts",
     "pixel_miss_rows",
     "raster_agb_by_year",
+    "run_loss",
 ]
 
 
