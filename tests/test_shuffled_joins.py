@@ -27,6 +27,7 @@ NAMES = [
     "pixel_miss_rows",
     "raster_agb_by_year",
     "run_loss",
+    "simulate_3y_growing",
 ]
 
 
