@@ -28,6 +28,7 @@ NAMES = [
     "raster_agb_by_year",
     "run_loss",
     "simulate_3y_growing",
+    "site_loss",
 ]
 
 
