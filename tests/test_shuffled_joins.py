@@ -29,6 +29,7 @@ NAMES = [
     "run_loss",
     "simulate_3y_growing",
     "site_loss",
+    "species_loss",
 ]
 
 
