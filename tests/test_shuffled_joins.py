@@ -30,6 +30,7 @@ NAMES = [
     "simulate_3y_growing",
     "site_loss",
     "species_loss",
+    "mutate_batch_loss",
 ]
 
 
