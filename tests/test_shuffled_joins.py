@@ -31,6 +31,7 @@ NAMES = [
     "site_loss",
     "species_loss",
     "mutate_batch_loss",
+    "simulate_30y",
 ]
 
 
